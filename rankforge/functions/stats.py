@@ -51,13 +51,21 @@ def numeric_stats(
     ).select(*by, "_e.column", "_e.value")
     value = F.when(is_finite("value"), F.col("value"))
     if groups_bounded(long, keys, limit):
-        return long.groupBy(*keys).agg(
+        out = long.groupBy(*keys).agg(
             *moment_aggs("value"),
             *[F.percentile(value, F.lit(q)).alias(n) for n, q in QUANTILES.items()],
         )
-    moments = long.groupBy(*keys).agg(*moment_aggs("value"))
-    quantiles = exact_quantiles(long, keys, value, QUANTILES, limit, bounded=False)
-    return moments.join(quantiles, keys, "left")
+    else:
+        moments = long.groupBy(*keys).agg(*moment_aggs("value"))
+        quantiles = exact_quantiles(long, keys, value, QUANTILES, limit, bounded=False)
+        out = moments.join(quantiles, keys, "left")
+    return out if by else _every_column(out, names)
+
+
+def _every_column(stats: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A row for each requested column, with zero counts when the table is empty."""
+    wanted = stats.sparkSession.createDataFrame([(n,) for n in names], "column string")
+    return wanted.join(stats, "column", "left").fillna(0, [c for c in stats.columns if c.endswith("count")])
 
 
 def boolean_stats(df: DataFrame, columns: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -75,13 +83,14 @@ def boolean_stats(df: DataFrame, columns: str | Sequence[str], by: Sequence[str]
         ).alias("_e"),
     ).select(*by, "_e.column", "_e.flag")
     total, true = F.count(F.lit(1)), F.count_if("flag")
-    return long.groupBy(*by, "column").agg(
+    out = long.groupBy(*by, "column").agg(
         total.alias("count"),
         true.alias("true_count"),
         (total - true).alias("false_count"),
         (true / total).alias("true_rate"),
         ((total - true) / total).alias("false_rate"),
     )
+    return out if by else _every_column(out, names)
 
 
 def mergeable_stats(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
