@@ -38,7 +38,7 @@ def label_with(
     independently. A column of the wrong length is an error.
     """
     keys = list(keys)
-    labels = T._parse_datatype_string(schema)
+    labels = T.StructType.fromDDL(schema)
     rows, parts = df, keys
     if not groups_bounded(df, keys, rows_per_call):
         ranked = rank_within(df, keys, [F.asc(idx)], "_n")
