@@ -127,6 +127,7 @@ def fit_quality(
     mu: str = "mu_min",
     tau: float = S.SUCCESS_TAU,
     kind: str = "huber",
+    out: str = "predicted_quality",
     **params,
 ) -> PipelineModel:
     """Fit the quality target on numeric feature columns.
@@ -135,7 +136,7 @@ def fit_quality(
     partitions without moving rows to the driver.
     """
     data = df.select(*features, quality_target(mu, tau).alias("label"))
-    common = {"featuresCol": "features", "labelCol": "label", "predictionCol": "model_score"}
+    common = {"featuresCol": "features", "labelCol": "label", "predictionCol": out}
     if kind == "huber":
         model = LinearRegression(loss="huber", **common, **params)
     elif kind == "gbt":

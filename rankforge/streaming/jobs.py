@@ -12,16 +12,30 @@ from rankforge.sources.catalog import parse_frame_path
 from rankforge.sources.dumps import decode_dump_rows
 
 
-def _zscores(values: Column) -> Column:
-    """Normalised copy of a numeric array, by array functions only."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    std = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    return F.when(n == 0, values).otherwise(
-        F.transform(values, lambda x: F.when(std <= S.STD_FLOOR, F.lit(0.0)).otherwise((x - mean) / std))
+def _moments(values: Column) -> Column:
+    """Mean and population std of a numeric array in one pass (running moments)."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + (x - acc["mean"]) * (x - mean)).alias("m2"))
+
+    return F.aggregate(
+        values,
+        start,
+        step,
+        lambda acc: F.struct(
+            acc["mean"].alias("mean"), F.sqrt(acc["m2"] / F.greatest(acc["n"], F.lit(1.0))).alias("std")
+        ),
     )
 
 
+def _scaled(values: str, moments: str) -> Column:
+    mean, std = F.col(moments)["mean"], F.col(moments)["std"]
+    return F.transform(values, lambda x: F.when(std <= S.STD_FLOOR, F.lit(0.0)).otherwise((x - mean) / std))
+
+
 def stream_rerank(
     frames: DataFrame,
     lam: float,
@@ -40,7 +54,9 @@ def stream_rerank(
     model = scores if scores is not None else F.transform(c, lambda x: x["model_score"].cast("double"))
     base = F.transform(c, lambda x: x["base_score"].cast("double"))
     staged = frames.select(*kept, c.alias("_c"), base.alias("_base"), model.alias("_model"))
-    staged = staged.select(*kept, "_c", _zscores(F.col("_base")).alias("_bz"), _zscores(F.col("_model")).alias("_mz"))
+    # Moments are columns of their own, so they are computed once per record.
+    staged = staged.withColumns({"_bm": _moments(F.col("_base")), "_mm": _moments(F.col("_model"))})
+    staged = staged.withColumns({"_bz": _scaled("_base", "_bm"), "_mz": _scaled("_model", "_mm")})
     fused = F.zip_with("_bz", "_mz", lambda b, m: F.lit(1.0 - lam) * b + F.lit(lam) * m)
     entries = F.zip_with(
         "_c",
@@ -66,6 +82,7 @@ def stream_ingest(
     """Ingest dumps that are new since the last run, each exactly once, then stop."""
     reader = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
     )
