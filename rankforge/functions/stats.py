@@ -147,19 +147,21 @@ def latency_summary(
         )
     long = kept.select(*by, F.explode(F.array(*families)).alias("_e")).select(*by, "_e.unit", "_e.ms")
     keys = [*by, "unit"]
-    bounded = groups_bounded(long, keys, limit)
-    moments = long.groupBy(*keys).agg(
+    quantiles = {"median_ms": 0.5, "p95_ms": 0.95}
+    moments = [
         F.count("ms").alias("count"),
-        F.round(F.avg("ms"), 4).alias("mean_ms"),
-        F.round(F.min("ms"), 4).alias("min_ms"),
-        F.round(F.max("ms"), 4).alias("max_ms"),
-        F.round(F.stddev_pop("ms"), 4).alias("std_ms"),
-    )
-    q = exact_quantiles(long, keys, F.col("ms"), {"median_ms": 0.5, "p95_ms": 0.95}, limit, bounded)
-    return moments.join(
-        q.select(*keys, F.round("median_ms", 4).alias("median_ms"), F.round("p95_ms", 4).alias("p95_ms")),
-        keys,
-    )
+        F.avg("ms").alias("mean_ms"),
+        F.min("ms").alias("min_ms"),
+        F.max("ms").alias("max_ms"),
+        F.stddev_pop("ms").alias("std_ms"),
+    ]
+    if groups_bounded(long, keys, limit):
+        out = long.groupBy(*keys).agg(*moments, *[F.percentile("ms", F.lit(q)).alias(n) for n, q in quantiles.items()])
+    else:
+        out = long.groupBy(*keys).agg(*moments).join(
+            exact_quantiles(long, keys, F.col("ms"), quantiles, limit, bounded=False), keys
+        )
+    return out.select(*keys, "count", *[F.round(c, 4).alias(c) for c in out.columns if c.endswith("_ms")])
 
 
 def progress_report(log: DataFrame, by: Sequence[str], done: Column, elapsed: str) -> DataFrame:

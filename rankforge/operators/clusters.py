@@ -22,23 +22,29 @@ CLUSTER_LIMIT = 20_000
 XYZ = ("tx", "ty", "tz")
 
 
+OWNERS = T.StructType(
+    [T.StructField("leader", T.ArrayType(T.IntegerType())), T.StructField("cluster", T.ArrayType(T.LongType()))]
+)
+
+
 def _leader_owner(radius: float):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def owner(xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf(OWNERS)
+    def owner(xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.DataFrame:
+        leaders, clusters = [], []
         for x, y, z in zip(xs, ys, zs):
             p = np.stack([x, y, z], axis=1).astype(np.float64)
-            own = np.full(len(p), -1, dtype=np.int32)
-            free = np.arange(len(p))
+            own, number = np.zeros(len(p), dtype=np.int32), np.zeros(len(p), dtype=np.int64)
+            free, opened = np.arange(len(p)), 0
             while len(free):
                 lead = free[0]
                 d = p[free] - p[lead]
                 near = (d * d).sum(axis=1) < radius * radius
                 near[0] = True
-                own[free[near]] = lead
-                free = free[~near]
-            out.append(own)
-        return pd.Series(out)
+                own[free[near]], number[free[near]] = lead, opened
+                free, opened = free[~near], opened + 1
+            leaders.append(own)
+            clusters.append(number)
+        return pd.DataFrame({"leader": leaders, "cluster": clusters})
 
     return owner
 
@@ -61,17 +67,14 @@ def leader_cluster(
     if groups_bounded(rows, keys, limit):
         lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(idx, *xyz))).alias("_p"))
         axes = [F.col(f"_p.{c}") for c in xyz]
-        owned = (
-            lists.withColumn("_o", _leader_owner(radius)(*axes))
-            .withColumn("_heads", F.array_sort(F.array_distinct("_o")))
-            .select(*keys, "_p", "_heads", F.posexplode("_o").alias("_at", "_own"))
-        )
-        return owned.select(
-            *keys,
-            F.get("_p", F.col("_at"))[idx].alias(idx),
-            F.get("_p", F.col("_own"))[idx].alias("leader_idx"),
-            (F.array_position("_heads", F.col("_own")) - 1).alias("cluster_id"),
+        ids = F.col(f"_p.{idx}")
+        members = F.arrays_zip(
+            ids.alias(idx),
+            F.transform("_o.leader", lambda i: F.get(ids, i)).alias("leader_idx"),
+            F.col("_o.cluster").alias("cluster_id"),
         )
+        owned = lists.withColumn("_o", _leader_owner(radius)(*axes))
+        return owned.select(*keys, F.explode(members).alias("_m")).select(*keys, "_m.*")
     leaders = greedy_leaders(rows, keys, idx, xyz, radius)
     numbered = rank_within(leaders, keys, [F.asc(idx)], "_n", limit).select(
         *keys, F.col(idx).alias("leader_idx"), (F.col("_n") - 1).alias("cluster_id")
@@ -151,9 +154,9 @@ def pose_nms(
         turns = F.flatten(F.transform("_p", lambda p: p["_r"]))
         survivors = (
             lists.withColumn("_k", _suppress(t, cos_limit)(*axes, turns))
-            .select(*keys, "_p", F.posexplode("_k").alias("_at", "_kept"))
-            .where("_kept")
-            .select(*keys, F.get("_p", F.col("_at"))[idx].alias(idx))
+            .select(*keys, F.explode(F.arrays_zip(F.col(f"_p.{idx}").alias(idx), F.col("_k").alias("kept"))).alias("_m"))
+            .where("_m.kept")
+            .select(*keys, F.col(f"_m.{idx}").alias(idx))
         )
     else:
         ranked = rank_within(narrow, keys, [F.desc(score), F.asc(idx)], "_prio", limit)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankforge import schemas as S
 from rankforge.functions.expressions import hash_index, test_group
 from rankforge.plans.groups import GROUP_LIMIT, exact_quantiles, rank_within
+from rankforge.session import materialise
 
 
 def top_ranked(
@@ -236,7 +237,10 @@ def bootstrap_ci(
     if draws < 0:
         raise ValueError("draws must not be negative")
     spark = delta.sparkSession
-    units = rank_within(delta.select(unit, F.col(column).alias("_d")), [], [F.asc(unit)], "_i", limit)
+    # One row per scene; written once because three results read it.
+    units = materialise(
+        rank_within(materialise(delta.select(unit, F.col(column).alias("_d"))), [], [F.asc(unit)], "_i", limit)
+    )
     n = units.count()
     if n == 0:
         raise ValueError("paired scene values must not be empty")

@@ -153,7 +153,7 @@ def nearest_join(
     points: DataFrame,
     label: str = "label",
     max_dist: float | None = None,
-    radius: float = 0.04,
+    radius: float | None = None,
     keys: Sequence[str] = FRAME,
     query_id: str = "cand_idx",
     point_id: str = "point_idx",
@@ -161,7 +161,7 @@ def nearest_join(
     """Label of the nearest point of the frame; -1 without one or at ``max_dist`` or farther."""
     keys = list(keys)
     if max_dist is not None:
-        pairs = radius_join(queries, points, max_dist, keys, strict=True)
+        pairs = radius_join(queries, points, max_dist, keys, strict=True, spread=[*keys, query_id])
         best = pairs.groupBy(*keys, query_id).agg(
             F.min(F.struct("d2", F.col(point_id).alias("_id"), F.col(label).alias("_label"))).alias("_b")
         )
@@ -178,7 +178,7 @@ def knn_groups(
     centroids: DataFrame,
     points: DataFrame,
     k: int = 32,
-    radius: float = 0.04,
+    radius: float | None = None,
     keys: Sequence[str] = FRAME,
     query_id: str = "cand_idx",
     point_id: str = "point_idx",

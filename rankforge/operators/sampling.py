@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from rankforge import schemas as S
 from rankforge.functions.stats import union_all
 from rankforge.operators.geometry import ROTATION, to_local_frame
-from rankforge.plans.grid import radius_join
+from rankforge.plans.grid import neighbours_bounded, radius_join
 from rankforge.plans.groups import groups_bounded
 from rankforge.session import materialise
 
@@ -59,6 +59,7 @@ def farthest_point_sample(
     idx: str = "point_idx",
     xyz: Sequence[str] = ("x", "y", "z"),
     limit: int = SAMPLE_LIMIT,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """At most ``budget`` well spread points per group: group, idx, coordinates, ``slot``.
 
@@ -72,7 +73,7 @@ def farthest_point_sample(
     group = list(group)
     size = F.lit(int(budget)) if isinstance(budget, int) else F.col(budget).cast("int")
     rows = points.select(*group, idx, *[F.col(c).cast("float").alias(c) for c in xyz], size.alias("_b"))
-    if groups_bounded(rows, group, limit):
+    if groups_bounded(rows, group, limit) if bounded is None else bounded:
         return _sample_lists(rows, group, seed, idx, xyz)
     rows = materialise(rows)
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -92,8 +93,8 @@ def _sample_lists(rows: DataFrame, group: list[str], seed: str, idx: str, xyz: S
     ).when(over, F.col("_picked")).otherwise(F.sequence(F.lit(0), F.size("_p") - 1))
     return (
         lists.withColumn("_picked", _picker(seed == "nearest")(*axes, F.col("_b")))
-        .select(*group, "_p", F.posexplode(picks).alias("slot", "_at"))
-        .withColumn("_q", F.get("_p", F.col("_at")))
+        # Only the chosen points are exploded, never the whole list per row.
+        .select(*group, F.posexplode(F.transform(picks, lambda i: F.get("_p", i))).alias("slot", "_q"))
         .select(*group, "_q.*", "slot")
     )
 
@@ -152,6 +153,7 @@ def stratified_fps(
     idx: str = "point_idx",
     xyz: Sequence[str] = ("lx", "ly", "lz"),
     limit: int = SAMPLE_LIMIT,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Farthest point sampling per radius shell; ``slot`` keeps a fixed range per shell.
 
@@ -177,7 +179,7 @@ def stratified_fps(
         .where(F.col("shell").isNotNull())
         .withColumn("_budget", F.element_at(F.array(*[F.lit(b) for b in budgets]), F.col("shell") + 1))
     )
-    sampled = farthest_point_sample(placed, [*keys, "shell"], "_budget", "farthest", idx, xyz, limit)
+    sampled = farthest_point_sample(placed, [*keys, "shell"], "_budget", "farthest", idx, xyz, limit, bounded)
     start = F.element_at(F.array(*[F.lit(s) for s in starts]), F.col("shell") + 1)
     return sampled.withColumn("slot", F.col("slot") + start)
 
@@ -194,5 +196,8 @@ def local_cloud(
     """Sampled neighbourhood of every candidate in its own frame; no label is read."""
     q = candidates.select(*keys, S.CANDIDATE, "tx", "ty", "tz", *ROTATION)
     p = points.select(*keys, "point_idx", "x", "y", "z")
-    local = to_local_frame(radius_join(q, p, radius, keys))
-    return stratified_fps(local, [*keys, S.CANDIDATE], edges, budgets, limit=limit)
+    who = [*keys, S.CANDIDATE]
+    local = to_local_frame(radius_join(q, p, radius, keys, spread=who))
+    # Cell counts usually prove the groups small without computing the pairs.
+    bounded = neighbours_bounded(p, radius, limit, keys) or None
+    return stratified_fps(local, who, edges, budgets, limit=limit, bounded=bounded)

@@ -204,6 +204,14 @@ def rerank(
     return ranked
 
 
+def first_step(mu: Column, frictions: Sequence[float]) -> Column:
+    """Position of the smallest friction that holds, NULL if none does."""
+    expr = F.lit(None).cast("int")
+    for j in range(len(frictions) - 1, -1, -1):
+        expr = F.when(mu <= F.lit(float(frictions[j])), F.lit(j)).otherwise(expr)
+    return expr
+
+
 def lambda_sweep(
     df: DataFrame,
     weights: Sequence[float] = S.SWEEP_WEIGHTS,
@@ -235,28 +243,25 @@ def lambda_sweep(
             )
             for i, w in enumerate(weights)
         }
-        ranked = scaled.withColumns(ranks)
-        cells = ranked.groupBy(*keys).agg(
+        # A hit counts for its own friction step and all larger ones: sum per step
+        # first, then accumulate over the few steps of a frame.
+        step = F.when(usable, first_step(F.col(mu), frictions)).alias("_step")
+        sums = [
+            F.sum(F.when(F.col(f"_r{i}") <= k, ap_weight_expr(F.col(f"_r{i}"), k))).alias(f"_a{i}")
+            for i in range(len(weights))
+        ]
+        ranked = scaled.select(*keys, step, *[r.alias(n) for n, r in ranks.items()])
+        steps = ranked.groupBy(*keys, "_step").agg(*sums)
+        entries = [F.struct(F.lit(w).alias("lam"), F.col(f"_a{i}").alias("_a")) for i, w in enumerate(weights)]
+        long = steps.select(*keys, "_step", F.explode(F.array(*entries)).alias("_e")).select(*keys, "_step", "_e.*")
+        cells = long.groupBy(*keys, "lam").agg(
             *[
-                F.coalesce(
-                    F.sum(
-                        F.when(
-                            (F.col(f"_r{i}") <= k) & usable & (F.col(mu) <= F.lit(f)),
-                            ap_weight_expr(F.col(f"_r{i}"), k),
-                        )
-                    ),
-                    F.lit(0.0),
-                ).alias(f"_a{i}_{j}")
-                for i in range(len(weights))
-                for j, f in enumerate(frictions)
+                F.coalesce(F.sum(F.when(F.col("_step") <= j, F.col("_a"))), F.lit(0.0)).alias(f"_f{j}")
+                for j in range(len(frictions))
             ]
         )
-        entries = [
-            F.struct(F.lit(w).alias("lam"), F.lit(f).alias("friction"), F.col(f"_a{i}_{j}").alias("ap"))
-            for i, w in enumerate(weights)
-            for j, f in enumerate(frictions)
-        ]
-        return cells.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*")
+        per = [F.struct(F.lit(f).alias("friction"), F.col(f"_f{j}").alias("ap")) for j, f in enumerate(frictions)]
+        return cells.select(*keys, "lam", F.explode(F.array(*per)).alias("_e")).select(*keys, "lam", "_e.*")
     lam = F.explode(F.array(*[F.lit(w) for w in weights])).alias("lam")
     wide = scaled.select(*keys, idx, mu, "base_z", "model_z", lam).withColumn(
         "fused", (1 - F.col("lam")) * F.col("base_z") + F.col("lam") * F.col("model_z")

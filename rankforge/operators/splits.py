@@ -213,6 +213,24 @@ def _mark_starts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pos": pos, "opens": flags})
 
 
+def _chain_entries(nexts: DataFrame, entries: DataFrame, batch: int, total: int) -> DataFrame:
+    """First batch start of every block, by pointer doubling over block exits."""
+    jump = materialise(nexts.groupBy("block").applyInPandas(_block_exits(1, batch + 1), "pos long, to long"))
+    known = 1
+    while True:
+        fresh = entries.join(jump, "pos").select(F.col("to").alias("pos")).where(F.col("pos") <= total)
+        entries = materialise(entries.unionByName(fresh).distinct())
+        reached = entries.count()
+        if reached == known:
+            return entries
+        known = reached
+        jump = materialise(
+            jump.alias("a")
+            .join(jump.alias("b"), F.col("a.to") == F.col("b.pos"), "left")
+            .select("a.pos", F.coalesce("b.to", "a.to").alias("to"))
+        )
+
+
 def batches_whole_frames(
     frames: DataFrame,
     batch: int,
@@ -221,7 +239,7 @@ def batches_whole_frames(
     shuffle: bool = False,
     frame: str = "frame_id",
     count: str = "num",
-    block: int = 65_536,
+    block: int = 262_144,
     limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Fill batches with whole frames in order: (frame, num, batch).
@@ -238,8 +256,9 @@ def batches_whole_frames(
     block = max(block, batch)
     live = frames.where(F.col(count) > 0).select(frame, F.col(count).cast("long").alias("num"))
     order = [hash_order(seed + epoch, F.col(frame)), F.asc(frame)] if shuffle else [F.asc(frame)]
+    bounded = groups_bounded(live, [], limit)
     placed = materialise(
-        scan_within(live, [], order, {"pos": ("rank", F.lit(1)), "end": ("sum", F.col("num"))}, limit)
+        scan_within(live, [], order, {"pos": ("rank", F.lit(1)), "end": ("sum", F.col("num"))}, limit, bounded)
     )
     # Last frame whose end lies within start + batch: a running maximum in
     # buckets of ``batch`` rows, each holding at most ``batch`` frames.
@@ -256,27 +275,14 @@ def batches_whole_frames(
             F.floor((F.col("pos") - 1) / block).alias("block"),
         )
     )
-    jump = materialise(
-        nexts.groupBy("block").applyInPandas(_block_exits(1, batch + 1), "pos long, to long")
-    )
-    spark = frames.sparkSession
     total = placed.count()
-    entries = spark.createDataFrame([(1,)], "pos long")
-    while True:
-        fresh = entries.join(jump, "pos").select(F.col("to").alias("pos")).where(F.col("pos") <= total)
-        known = entries.count()
-        entries = materialise(entries.unionByName(fresh).distinct())
-        if entries.count() == known:
-            break
-        jump = materialise(
-            jump.alias("a")
-            .join(jump.alias("b"), F.col("a.to") == F.col("b.pos"), "left")
-            .select("a.pos", F.coalesce("b.to", "a.to").alias("to"))
-        )
+    entries = frames.sparkSession.createDataFrame([(1,)], "pos long")
+    if total > block:
+        entries = _chain_entries(nexts, entries, batch, total)
     heads = entries.groupBy(F.floor((F.col("pos") - 1) / block).alias("block")).agg(F.min("pos").alias("entry"))
     starts = nexts.join(heads, "block").groupBy("block").applyInPandas(_mark_starts, "pos long, opens long")
     numbered = scan_within(
-        placed.join(starts, "pos"), [], [F.asc("pos")], {"_opened": ("sum", F.col("opens"))}, limit
+        placed.join(starts, "pos"), [], [F.asc("pos")], {"_opened": ("sum", F.col("opens"))}, limit, bounded
     )
     return numbered.select(frame, "num", (F.col("_opened") - 1).alias("batch"))
 

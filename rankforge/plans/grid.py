@@ -7,6 +7,7 @@ those cells and Spark hash-joins on (frame, cell); AQE splits crowded cells.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import product
 
@@ -46,10 +47,21 @@ def radius_join(
     query_xyz: Sequence[str] = ("tx", "ty", "tz"),
     point_xyz: Sequence[str] = ("x", "y", "z"),
     strict: bool = False,
+    spread: Sequence[str] = (),
 ) -> DataFrame:
-    """All pairs of one frame within ``radius`` (inclusive unless ``strict``), with ``d2``."""
+    """All pairs of one frame within ``radius`` (inclusive unless ``strict``), with ``d2``.
+
+    ``spread`` names the query's identity: queries are then distributed by it
+    before they expand, and when the points fit a broadcast the pairs stay
+    grouped by query, so a later aggregation per query needs no shuffle of pairs.
+    """
     keys = list(keys)
-    q = queries.withColumn("_c", F.explode(around(cell_of(query_xyz, radius))))
+    q = queries
+    if spread:
+        parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        q = q.repartition(parts, *spread)
+    q = q.withColumns({f"_q{i}": c for i, c in enumerate(cell_of(query_xyz, radius))})
+    q = q.withColumn("_c", F.explode(around([F.col(f"_q{i}") for i in range(3)])))
     q = q.select(*queries.columns, *[F.col(f"_c.c{i}").alias(f"_c{i}") for i in range(3)])
     p = points.withColumns({f"_c{i}": c for i, c in enumerate(cell_of(point_xyz, radius))})
     pairs = q.join(p, [*keys, "_c0", "_c1", "_c2"]).withColumn("d2", squared_distance(query_xyz, point_xyz))
@@ -58,11 +70,33 @@ def radius_join(
     return pairs.where(near).drop("_c0", "_c1", "_c2")
 
 
+def neighbours_bounded(
+    points: DataFrame, radius: float, limit: int, keys: Sequence[str] = ("frame_id",), xyz: Sequence[str] = ("x", "y", "z")
+) -> bool:
+    """True when no query can have more than ``limit`` points within ``radius``.
+
+    Proven from cell counts of the points alone; the pairs are not computed.
+    """
+    cells = [c.alias(f"_c{i}") for i, c in enumerate(cell_of(xyz, radius))]
+    crowd = points.groupBy(*keys, *cells).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return (crowd or 0) * 27 <= limit
+
+
+def _first_radius(points: DataFrame, k: int, keys: Sequence[str], xyz: Sequence[str]) -> float:
+    """Radius of a ball holding about ``k`` points at the mean density of the frames."""
+    box = points.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{i}") for i, c in enumerate(xyz)]
+    )
+    volume = F.greatest(F.col("w0") * F.col("w1") * F.col("w2"), F.lit(1e-18))
+    ball = F.pow(volume * F.lit(k * 0.75 / math.pi) / F.col("n"), F.lit(1 / 3))
+    return box.agg(F.avg(ball)).first()[0] or 1.0
+
+
 def knn_join(
     queries: DataFrame,
     points: DataFrame,
     k: int,
-    radius: float = 0.04,
+    radius: float | None = None,
     keys: Sequence[str] = ("frame_id",),
     query_id: str = "cand_idx",
     point_id: str = "point_idx",
@@ -75,36 +109,35 @@ def knn_join(
     A query is settled once ``k`` points (or all of its frame) lie within the
     radius; the others try again with twice the radius. Doubling reaches any
     distance in few rounds, and each round keeps at most ``k`` pairs per query in
-    every map task. Columns: keys, query id, point id, ``d2``, ``nn`` (0-based),
-    payload. Queries in frames without points have no rows.
+    every map task. The first radius follows the density of the points unless
+    given. Columns: keys, query id, point id, ``d2``, ``nn`` (0-based), payload.
+    Queries in frames without points have no rows.
     """
     keys = list(keys)
+    who = [*keys, query_id]
+    cloud = points.select(*keys, point_id, *point_xyz, *payload)
+    if radius is None:
+        radius = _first_radius(cloud, k, keys, point_xyz)
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    todo = materialise(
-        queries.select(*keys, query_id, *query_xyz)
+    todo = (
+        queries.select(*who, *query_xyz)
         .join(sizes, keys)
         .withColumn("_need", F.least(F.col("_n"), F.lit(k)))
         .drop("_n")
     )
-    cloud = points.select(*keys, point_id, *point_xyz, *payload)
-    found, left = None, todo.count()
-    while left:
-        nearest = Window.partitionBy(*keys, query_id).orderBy("d2", point_id)
-        pairs = radius_join(todo, cloud, radius, keys, query_xyz, point_xyz)
+    found = None
+    while True:
+        nearest = Window.partitionBy(*who).orderBy("d2", point_id)
+        pairs = radius_join(todo, cloud, radius, keys, query_xyz, point_xyz, spread=who)
         top = pairs.withColumn("nn", F.row_number().over(nearest)).where(F.col("nn") <= k)
-        complete = top.withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*keys, query_id)))
+        complete = top.withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*who)))
         settled = materialise(
             complete.where(F.col("_found") >= F.col("_need")).select(
-                *keys, query_id, point_id, "d2", (F.col("nn") - 1).alias("nn"), *payload
+                *who, point_id, "d2", (F.col("nn") - 1).alias("nn"), *payload
             )
         )
         found = settled if found is None else found.unionByName(settled)
-        todo = materialise(todo.join(settled.select(*keys, query_id).distinct(), [*keys, query_id], "left_anti"))
-        left = todo.count()
+        todo = todo.join(settled.where("nn = 0").select(*who), who, "left_anti")
+        if todo.isEmpty():
+            return found
         radius *= 2
-    if found is None:
-        empty = queries.join(cloud, keys).select(
-            *keys, query_id, point_id, F.lit(0.0).alias("d2"), F.lit(0).alias("nn"), *payload
-        )
-        return empty.where(F.lit(False))
-    return found

@@ -108,7 +108,7 @@ pairs AS (SELECT *, (x - tx) * r0 + (y - ty) * r3 + (z - tz) * r6 AS lx, (x - tx
 
 
 def pairs(spark, sf):
-    return radius_join(M.query_points(spark, sf), M.points(spark, sf), 0.04)
+    return radius_join(M.query_points(spark, sf), M.points(spark, sf), 0.04, spread=["frame_id", "cand_idx"])
 
 
 @register("c6_to_local_frame", f"WITH {PAIRS} SELECT frame_id, cand_idx, point_idx, {s6('lx', 'ly', 'lz')} FROM pairs")
@@ -171,7 +171,7 @@ NEAR = f"""{PAIRS}, nn AS (SELECT *, row_number() OVER (PARTITION BY frame_id, c
 )
 def c9_nearest_join(spark, sf):
     points = M.points(spark, sf).withColumn("label", (F.col("point_idx") % 6).cast("int"))
-    return C.nearest_join(M.query_points(spark, sf), points, radius=0.005).select(
+    return C.nearest_join(M.query_points(spark, sf), points).select(
         "frame_id", "cand_idx", "nearest_label", *r6("distance")
     )
 
@@ -196,7 +196,7 @@ def c9_nearest_within(spark, sf):
     FROM c LEFT JOIN nn n ON n.frame_id = c.frame_id AND n.cand_idx = c.cand_idx AND n.nn = c.slot""",
 )
 def c10_knn_groups(spark, sf):
-    df = C.knn_groups(M.query_points(spark, sf), M.points(spark, sf), 8, radius=0.01)
+    df = C.knn_groups(M.query_points(spark, sf), M.points(spark, sf), 8)
     return df.select("frame_id", "cand_idx", "slot", "point_idx", *r6("dx", "dy", "dz"))
 
 
