@@ -155,7 +155,7 @@ def latency_summary(
         F.max("ms").alias("max_ms"),
         F.stddev_pop("ms").alias("std_ms"),
     ]
-    if groups_bounded(long, keys, limit):
+    if groups_bounded(batches, by, limit):
         out = long.groupBy(*keys).agg(*moments, *[F.percentile("ms", F.lit(q)).alias(n) for n, q in quantiles.items()])
     else:
         out = long.groupBy(*keys).agg(*moments).join(

@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from rankforge import schemas as S
 from rankforge.operators.geometry import ROTATION, mask_points, pick_mask, project_to_pixel, stride_subset
-from rankforge.operators.sampling import farthest_point_sample
+from rankforge.operators.sampling import SAMPLE_LIMIT, farthest_point_sample
 from rankforge.plans.greedy import assign_leaders, greedy_leaders
 from rankforge.plans.groups import groups_bounded, rank_within
+from rankforge.session import materialise
 
 # Candidates of one frame that one vectorised pass may hold.
 CLUSTER_LIMIT = 20_000
@@ -23,15 +24,15 @@ XYZ = ("tx", "ty", "tz")
 
 
 OWNERS = T.StructType(
-    [T.StructField("leader", T.ArrayType(T.IntegerType())), T.StructField("cluster", T.ArrayType(T.LongType()))]
+    [T.StructField("leader_idx", T.ArrayType(T.LongType())), T.StructField("cluster_id", T.ArrayType(T.LongType()))]
 )
 
 
 def _leader_owner(radius: float):
     @F.pandas_udf(OWNERS)
-    def owner(xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.DataFrame:
+    def owner(ids: pd.Series, xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.DataFrame:
         leaders, clusters = [], []
-        for x, y, z in zip(xs, ys, zs):
+        for i, x, y, z in zip(ids, xs, ys, zs):
             p = np.stack([x, y, z], axis=1).astype(np.float64)
             own, number = np.zeros(len(p), dtype=np.int32), np.zeros(len(p), dtype=np.int64)
             free, opened = np.arange(len(p)), 0
@@ -42,9 +43,9 @@ def _leader_owner(radius: float):
                 near[0] = True
                 own[free[near]], number[free[near]] = lead, opened
                 free, opened = free[~near], opened + 1
-            leaders.append(own)
+            leaders.append(np.asarray(i, dtype=np.int64)[own])
             clusters.append(number)
-        return pd.DataFrame({"leader": leaders, "cluster": clusters})
+        return pd.DataFrame({"leader_idx": leaders, "cluster_id": clusters})
 
     return owner
 
@@ -66,14 +67,11 @@ def leader_cluster(
     rows = df.select(*keys, idx, *[F.col(c).cast("double").alias(c) for c in xyz])
     if groups_bounded(rows, keys, limit):
         lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(idx, *xyz))).alias("_p"))
-        axes = [F.col(f"_p.{c}") for c in xyz]
-        ids = F.col(f"_p.{idx}")
+        fields = [F.col(f"_p.{c}") for c in (idx, *xyz)]
         members = F.arrays_zip(
-            ids.alias(idx),
-            F.transform("_o.leader", lambda i: F.get(ids, i)).alias("leader_idx"),
-            F.col("_o.cluster").alias("cluster_id"),
+            fields[0].alias(idx), F.col("_o.leader_idx").alias("leader_idx"), F.col("_o.cluster_id").alias("cluster_id")
         )
-        owned = lists.withColumn("_o", _leader_owner(radius)(*axes))
+        owned = lists.withColumn("_o", _leader_owner(radius)(*fields))
         return owned.select(*keys, F.explode(members).alias("_m")).select(*keys, "_m.*")
     leaders = greedy_leaders(rows, keys, idx, xyz, radius)
     numbered = rank_within(leaders, keys, [F.asc(idx)], "_n", limit).select(
@@ -194,7 +192,8 @@ def object_cloud(
     ``input_points`` is set and then sampled to ``budget``.
     """
     keys = list(keys)
-    clusters = leader_cluster(candidates, cluster_radius, keys)
+    # Clusters and choices feed several branches; each is computed once.
+    clusters = materialise(leader_cluster(candidates, cluster_radius, keys))
     openers = clusters.where(F.col(S.CANDIDATE) == F.col("leader_idx")).select(*keys, S.CANDIDATE, "cluster_id")
     prompts = openers.join(candidates.select(*keys, S.CANDIDATE, *XYZ), [*keys, S.CANDIDATE])
     pixels = project_to_pixel(prompts, cameras, keys, XYZ, image).where("inside")
@@ -203,9 +202,8 @@ def object_cloud(
         .join(mask_pixels, [*keys, "v", "u"])
         .join(masks, [*keys, "mask_idx"])
     )
-    chosen = pick_mask(offered, [*keys, "cluster_id"], image[0] * image[1], **mask_rule).where(
-        F.col("mask_idx").isNotNull()
-    )
+    picked = pick_mask(offered, [*keys, "cluster_id"], image[0] * image[1], **mask_rule)
+    chosen = materialise(picked.where(F.col("mask_idx").isNotNull()))
     # Many clusters may pick the same mask; its cloud is sampled once.
     wanted = mask_pixels.join(chosen.select(*keys, "mask_idx").distinct(), [*keys, "mask_idx"], "left_semi")
     lifted = mask_points(points, wanted, keys).withColumn("point_idx", F.col("v") * image[1] + F.col("u"))
@@ -216,7 +214,9 @@ def object_cloud(
         tagged = lifted.join(sizes, per_mask)
         thin = stride_subset(tagged.where("_over"), input_points, per_mask).drop("slot")
         lifted = thin.unionByName(tagged.where(~F.col("_over"))).drop("_over")
-    sampled = farthest_point_sample(lifted, per_mask, budget)
+    # No mask lifts more points than its area.
+    small = masks.where(F.col("area") > SAMPLE_LIMIT).isEmpty() or None
+    sampled = farthest_point_sample(lifted, per_mask, budget, bounded=small)
     clouds = sampled.groupBy(*per_mask).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("slot", "x", "y", "z"))),

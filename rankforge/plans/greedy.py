@@ -21,7 +21,7 @@ CELL = ["_c0", "_c1", "_c2"]
 
 def _spread(df: DataFrame) -> DataFrame:
     """Each row once per cell around its own."""
-    out = df.withColumn("_a", F.explode(around([F.col(c) for c in CELL]))).drop(*CELL)
+    out = df.withColumn("_a", F.explode(around(CELL))).drop(*CELL)
     return out.withColumns({c: F.col(f"_a.c{i}") for i, c in enumerate(CELL)}).drop("_a")
 
 

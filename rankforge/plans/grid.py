@@ -24,14 +24,13 @@ def cell_of(coords: Sequence[str], size: float) -> list[Column]:
     return [F.floor(F.col(c) / F.lit(size * CELL_SLACK)) for c in coords]
 
 
-def around(cell: Sequence[Column]) -> Column:
-    """Array of the 27 cells around one cell, as structs c0, c1, c2."""
-    return F.array(
-        *[
-            F.struct(*[(c + F.lit(d)).alias(f"c{i}") for i, (c, d) in enumerate(zip(cell, step))])
-            for step in product((-1, 0, 1), repeat=3)
-        ]
+def around(cell: Sequence[str]) -> Column:
+    """Array of the 27 cells around the cell in three columns, as structs c0, c1, c2."""
+    cells = (
+        "struct(" + ", ".join(f"{c} + {d} AS c{i}" for i, (c, d) in enumerate(zip(cell, step))) + ")"
+        for step in product((-1, 0, 1), repeat=3)
     )
+    return F.expr(f"array({', '.join(cells)})")
 
 
 def squared_distance(a: Sequence[str], b: Sequence[str]) -> Column:
@@ -61,7 +60,7 @@ def radius_join(
         parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         q = q.repartition(parts, *spread)
     q = q.withColumns({f"_q{i}": c for i, c in enumerate(cell_of(query_xyz, radius))})
-    q = q.withColumn("_c", F.explode(around([F.col(f"_q{i}") for i in range(3)])))
+    q = q.withColumn("_c", F.explode(around(["_q0", "_q1", "_q2"])))
     q = q.select(*queries.columns, *[F.col(f"_c.c{i}").alias(f"_c{i}") for i in range(3)])
     p = points.withColumns({f"_c{i}": c for i, c in enumerate(cell_of(point_xyz, radius))})
     pairs = q.join(p, [*keys, "_c0", "_c1", "_c2"]).withColumn("d2", squared_distance(query_xyz, point_xyz))
@@ -119,12 +118,13 @@ def knn_join(
     if radius is None:
         radius = _first_radius(cloud, k, keys, point_xyz)
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    todo = (
+    todo = materialise(
         queries.select(*who, *query_xyz)
         .join(sizes, keys)
         .withColumn("_need", F.least(F.col("_n"), F.lit(k)))
         .drop("_n")
     )
+    left = todo.count()
     found = None
     while True:
         nearest = Window.partitionBy(*who).orderBy("d2", point_id)
@@ -137,7 +137,9 @@ def knn_join(
             )
         )
         found = settled if found is None else found.unionByName(settled)
-        todo = todo.join(settled.where("nn = 0").select(*who), who, "left_anti")
-        if todo.isEmpty():
+        first = settled.where("nn = 0").select(*who)
+        left -= first.count()
+        if left <= 0:
             return found
+        todo = todo.join(first, who, "left_anti")
         radius *= 2
