@@ -35,14 +35,14 @@ def _leader_owner(radius: float):
         for i, x, y, z in zip(ids, xs, ys, zs):
             p = np.stack([x, y, z], axis=1).astype(np.float64)
             own, number = np.zeros(len(p), dtype=np.int32), np.zeros(len(p), dtype=np.int64)
-            free, opened = np.arange(len(p)), 0
+            # Positions and coordinates of the free candidates shrink together.
+            free, left, opened = np.arange(len(p)), p, 0
             while len(free):
-                lead = free[0]
-                d = p[free] - p[lead]
-                near = (d * d).sum(axis=1) < radius * radius
+                d = left - left[0]
+                near = np.einsum("ij,ij->i", d, d) < radius * radius
                 near[0] = True
-                own[free[near]], number[free[near]] = lead, opened
-                free, opened = free[~near], opened + 1
+                own[free[near]], number[free[near]] = free[0], opened
+                free, left, opened = free[~near], left[~near], opened + 1
             leaders.append(np.asarray(i, dtype=np.int64)[own])
             clusters.append(number)
         return pd.DataFrame({"leader_idx": leaders, "cluster_id": clusters})
