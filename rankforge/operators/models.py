@@ -11,13 +11,20 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankforge import schemas as S
 from rankforge.functions.expressions import hash_order, quality_target
-from rankforge.plans.groups import GROUP_LIMIT, groups_bounded, rank_within, require_none, scan_within
+from rankforge.plans.groups import (
+    GROUP_LIMIT,
+    attach_stats,
+    groups_bounded,
+    rank_within,
+    require_none,
+    scan_within,
+)
 
 # Candidates handed to a labelling callback in one call.
 CALL_ROWS = 65_536
@@ -190,6 +197,7 @@ def feature_reliance(
     seed: int = 0,
     batch: str = "batch",
     idx: str = S.CANDIDATE,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """How much a score depends on some features: one row of measures.
 
@@ -198,14 +206,11 @@ def feature_reliance(
     change over the score's spread; ``raw_centered_rms`` is the spread of the
     features themselves. Batches of one row are left out.
     """
-    place = Window.partitionBy(batch).orderBy(idx)
-    mixed = Window.partitionBy(batch).orderBy(hash_order(seed, F.col(idx)), idx)
-    rows = (
-        df.select(batch, idx, *{*inputs, *shuffled})
-        .withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(batch)))
-        .where(F.col("_size") >= 2)
-        .withColumns({"_at": F.row_number().over(place), "_mix": F.row_number().over(mixed)})
-    )
+    data = df.select(batch, idx, *{*inputs, *shuffled})
+    bounded = groups_bounded(data, [batch], limit)
+    sized = attach_stats(data, [batch], {"_size": F.count(F.lit(1))}, bounded).where(F.col("_size") >= 2)
+    rows = rank_within(sized, [batch], [F.asc(idx)], "_at", limit, bounded)
+    rows = rank_within(rows, [batch], [hash_order(seed, F.col(idx)), F.asc(idx)], "_mix", limit, bounded)
     donors = rows.select(batch, F.col("_mix").alias("_at"), *[F.col(c).alias(f"_d_{c}") for c in shuffled])
     both = rows.join(donors, [batch, "_at"])
     normal = predict({c: F.col(c) for c in inputs})

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rankforge import schemas as S
 from rankforge.functions.expressions import check_weight, success_label
+from rankforge.operators.scoring import rerank
 from rankforge.sources.catalog import parse_frame_path
 from rankforge.sources.dumps import decode_dump_rows
 
@@ -70,6 +73,31 @@ def stream_rerank(
     )
 
 
+def rerank_batches(
+    candidates: DataFrame,
+    lam: float,
+    out: str,
+    checkpoint: str,
+    keys: Sequence[str] = S.FRAME_KEYS,
+) -> StreamingQuery:
+    """Re-rank candidate rows per micro-batch, for frames too large for one record.
+
+    A frame's rows must arrive in one trigger. Each batch is ranked by the batch
+    operator, which splits large frames, and written under its own number, so a
+    repeated batch replaces itself.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        rerank(batch, lam, keys=keys).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (
+        candidates.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(save)
+        .start()
+    )
+
+
 def stream_ingest(
     spark: SparkSession,
     root: str,

@@ -354,19 +354,27 @@ def c16_leader_cluster(spark, sf):
 @register(
     "c17_broadcast_cluster_payload",
     f"""{LEADERS}, c AS (SELECT *, dense_rank() OVER (PARTITION BY frame_id ORDER BY leader_idx) - 1 AS cluster_id FROM own),
-    pay AS (SELECT frame_id, cluster_id, CAST(count(*) AS BIGINT) AS members FROM c GROUP BY ALL HAVING count(*) > 1)
-    SELECT frame_id, cand_idx, cluster_id, coalesce(members, 0) AS cloud_points FROM c LEFT JOIN pay USING (frame_id, cluster_id)""",
+    pay AS (SELECT frame_id, cluster_id, max(cand_idx) AS last_member FROM c GROUP BY ALL HAVING count(*) > 1)
+    SELECT frame_id, cand_idx, cluster_id, CASE WHEN last_member IS NULL THEN 0 ELSE 2 END AS cloud_points, last_member
+    FROM c LEFT JOIN pay USING (frame_id, cluster_id)""",
 )
 def c17_broadcast_cluster_payload(spark, sf):
-    """Members of a cluster as its payload; a cluster of one has none."""
+    """First and last member of a cluster as its payload; a cluster of one has none."""
     clusters = K.leader_cluster(posed(spark, sf))
     payload = (
         clusters.groupBy(*S.FRAME_KEYS, "cluster_id")
-        .agg(F.collect_list("cand_idx").alias("object_cloud"))
-        .where(F.size("object_cloud") > 1)
+        .agg(F.count(F.lit(1)).alias("n"), F.array(F.min("cand_idx"), F.max("cand_idx")).alias("object_cloud"))
+        .where("n > 1")
+        .drop("n")
     )
     out = K.broadcast_cluster_payload(clusters, payload)
-    return out.select("frame_id", "cand_idx", "cluster_id", F.size("object_cloud").cast("long").alias("cloud_points"))
+    return out.select(
+        "frame_id",
+        "cand_idx",
+        "cluster_id",
+        F.size("object_cloud").alias("cloud_points"),
+        F.get("object_cloud", F.lit(1)).alias("last_member"),
+    )
 
 
 NMS = f"""WITH RECURSIVE {POSED},

@@ -301,23 +301,32 @@ def b12_map_object_ids(spark, sf):
     return B.map_object_ids(rows, bank, background="is_empty").select("cand_idx", "object_id")
 
 
-def frame_clouds(spark, sf):
-    """Orders as clouds: one point per line item, zero where nothing was discounted or taxed."""
+def block_clouds(spark, sf):
+    """Runs of 64 event ids as clouds (event_id is unique, so a cloud has 64 points at most).
+
+    Errors are zero points, as padding would be.
+    """
+    real = F.col("event_type") != "error"
     p = F.struct(
-        F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), (F.col("l_discount") * F.col("l_tax")).alias("z")
+        F.when(real, F.col("value") / 1000).otherwise(0.0).alias("x"),
+        F.when(real, F.col("value") / 500).otherwise(0.0).alias("y"),
+        F.lit(0.0).alias("z"),
+    )
+    block = F.floor(F.col("event_id") / 64).alias("block")
+    return M.table(spark, sf, "events").groupBy(block).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("event_id", p.alias("p")))), lambda e: e["p"]).alias("cloud")
     )
-    return M.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(p)).alias("cloud"))
 
 
-@register(
-    "b13_cloud_mask",
-    """SELECT l_orderkey, count(*) AS points, count(*) FILTER (WHERE l_discount <> 0 OR l_tax <> 0) AS real_points
-    FROM lineitem GROUP BY l_orderkey""",
-)
+BLOCKS = """n AS (SELECT event_id // 64 AS block, count(*) AS c, count(*) FILTER (WHERE event_type <> 'error' AND value <> 0) AS r,
+      sum(CASE WHEN event_type <> 'error' THEN value / 1000 ELSE 0 END) AS sx FROM events GROUP BY event_id // 64)"""
+
+
+@register("b13_cloud_mask", f"WITH {BLOCKS} SELECT block, c AS points, r AS real_points FROM n")
 def b13_cloud_mask(spark, sf):
-    df = B.cloud_mask(frame_clouds(spark, sf))
+    df = B.cloud_mask(block_clouds(spark, sf))
     return df.select(
-        "l_orderkey",
+        "block",
         F.size("cloud").cast("long").alias("points"),
         F.size(F.filter("cloud_mask", lambda m: m)).cast("long").alias("real_points"),
     )
@@ -325,21 +334,19 @@ def b13_cloud_mask(spark, sf):
 
 @register(
     "b14_pad_clouds",
-    """WITH n AS (SELECT l_orderkey, count(*) AS c, count(*) FILTER (WHERE l_discount <> 0 OR l_tax <> 0) AS r,
-                         round(sum(l_discount) + 2.3e-8, 6) AS sx FROM lineitem GROUP BY l_orderkey)
-    SELECT l_orderkey, (SELECT max(c) FROM n) AS width, r AS real_points, r AS stripped, sx + 0.0 AS sum_x FROM n""",
+    f"""WITH {BLOCKS} SELECT block, (SELECT max(c) FROM n) AS width, r AS real_points, r AS stripped, round(sx + 2.3e-8, 6) + 0.0 AS sum_x FROM n""",
 )
 def b14_pad_clouds(spark, sf):
-    padded = B.pad_clouds(B.cloud_mask(frame_clouds(spark, sf)))
+    padded = B.pad_clouds(B.cloud_mask(block_clouds(spark, sf)))
     back = padded.withColumns({"width": F.size("cloud"), "sum_x": F.aggregate("cloud", F.lit(0.0), lambda a, p: a + p["x"])})
     back = back.withColumn("real_points", F.size(F.filter("cloud_mask", lambda m: m)))
     out = B.strip_padding(back)
     return out.select(
-        "l_orderkey",
+        "block",
         F.col("width").cast("long").alias("width"),
         F.col("real_points").cast("long").alias("real_points"),
         F.size("cloud").cast("long").alias("stripped"),
-        F.round(F.col("sum_x") + NUDGE, 6).alias("sum_x"),
+        *r6("sum_x"),
     )
 
 

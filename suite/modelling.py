@@ -8,12 +8,15 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rankforge import schemas as S
+from rankforge.operators import labels as B
 from rankforge.operators import models as K
 from rankforge.operators import quality as H
+from rankforge.plans.groups import groups_bounded
 from rankforge.session import shared_dir
 from rankforge.sources import dumps as D
 from rankforge.streaming import jobs as J
 from suite import mappings as M
+from suite.labelling import block_clouds
 from suite.registry import r6, register, s6
 from suite.statistics import MANIFEST, manifest
 
@@ -113,6 +116,8 @@ RANKED = f"""WITH {M.ZED}, f AS (SELECT *, {M.fused_sql(0.5)} FROM zed)
 @register("j1_stream_rerank", RANKED)
 def j1_stream_rerank(spark, sf):
     """Frames arrive as a stream of files; the sink must equal the batch ranking."""
+    if not groups_bounded(M.candidates(spark, sf), S.FRAME_KEYS, K.CALL_ROWS):
+        return j1_rerank_batches(spark, sf)
     source, sink = fresh(spark, "frames"), fresh(spark, "ranked")
     entry = F.struct("cand_idx", "base_score", "model_score")
     frames = M.candidates(spark, sf).groupBy(*S.FRAME_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("candidates"))
@@ -130,6 +135,17 @@ def j1_stream_rerank(spark, sf):
     return spark.read.parquet(sink).select("scene_id", "frame_id", "cand_idx", *r6("fused"), "rank")
 
 
+@register("j1_rerank_batches", RANKED)
+def j1_rerank_batches(spark, sf):
+    """Candidate rows arrive as a stream and are ranked per micro-batch, frames of any size."""
+    source, out = fresh(spark, "rows"), fresh(spark, "ranked")
+    rows = M.candidates(spark, sf)
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    J.rerank_batches(stream, 0.5, out, fresh(spark, "check")).awaitTermination()
+    return spark.read.parquet(f"{out}/batch=*").select("scene_id", "frame_id", "cand_idx", *r6("fused"), "rank")
+
+
 @register("j2_stream_ingest", DUMPED)
 def j2_stream_ingest(spark, sf):
     """Dumps ingested by a stream in two runs; the second finds nothing new."""
@@ -202,22 +218,19 @@ def point_encoder():
 
 @register(
     "k3_embed_objects",
-    """WITH g AS (SELECT o_orderkey, count(l_orderkey) AS n, avg(l_discount) AS m0, avg(l_tax) AS m1, avg(l_discount + l_discount * l_tax) AS m2,
-        max(l_discount) AS x0, max(l_tax) AS x1, max(l_discount + l_discount * l_tax) AS x2 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)
-    SELECT o_orderkey, CAST(slot AS INTEGER) AS slot, CAST(round(coalesce([m0, m1, m2, x0, x1, x2][slot + 1], 0) * 1000 + 0.0123) AS INTEGER) AS milli
+    """WITH p AS (SELECT event_id // 64 AS block, CASE WHEN event_type <> 'error' THEN value / 1000 ELSE 0 END AS x,
+                         CASE WHEN event_type <> 'error' THEN value / 500 ELSE 0 END AS y, event_type <> 'error' AND value <> 0 AS live FROM events),
+    g AS (SELECT block, avg(x) FILTER (WHERE live) AS m0, avg(y) FILTER (WHERE live) AS m1, max(x) FILTER (WHERE live) AS x0,
+                 max(y) FILTER (WHERE live) AS x1 FROM p GROUP BY block)
+    SELECT block, CAST(slot AS INTEGER) AS slot, CAST(round(coalesce([m0, m1, m0, x0, x1, x0][slot + 1], 0) * 1000 + 0.0123) AS INTEGER) AS milli
     FROM g, range(0, 6) t(slot)""",
 )
 def k3_embed_objects(spark, sf):
-    """Orders as objects, their items as points; orders without items give zeros."""
-    point = F.struct(F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), (F.col("l_discount") * F.col("l_tax")).alias("z"))
-    items = M.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(point).alias("object_cloud"))
-    orders = M.table(spark, sf, "orders").select("o_orderkey")
-    clouds = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        "o_orderkey", F.coalesce("object_cloud", F.array().cast(items.schema["object_cloud"].dataType)).alias("object_cloud")
-    )
-    out = K.embed_objects(clouds, point_encoder, 3, keys=["o_orderkey"])
-    return out.select("o_orderkey", F.posexplode("pooled").alias("slot", "p")).select(
-        "o_orderkey", "slot", F.round(F.col("p").cast("double") * 1000 + 0.0123).cast("int").alias("milli")
+    """Real points of the event blocks, pooled per block."""
+    clouds = B.strip_padding(B.cloud_mask(block_clouds(spark, sf), "cloud")).withColumnRenamed("cloud", "object_cloud")
+    out = K.embed_objects(clouds, point_encoder, 3, keys=["block"])
+    return out.select("block", F.posexplode("pooled").alias("slot", "p")).select(
+        "block", "slot", F.round(F.col("p").cast("double") * 1000 + 0.0123).cast("int").alias("milli")
     )
 
 
