@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,5 +34,15 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: Sequence[t
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def map_texts(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
+    """``rows`` (columns ``_key`` and others) through an Arrow function that returns ``_key`` and ``schema``.
+
+    Keys travel as text, so that null and very large integers come back as they were.
+    """
+    kind = rows.schema["_key"].dataType
+    done = rows.withColumn("_key", F.col("_key").cast("string")).mapInPandas(run, f"_key string, {schema}")
+    return done.select(F.col("_key").cast(kind).alias(key), *[F.col(f"`{c}`") for c in done.columns[1:]])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

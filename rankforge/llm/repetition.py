@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from rankforge.llm.common import pick
+from rankforge.llm.common import map_texts, pick
 
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 WINDOW = 3
@@ -167,5 +167,4 @@ def repetition_rules(
                 at = to
 
     rows = pick(docs, key, text).toDF("_key", "_text")
-    kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"_key {kind}, {OUT}").withColumnRenamed("_key", key)
+    return map_texts(rows, key, run, OUT)

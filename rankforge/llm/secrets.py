@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from rankforge.llm.automaton import DEAD, Automaton, compile_rules
-from rankforge.llm.common import pick
+from rankforge.llm.common import map_texts, pick
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,4 @@ def scan_secrets(
             yield pd.DataFrame({"_key": frame["_key"].array, "spans": out})
 
     rows = pick(docs, key, text).toDF("_key", "_text")
-    kind = rows.schema["_key"].dataType.simpleString()
-    schema = f"_key {kind}, spans array<struct<kind:string,first:long,last:long>>"
-    return rows.mapInPandas(run, schema).withColumnRenamed("_key", key)
+    return map_texts(rows, key, run, "spans array<struct<kind:string,first:long,last:long>>")
