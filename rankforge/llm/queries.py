@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from rankforge.llm import q_classifier, q_html, q_jaccard, q_mixing, q_repetition, q_secrets, q_tokens, q_urls  # noqa: F401  (modules register their queries)
+from rankforge.llm import q_classifier, q_decontaminate, q_html, q_jaccard, q_mixing, q_repetition, q_secrets, q_tokens, q_urls  # noqa: F401  (modules register their queries)
 from rankforge.llm.registry import ORACLES, QUERIES  # noqa: F401
