@@ -6,9 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankforge.llm import stages
 from rankforge.session import shared_dir
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", stages.keep_quality),
+    ("n-gram Jaccard join", stages.keep_one_of_each),
+    ("benchmark decontamination", stages.keep_uncontaminated),
+    ("source mixing", stages.mix),
+    ("token-id output", stages.tokenise),
+]
 #: SQL cannot express the fitted and iterative stages; tests hold them against brute force.
 ORACLE_SQL = None
 

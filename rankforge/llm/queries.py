@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-from rankforge.llm import q_classifier, q_decontaminate, q_html, q_jaccard, q_mixing, q_repetition, q_secrets, q_tokens, q_urls  # noqa: F401  (modules register their queries)
+from rankforge.llm import (  # noqa: F401  (modules register their queries)
+    q_classifier,
+    q_decontaminate,
+    q_html,
+    q_jaccard,
+    q_mixing,
+    q_preferences,
+    q_repetition,
+    q_secrets,
+    q_tokens,
+    q_urls,
+)
 from rankforge.llm.registry import ORACLES, QUERIES  # noqa: F401
