@@ -25,9 +25,7 @@ from rankforge.plans.groups import (
     require_none,
     scan_within,
 )
-
-# Candidates handed to a labelling callback in one call.
-CALL_ROWS = 65_536
+from rankforge.session import materialise
 
 
 def label_with(
@@ -36,18 +34,20 @@ def label_with(
     schema: str,
     keys: Sequence[str] = S.FRAME_KEYS,
     idx: str = S.CANDIDATE,
-    rows_per_call: int = CALL_ROWS,
+    rows_per_call: int | None = None,
 ) -> DataFrame:
     """Label columns from a callback ``(candidates of a frame, meta) -> columns``.
 
-    ``schema`` names the label columns. A frame beyond ``rows_per_call`` rows is
-    given in consecutive pieces of that size, so its callback must label rows
-    independently. A column of the wrong length is an error.
+    ``schema`` names the label columns. The callback always sees a whole frame,
+    which then is one task's work. A callback that labels rows independently may
+    say so with ``rows_per_call``: every frame is then given in consecutive
+    pieces of that many rows, whatever its size. A column of the wrong length is
+    an error.
     """
     keys = list(keys)
     labels = T.StructType.fromDDL(schema)
     rows, parts = df, keys
-    if not groups_bounded(df, keys, rows_per_call):
+    if rows_per_call:
         ranked = rank_within(df, keys, [F.asc(idx)], "_n")
         rows = ranked.withColumn("_piece", F.floor((F.col("_n") - 1) / rows_per_call)).drop("_n")
         parts = [*keys, "_piece"]
@@ -234,6 +234,34 @@ def passes_gate(reliance: DataFrame, min_rms: float = 0.0, min_ratio: float = 0.
     )
 
 
+def _improved_by_margin(placed: DataFrame, run: Sequence[str], min_delta: float, limit: int) -> DataFrame:
+    """Add ``improved``: epochs below the last improvement by more than ``min_delta``, from the first eligible one.
+
+    An improvement is lower than everything before it, so only those records
+    matter. Along a run they fall, hence a record's successor is the earliest
+    record below it by the margin: a running minimum of places in order of
+    value. The chain from the first record is then marked by pointer doubling,
+    in as many rounds as the logarithm of its length.
+    """
+    eligible = placed.where(F.col("eligible") & F.col("_m").isNotNull()).select(*run, "_p", "_m")
+    lows = scan_within(eligible, run, [F.asc("_p")], {"_low": ("min", F.col("_m"))}, limit)
+    records = materialise(lows.groupBy(*run, "_low").agg(F.min("_p").alias("_p")))
+    asked = records.select(*run, (F.col("_low") - min_delta).alias("_v"), F.lit(0).alias("_side"), "_p", F.lit(None).cast("long").alias("_at"))
+    known = records.select(*run, F.col("_low").alias("_v"), F.lit(1).alias("_side"), "_p", F.col("_p").alias("_at"))
+    # Equal values do not count: questions come before records.
+    both = asked.union(known)
+    found = scan_within(both, run, [F.asc("_v"), F.asc("_side"), F.asc("_p")], {"_next": ("min", F.col("_at"))}, limit)
+    jumps = materialise(found.where((F.col("_side") == 0) & F.col("_next").isNotNull()).select(*run, F.col("_p").alias("_from"), F.col("_next").alias("_to")))
+    reached = materialise(records.groupBy(*run).agg(F.min("_p").alias("_from")))
+    while not jumps.isEmpty():
+        further = reached.join(jumps, [*run, "_from"]).select(*run, F.col("_to").alias("_from"))
+        reached = materialise(reached.union(further).distinct())
+        after = jumps.select(*run, F.col("_from").alias("_to"), F.col("_to").alias("_far"))
+        jumps = materialise(jumps.join(after, [*run, "_to"]).select(*run, "_from", F.col("_far").alias("_to")))
+    hits = reached.select(*run, F.col("_from").alias("_p"), F.lit(True).alias("improved"))
+    return placed.join(hits, [*run, "_p"], "left").withColumn("improved", F.coalesce("improved", F.lit(False)))
+
+
 def select_checkpoint(
     history: DataFrame,
     run: Sequence[str] = ("run",),
@@ -275,24 +303,7 @@ def select_checkpoint(
             "improved", F.col("eligible") & (F.col("_best").isNull() | (F.col("_m") < F.col("_best")))
         )
     else:
-        if not bounded:
-            raise ValueError(f"a run with min_delta is folded epoch by epoch and may have {limit} epochs at most")
-        step = F.struct("epoch", "eligible", "_m")
-        fold = F.aggregate(
-            F.array_sort(F.collect_list(step)),
-            F.struct(F.lit(float("inf")).alias("best"), F.array().cast("array<bigint>").alias("hits")),
-            lambda acc, e: F.when(
-                e["eligible"] & (e["_m"] < acc["best"] - F.lit(min_delta)),
-                F.struct(e["_m"].alias("best"), F.concat(acc["hits"], F.array(e["epoch"].cast("bigint"))).alias("hits")),
-            ).otherwise(acc),
-        )
-        hits = rows.groupBy(*run).agg(fold.alias("_f")).select(*run, F.col("_f.hits").alias("_hits"))
-        marked = (
-            rank_within(rows, run, order, "_p", limit, bounded)
-            .join(hits, run)
-            .withColumn("improved", F.array_contains("_hits", F.col("epoch").cast("bigint")))
-            .drop("_hits")
-        )
+        marked = _improved_by_margin(rank_within(rows, run, order, "_p", limit, bounded), run, min_delta, limit)
     waits = F.col("eligible") & ~F.col("improved")
     counted = scan_within(
         marked,

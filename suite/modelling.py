@@ -11,7 +11,6 @@ from rankforge import schemas as S
 from rankforge.operators import labels as B
 from rankforge.operators import models as K
 from rankforge.operators import quality as H
-from rankforge.plans.groups import groups_bounded
 from rankforge.session import shared_dir
 from rankforge.sources import dumps as D
 from rankforge.streaming import jobs as J
@@ -116,8 +115,6 @@ RANKED = f"""WITH {M.ZED}, f AS (SELECT *, {M.fused_sql(0.5)} FROM zed)
 @register("j1_stream_rerank", RANKED)
 def j1_stream_rerank(spark, sf):
     """Frames arrive as a stream of files; the sink must equal the batch ranking."""
-    if not groups_bounded(M.candidates(spark, sf), S.FRAME_KEYS, K.CALL_ROWS):
-        return j1_rerank_batches(spark, sf)
     source, sink = fresh(spark, "frames"), fresh(spark, "ranked")
     entry = F.struct("cand_idx", "base_score", "model_score")
     frames = M.candidates(spark, sf).groupBy(*S.FRAME_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("candidates"))
@@ -291,19 +288,38 @@ def history(spark, sf):
     return ranked.select("run", (F.col("_n") - 1).alias("epoch"), (F.col("_n") * 100).alias("steps"), "metric")
 
 
-@register(
-    "k7_select_checkpoint",
-    f"""WITH {HISTORY},
-    a AS (SELECT *, (epoch + 1) * 100 AS steps, (epoch + 1) * 100 >= 300 AS eligible FROM h),
-    b AS (SELECT *, min(CASE WHEN eligible THEN metric END) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM a),
-    c AS (SELECT *, eligible AND (best IS NULL OR metric < best) AS improved FROM b),
-    d AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS best_epoch,
+STEPS = f"{HISTORY}, a AS (SELECT *, (epoch + 1) * 100 AS steps, (epoch + 1) * 100 >= 300 AS eligible FROM h)"
+CHOSEN = """d AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS best_epoch,
                  min(CASE WHEN improved THEN metric END) OVER (PARTITION BY run ORDER BY epoch) AS best_metric,
                  epoch + 1 - coalesce(max(CASE WHEN improved OR NOT eligible THEN epoch + 1 END) OVER (PARTITION BY run ORDER BY epoch), 0) AS waited FROM c),
     e AS (SELECT *, NOT improved AND epoch + 1 >= 5 AND best_epoch IS NOT NULL AND waited >= 20 AS stop FROM d)
     SELECT run, epoch, steps, metric, eligible, improved, best_epoch, best_metric, waited, stop FROM e
-    WHERE epoch <= coalesce((SELECT min(epoch) FROM e x WHERE x.run = e.run AND x.stop), 1000000)""",
+    WHERE epoch <= coalesce((SELECT min(epoch) FROM e x WHERE x.run = e.run AND x.stop), 1000000)"""
+
+
+@register(
+    "k7_select_checkpoint",
+    f"""WITH {STEPS},
+    b AS (SELECT *, min(CASE WHEN eligible THEN metric END) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM a),
+    c AS (SELECT *, eligible AND (best IS NULL OR metric < best) AS improved FROM b),
+    {CHOSEN}""",
 )
 def k7_select_checkpoint(spark, sf):
     """Order priorities as runs, months as epochs, mean price as the metric."""
     return K.select_checkpoint(history(spark, sf), min_steps=300, patience=20, min_epochs=5)
+
+
+@register(
+    "k7_select_checkpoint_margin",
+    f"""WITH RECURSIVE {STEPS},
+    chain AS (
+      SELECT run, min(epoch) AS epoch, arg_min(metric, epoch) AS metric FROM a WHERE eligible GROUP BY run
+      UNION ALL
+      SELECT k.run, min(a.epoch), arg_min(a.metric, a.epoch) FROM chain k
+      JOIN a ON a.run = k.run AND a.eligible AND a.epoch > k.epoch AND a.metric < k.metric - 250 GROUP BY k.run, k.epoch),
+    c AS (SELECT a.*, chain.epoch IS NOT NULL AS improved FROM a LEFT JOIN chain ON chain.run = a.run AND chain.epoch = a.epoch),
+    {CHOSEN}""",
+)
+def k7_select_checkpoint_margin(spark, sf):
+    """The same with a margin: an epoch counts when it is better by more than 250."""
+    return K.select_checkpoint(history(spark, sf), min_delta=250.0, min_steps=300, patience=20, min_epochs=5)
