@@ -55,6 +55,8 @@ DUMP_SCHEMA = T.StructType(
     ]
 )
 
+POINTS = T.ArrayType(T.StructType([T.StructField(n, T.FloatType(), False) for n in ("x", "y", "z")]), False)
+
 ARCHIVE_SCHEMA = T.StructType(
     DUMP_SCHEMA.fields[:-1]
     + [
@@ -62,41 +64,27 @@ ARCHIVE_SCHEMA = T.StructType(
         T.StructField("is_collision", T.BooleanType(), False),
         T.StructField("is_empty", T.BooleanType(), False),
         T.StructField("object_id", T.IntegerType(), False),
-        T.StructField(
-            "cloud",
-            T.ArrayType(
-                T.StructType(
-                    [T.StructField(n, T.FloatType(), False) for n in ("x", "y", "z")]
-                ),
-                False,
-            ),
-            False,
-        ),
+        T.StructField("cloud", POINTS, False),
+        T.StructField("object_cloud", POINTS, False),
         T.StructField("meta_json", T.StringType(), False),
     ]
 )
 
-MANIFEST_SCHEMA = T.StructType(
-    [
-        T.StructField("schema_version", T.IntegerType()),
-        T.StructField("relative_path", T.StringType()),
-        T.StructField("archive_size", T.LongType()),
-        T.StructField("archive_mtime_ns", T.LongType()),
-        T.StructField("scene_name", T.StringType()),
-        T.StructField("frame_id", T.IntegerType()),
-        T.StructField("detector", T.StringType()),
-        T.StructField("benchmark", T.StringType()),
-        T.StructField("split", T.StringType()),
-        T.StructField("camera", T.StringType()),
-        T.StructField("num", T.LongType()),
-        T.StructField("success_mu_thresh", T.DoubleType()),
-        T.StructField("success_count", T.LongType()),
-        T.StructField("collision_count", T.LongType()),
-        T.StructField("empty_count", T.LongType()),
-        T.StructField("mu_finite_count", T.LongType()),
-        T.StructField("mu_finite_sum", T.DoubleType()),
-        T.StructField("mu_finite_sumsq", T.DoubleType()),
-        T.StructField("base_sum", T.DoubleType()),
-        T.StructField("base_sumsq", T.DoubleType()),
-    ]
+# The manifest record's fields as they stand in files.
+MANIFEST_SCHEMA = (
+    "schema_version int, relative_path string, archive_size long, archive_mtime_ns long, scene_name string, "
+    "frame_id int, detector string, benchmark string, split string, camera string, num_grasps long, "
+    "success_mu_thresh double, success_count long, collision_count long, empty_count long, "
+    "mu_min_finite_count long, mu_min_nonfinite_count long, mu_min_finite_sum double, mu_min_finite_sumsq double, "
+    "base_score_sum double, base_score_sumsq double"
 )
+# The same fields under the names that tables use, where they differ.
+MANIFEST_NAMES = {
+    "num_grasps": "num",
+    "mu_min_finite_count": "mu_finite_count",
+    "mu_min_nonfinite_count": "mu_nonfinite_count",
+    "mu_min_finite_sum": "mu_finite_sum",
+    "mu_min_finite_sumsq": "mu_finite_sumsq",
+    "base_score_sum": "base_sum",
+    "base_score_sumsq": "base_sumsq",
+}

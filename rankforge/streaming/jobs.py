@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rankforge import schemas as S
 from rankforge.functions.expressions import check_weight, success_label
 from rankforge.operators.scoring import rerank
-from rankforge.sources.catalog import parse_frame_path
+from rankforge.sources.catalog import dedupe_layouts, parse_frame_path
 from rankforge.sources.dumps import decode_dump_rows
 
 
@@ -107,7 +107,14 @@ def stream_ingest(
     glob: str = "*.npy",
     per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Ingest dumps that are new since the last run, each exactly once, then stop."""
+    """Ingest dumps that are new since the last run, each exactly once, then stop.
+
+    Paths without scene or frame and files of other cameras are left out. Every
+    micro-batch chooses one layout per frame and writes under its own number, so
+    a repeated batch replaces itself; where
+    the layouts of a frame arrive in different batches, ``latest_ingested``
+    shows the camera layout only.
+    """
     reader = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
@@ -116,17 +123,30 @@ def stream_ingest(
     )
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    rows = decode_dump_rows(parse_frame_path(reader.load(root)), camera)
+
+    def save(batch: DataFrame, number: int) -> None:
+        files = parse_frame_path(batch)
+        chosen = dedupe_layouts(batch.select("path"), camera=camera).select("path")
+        rows = decode_dump_rows(files.join(chosen, "path", "left_semi"), camera)
+        rows.withColumn("flat", ~F.col("path").rlike(f"/{camera}/[^/]+$")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     return (
-        rows.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("camera", "split")
+        reader.load(root)
+        .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
+        .foreachBatch(save)
         .start()
     )
 
 
+def latest_ingested(spark: SparkSession, out: str) -> DataFrame:
+    """Candidates of all ingested batches, each frame in its camera layout if that has arrived."""
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    files = rows.groupBy("scene_id", "frame_id", "camera", "path").agg(F.min("flat").alias("flat"))
+    best = files.groupBy("scene_id", "frame_id", "camera").agg(F.min(F.struct("flat", "path"))["path"].alias("path"))
+    return rows.join(best.select("path"), "path", "left_semi").drop("batch", "flat")
+
+
 def stream_manifest(
     candidates: DataFrame,
     time: str | None = None,

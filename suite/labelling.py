@@ -41,11 +41,11 @@ def a2_parse_frame_path(spark, sf):
     f"""WITH {PARSED},
     k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_id
                  ORDER BY CASE WHEN path_camera IS NULL THEN 1 ELSE 0 END, path) AS rn
-          FROM parsed WHERE scene_id IS NOT NULL AND frame_id IS NOT NULL)
-    SELECT scene_id, frame_id, path FROM k WHERE rn = 1""",
+          FROM parsed WHERE scene_id IS NOT NULL AND frame_id IS NOT NULL AND coalesce(path_camera, 'realsense') = 'realsense')
+    SELECT scene_id, frame_id, 'realsense' AS camera, path FROM k WHERE rn = 1""",
 )
 def a3_dedupe_layouts(spark, sf):
-    return A.dedupe_layouts(M.paths(spark, sf))
+    return A.dedupe_layouts(M.paths(spark, sf), camera="realsense")
 
 
 @register(
@@ -56,7 +56,7 @@ def a3_dedupe_layouts(spark, sf):
     l AS (SELECT scene_id, frame_id, min(path) AS path FROM parsed
           WHERE path_split IS NULL AND scene_id IS NOT NULL AND frame_id IS NOT NULL GROUP BY ALL)
     SELECT scene_id, frame_id, path FROM t
-    UNION ALL SELECT l.* FROM l ANTI JOIN t USING (scene_id, frame_id)""",
+    UNION ALL SELECT l.* FROM l ANTI JOIN t USING (scene_id)""",
 )
 def a3_merge_legacy_trees(spark, sf):
     named = A.parse_frame_path(M.paths(spark, sf)).where("scene_id IS NOT NULL AND frame_id IS NOT NULL")

@@ -54,11 +54,23 @@ def dump_columns(df):
     return out.select("scene_id", "frame_id", "camera", "cand_idx", *r6("base_score", "ty"), "object_id")
 
 
+def dump_tree(spark, sf, root: str) -> None:
+    """The candidates as array dumps among files that a reader must leave alone:
+    the same frames in the flat layout, another camera, and a path without a frame."""
+    rows = full_rows(spark, sf)
+    D.write_dumps(rows, root).agg(F.sum("num")).collect()
+    other = rows.where("frame_id % 7 = 0").withColumn("base_score", F.col("base_score") + 1000)
+    for camera in (".", "kinect"):
+        D.write_dumps(other.withColumn("camera", F.lit(camera)), root).agg(F.sum("num")).collect()
+    with D.open_output(f"{root}/notes/readme_0001.npy") as stream:
+        stream.write(b"not an array")
+
+
 @register("a1_read_candidate_dumps", DUMPED)
 def a1_read_candidate_dumps(spark, sf):
-    """Write the candidates as array dumps, read every dump back."""
+    """Write the candidates among other files as array dumps, read back those of one camera."""
     root = fresh(spark, "dumps")
-    D.write_dumps(full_rows(spark, sf), root).agg(F.sum("num")).collect()
+    dump_tree(spark, sf, root)
     return dump_columns(D.read_candidate_dumps(spark, root, "realsense"))
 
 
@@ -100,7 +112,7 @@ def a6_a7_manifest_records(spark, sf):
             "success_mu_thresh": F.lit(S.SUCCESS_TAU),
         }
     )
-    D.write_records(rows.drop("scene_id"), out)
+    D.write_manifest(rows.drop("scene_id"), out)
     back = D.read_manifest(spark, out)
     return back.select(
         "schema_version", "scene_name", "frame_id", "camera", *H.MANIFEST_SUMS, F.round("mu_finite_sum", 4).alias("mu_finite_sum")
@@ -147,10 +159,10 @@ def j1_rerank_batches(spark, sf):
 def j2_stream_ingest(spark, sf):
     """Dumps ingested by a stream in two runs; the second finds nothing new."""
     root, out, check = fresh(spark, "dumps"), fresh(spark, "ingested"), fresh(spark, "check")
-    D.write_dumps(full_rows(spark, sf), root).agg(F.sum("num")).collect()
+    dump_tree(spark, sf, root)
     for _ in range(2):
         J.stream_ingest(spark, root, out, check, "realsense").awaitTermination()
-    return dump_columns(spark.read.parquet(out))
+    return dump_columns(J.latest_ingested(spark, out))
 
 
 @register(

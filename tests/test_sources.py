@@ -47,16 +47,27 @@ def test_archives(spark, tmp_path_factory):
     cloud = np.zeros((2, 4, 3), np.float32)
     cloud[0, :2] = 0.5
     np.savez(folder / "0004.npz", grasp_group_array=rows, mu_min=np.array([0.2, np.inf], np.float32), local_cloud=cloud,
-             is_empty=np.array([False, True]), meta_json=np.array(json.dumps({"camera": "kinect"})))
+             is_empty=np.array([False, True]), base_scores=np.array([0.9, 0.8], np.float32), object_cloud=cloud[:, :3] + 1, meta_json=np.array(json.dumps({"camera": "kinect"})))
     np.savez(folder / "0005.npz", grasp_group_array=rows[:1])
     df = D.read_archives(spark, str(tmp_path), "kinect").orderBy("frame_id", "cand_idx").collect()
     assert [(r.scene_id, r.frame_id, r.split, len(r.cloud)) for r in df] == [(7, 4, "train", 2), (7, 4, "train", 0), (7, 5, "train", 0)]
+    assert [r.base_score for r in df] == [np.float32(0.9), np.float32(0.8), 1.0]
+    assert [len(r.object_cloud) for r in df] == [3, 3, 0] and df[0].object_cloud[0].y == 1.5 and df[0].object_cloud[2].x == 1.0
     assert df[0].mu_min == np.float32(0.2) and df[2].mu_min == float("inf") and df[2].object_id == -1
     assert json.loads(df[0].meta_json) == {"camera": "kinect"} and df[2].meta_json == "{}"
     assert D.read_archives(spark, str(tmp_path), "realsense").count() == 0
     members = {r.path[-8:]: r.members for r in D.archive_members(spark, str(tmp_path)).collect()}
     assert members["0005.npz"] == ["grasp_group_array"]
     assert D.file_listing(spark, str(tmp_path)).where("length > 0").count() == 2
+    np.savez(folder / "0006.npz", grasp_group_array=rows, local_cloud=cloud, cloud_mask=np.ones((1, 4), bool))
+    with pytest.raises(Exception, match="cloud_mask has 1 rows"):
+        D.read_archives(spark, str(tmp_path)).collect()
+    other = tmp_path / "loose"
+    other.mkdir()
+    np.savez(other / "0009.npz", grasp_group_array=rows[:1], meta_json=np.array(json.dumps({"camera": "realsense", "scene_id": 12})))
+    loose = D.read_archives(spark, str(other)).collect()
+    assert [(r.scene_id, r.frame_id, r.camera) for r in loose] == [(12, 9, "realsense")]
+    assert D.read_archives(spark, str(other), "kinect").count() == 0
     np.savez(folder / "0006.npz", grasp_group_array=rows, mu_min=np.ones(1, np.float32))
     with pytest.raises(Exception, match="rows for 2 candidates"):
         D.read_archives(spark, str(tmp_path)).collect()
@@ -67,11 +78,13 @@ def test_archives(spark, tmp_path_factory):
 
 def test_manifest_versions(spark, tmp_path):
     good, bad = tmp_path / "good.jsonl", tmp_path / "bad.jsonl"
-    good.write_text('{"schema_version": 1, "num": 3}\n\n{"schema_version": 1, "num": 4}\n')
-    bad.write_text('{"schema_version": 2, "num": 3}\n')
+    good.write_text('{"schema_version": 1, "num_grasps": 3, "mu_min_nonfinite_count": 1}\n\n{"schema_version": 1, "num_grasps": 4}\n')
+    bad.write_text('{"schema_version": 99, "num_grasps": 3}\n')
     assert sorted(r.num for r in D.read_manifest(spark, str(good)).collect()) == [3, 4]
-    with pytest.raises(Exception, match="unsupported manifest"):
-        D.read_manifest(spark, str(bad)).collect()
+    assert D.read_manifest(spark, str(good)).agg(F.sum("mu_nonfinite_count")).first()[0] == 1
+    for read in (lambda df: df.collect(), lambda df: df.select("num").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="unsupported manifest"):
+            read(D.read_manifest(spark, str(bad)))
 
 
 def test_writers(spark, tmp_path):
