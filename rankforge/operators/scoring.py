@@ -223,15 +223,24 @@ def lambda_sweep(
     k: int = S.TOP_K,
     frictions: Sequence[float] = S.FRICTIONS,
     limit: int = GROUP_LIMIT,
+    frames: DataFrame | None = None,
 ) -> DataFrame:
     """AP of every frame, weight and friction from one scan of the candidates.
 
     Columns: keys, ``lam``, ``friction``, ``ap``. Scores are normalised once.
     Small frames are shuffled once and sorted once per weight; with large frames
     the weights are exploded and each map task keeps its own top ``k`` first.
+    Frames in ``frames`` without candidates score zero everywhere.
     """
     weights = [check_weight(w) for w in weights]
     keys = list(keys)
+    if frames is not None:
+        cells = lambda_sweep(df, weights, base, model, mu, keys, idx, k, frictions, limit)
+        absent = frames.select(*keys).distinct().join(df.select(*keys).distinct(), keys, "left_anti")
+        grid = absent.withColumn("lam", F.explode(F.array(*[F.lit(w) for w in weights]))).withColumn(
+            "friction", F.explode(F.array(*[F.lit(float(f)) for f in frictions]))
+        )
+        return cells.unionByName(grid.withColumn("ap", F.lit(0.0)))
     bounded = groups_bounded(df, keys, limit)
     narrow = df.select(*keys, idx, base, model, mu)
     scaled = zscore(narrow, {"base_z": base, "model_z": model}, keys, limit, bounded)

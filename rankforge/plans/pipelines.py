@@ -16,15 +16,17 @@ def compare_orders(
     candidates: DataFrame,
     lam: float,
     keys: Sequence[str] = S.FRAME_KEYS,
+    frames: DataFrame | None = None,
     **columns: str,
 ) -> DataFrame:
     """AP per test group of the detector order and of the fused order.
 
     The detector order is fusion weight 0 of the sweep, so both orders come from
     one normalisation and one shuffle of the candidates. A frame of equal base
-    scores keeps detector order in either reading.
+    scores keeps detector order in either reading. Frames in ``frames`` without
+    candidates score zero in both.
     """
-    cells = lambda_sweep(candidates, [0.0, lam], keys=keys, **columns)
+    cells = lambda_sweep(candidates, [0.0, lam], keys=keys, frames=frames, **columns)
     index = F.array_position(F.array(*[F.lit(float(f)) for f in S.FRICTIONS]), F.col("friction")) - 1
     prec = cells.select(
         "scene_id",

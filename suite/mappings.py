@@ -91,6 +91,18 @@ GROUP_CASE = """CASE WHEN scene_id BETWEEN 100 AND 129 THEN 'seen'
        WHEN scene_id BETWEEN 160 AND 189 THEN 'novel' END"""
 
 
+# Frames of a dump tree, most of them without a candidate.
+LISTED = """listed AS (SELECT DISTINCT 100 + c_custkey % 90 AS scene_id, c_custkey AS frame_id, 'realsense' AS camera FROM customer),
+absent AS (SELECT * FROM listed ANTI JOIN cand USING (scene_id, frame_id, camera))"""
+
+
+def listed_frames(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select(
+        (F.lit(100) + F.col("c_custkey") % 90).alias("scene_id"), F.col("c_custkey").alias("frame_id"), F.lit("realsense").alias("camera")
+    )
+
+
 def friction_tests(spark: SparkSession, sf: str) -> DataFrame:
     """Pass flags of every candidate at the six test frictions."""
     f10 = [round(f * 10) for f in FRICTION_TESTS]

@@ -243,25 +243,35 @@ def k3_embed_objects(spark, sf):
     )
 
 
-FEATURES = ["base_score", "model_score", "scene_id"]
-
-
-@register("k4_fit_quality")
+@register(
+    "k4_fit_quality",
+    f"""WITH {M.CAND} SELECT cand_idx, round(0.4::DOUBLE - least(mu_min, 2.0::DOUBLE) + 2.3e-8, 3) + 0.0 AS quality FROM cand""",
+)
 def k4_fit_quality(spark, sf):
-    """Predicted quality of every candidate from a robust linear fit."""
-    df = M.candidates(spark, sf)
-    model = K.fit_quality(df, FEATURES, maxIter=20)
-    return K.apply_model(df, model).select("cand_idx", F.round("predicted_quality", 4).alias("quality"))
+    """A robust linear fit among whose features the target is linear must return the target."""
+    df = M.candidates(spark, sf).withColumn("reach", F.least("mu_min", F.lit(2.0)) + F.col("model_score"))
+    model = K.fit_quality(df, ["base_score", "model_score", "reach"], maxIter=200, tol=1e-12)
+    return K.apply_model(df, model).select("cand_idx", F.round(F.col("predicted_quality") + 2.3e-8, 3).alias("quality"))
 
 
-@register("k5_fit_aux")
+@register(
+    "k5_fit_aux",
+    f"""WITH {M.CAND} SELECT cand_idx, raw_collision::INTEGER AS is_collision_pred, is_empty::INTEGER AS is_empty_pred,
+      CASE WHEN cand_idx % 4 > 0 THEN (cand_idx % 4 - 1)::INTEGER END AS object_id_pred FROM cand""",
+)
 def k5_fit_aux(spark, sf):
-    """Collision, empty and object predictions of every candidate."""
-    df = M.candidates(spark, sf).withColumn("is_collision", F.col("raw_collision"))
+    """Classes that a feature tells apart must be predicted as they are; unlabelled objects are left out."""
+    df = M.candidates(spark, sf).withColumns({"is_collision": F.col("raw_collision"), "object_id": (F.col("cand_idx") % 4 - 1).cast("int")})
+    flags = {"hit": F.col("is_collision"), "void": F.col("is_empty")} | {f"kind{i}": F.col("object_id") == i for i in range(3)}
+    df = df.withColumns({n: c.cast("double") for n, c in flags.items()})
     out = df
-    for model in K.fit_aux(df, FEATURES, maxIter=5).values():
+    for model in K.fit_aux(df, [*flags, "model_score"], maxIter=30).values():
         out = K.apply_model(out, model)
-    return out.select("cand_idx", "is_collision_pred", "is_empty_pred", "object_id_pred")
+    return out.select(
+        "cand_idx",
+        *[F.col(c).cast("int").alias(c) for c in ("is_collision_pred", "is_empty_pred")],
+        F.when(F.col("object_id") >= 0, F.col("object_id_pred")).cast("int").alias("object_id_pred"),
+    )
 
 
 @register(

@@ -41,11 +41,24 @@ def e3_rank_candidates(spark, sf):
     return E.rank_candidates(M.candidates(spark, sf), "base_score").select(*IDS, "rank")
 
 
-@register("e4_strictly_descending")
+# Scores of eight levels between 1/2 and 1, where a float32 step is 2^-24, so that ties are common.
+LEVEL = "0.5 + ((cand_idx * 7919) % 8 + 1) / 16.0"
+
+
+@register(
+    "e4_strictly_descending",
+    f"""WITH {M.CAND}, s AS (SELECT scene_id, frame_id, camera, cand_idx, ({LEVEL})::DOUBLE AS score FROM cand),
+    r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_id, camera ORDER BY score DESC, cand_idx) AS rank FROM s)
+    SELECT scene_id, frame_id, cand_idx, rank,
+           min(score + rank * power(2, -24)) OVER (PARTITION BY scene_id, frame_id, camera ORDER BY rank) - rank * power(2, -24) AS export_score
+    FROM r""",
+)
 def e4_strictly_descending(spark, sf):
-    """Export scores of the detector order, where ties are common."""
-    ranked = E.rank_candidates(M.candidates(spark, sf), "base_score")
-    return E.strictly_descending(ranked, "base_score").select(*IDS, "rank", "export_score")
+    """Export scores of an order with many ties: each at least one float32 step below the one before."""
+    level = F.lit(0.5) + ((F.col("cand_idx") * 7919) % 8 + 1) / 16.0
+    ranked = E.rank_candidates(M.candidates(spark, sf).withColumn("score", level), "score")
+    out = E.strictly_descending(ranked, "score")
+    return out.select(*IDS, "rank", F.col("export_score").cast("double").alias("export_score"))
 
 
 @register(
@@ -121,7 +134,24 @@ SWEEP_ROWS = ", ".join(f"({w!r}::DOUBLE)" for w in S.SWEEP_WEIGHTS)
     SELECT lam, {M.AP_COLS} FROM cells GROUP BY lam""",
 )
 def e9_lambda_sweep(spark, sf):
-    cells = E.lambda_sweep(M.candidates(spark, sf))
+    return sweep_means(E.lambda_sweep(M.candidates(spark, sf)))
+
+
+@register(
+    "e9_lambda_sweep_frames",
+    f"""WITH {M.ZED}, {M.LISTED},
+    f AS (SELECT *, (1 - lam) * base_z + lam * model_z AS fused FROM zed CROSS JOIN (VALUES {SWEEP_ROWS}) w(lam)),
+    {M.cells_sql('fused', 'f', 'filled', 'lam, ')},
+    cells AS (SELECT lam, friction_idx, precision FROM filled
+              UNION ALL SELECT lam, friction_idx, 0.0 FROM (SELECT DISTINCT lam, friction_idx, k FROM filled) CROSS JOIN absent)
+    SELECT lam, {M.AP_COLS} FROM cells GROUP BY lam""",
+)
+def e9_lambda_sweep_frames(spark, sf):
+    """The sweep over all listed frames: one without candidates scores zero."""
+    return sweep_means(E.lambda_sweep(M.candidates(spark, sf), frames=M.listed_frames(spark, sf)))
+
+
+def sweep_means(cells):
     at = {f: i for i, f in enumerate(S.FRICTIONS)}
     return cells.groupBy("lam").agg(
         F.round(F.avg("ap") * 100, 4).alias("ap"),
@@ -273,3 +303,20 @@ def g8_results_table(spark, sf):
 )
 def flagship(spark, sf):
     return compare_orders(M.candidates(spark, sf), 0.8)
+
+
+@register(
+    "compare_orders_frames",
+    f"""WITH {M.ZED}, {M.LISTED}, f AS (SELECT *, {M.fused_sql(0.8)} FROM zed),
+    {M.cells_sql('base_score', 'f', 'cb')}, {M.cells_sql('fused', 'f', 'ct')},
+    e AS (SELECT absent.*, x.k, x.friction_idx, x.friction, 0.0::DOUBLE AS precision
+          FROM absent CROSS JOIN (SELECT DISTINCT k, friction_idx, friction FROM cb) x),
+    g AS (SELECT 'detector' AS "order", scene_id, friction_idx, precision, {M.GROUP_CASE} AS grp FROM cb
+          UNION ALL SELECT 'fused', scene_id, friction_idx, precision, {M.GROUP_CASE} AS grp FROM ct
+          UNION ALL SELECT o, scene_id, friction_idx, precision, {M.GROUP_CASE} AS grp FROM e CROSS JOIN (VALUES ('detector'), ('fused')) t(o))
+    SELECT "order", 'overall' AS split, {M.AP_COLS} FROM g GROUP BY "order"
+    UNION ALL SELECT "order", grp AS split, {M.AP_COLS} FROM g GROUP BY "order", grp""",
+)
+def compare_orders_frames(spark, sf):
+    """Both orders over all listed frames."""
+    return compare_orders(M.candidates(spark, sf), 0.8, frames=M.listed_frames(spark, sf))
