@@ -81,14 +81,27 @@ def neighbours_bounded(
     return (crowd or 0) * 27 <= limit
 
 
-def _first_radius(points: DataFrame, k: int, keys: Sequence[str], xyz: Sequence[str]) -> float:
-    """Radius of a ball holding about ``k`` points at the mean density of the frames."""
+def start_radii(points: DataFrame, k: int, keys: Sequence[str], xyz: Sequence[str]) -> DataFrame:
+    """``keys, _n, _r`` per frame: its points, and the radius of a ball that holds about ``k`` (8 at least) of the central ones.
+
+    The box spans the middle half of each coordinate, so that points far out
+    change neither their own frame's radius nor any other's.
+    """
+    lo, hi, least, most = ([f"{name}{i}" for i in range(3)] for name in ("_lo", "_hi", "_min", "_max"))
     box = points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{i}") for i, c in enumerate(xyz)]
+        F.count(F.lit(1)).alias("_n"),
+        *[F.percentile_approx(c, F.lit(0.25), F.lit(1000)).alias(n) for c, n in zip(xyz, lo)],
+        *[F.percentile_approx(c, F.lit(0.75), F.lit(1000)).alias(n) for c, n in zip(xyz, hi)],
+        *[F.min(c).alias(n) for c, n in zip(xyz, least)],
+        *[F.max(c).alias(n) for c, n in zip(xyz, most)],
     )
-    volume = F.greatest(F.col("w0") * F.col("w1") * F.col("w2"), F.lit(1e-18))
-    ball = F.pow(volume * F.lit(k * 0.75 / math.pi) / F.col("n"), F.lit(1 / 3))
-    return box.agg(F.avg(ball)).first()[0] or 1.0
+    middle = [F.col(h) - F.col(w) for h, w in zip(hi, lo)]
+    # A frame that is flat in the middle falls back to its whole extent, and a single place to any radius.
+    whole = F.greatest(*[F.col(h) - F.col(w) for h, w in zip(most, least)])
+    widths = [F.when(w > 0, w).otherwise(whole * 0.5) for w in middle]
+    share = F.lit(max(k, 8) * 0.75 / math.pi) / (F.col("_n") / 8)
+    ball = F.pow(widths[0] * widths[1] * widths[2] * share, F.lit(1 / 3))
+    return box.select(*keys, "_n", F.when(whole > 0, F.greatest(ball, whole * 1e-6)).otherwise(F.lit(1.0)).alias("_r"))
 
 
 def knn_join(
@@ -108,38 +121,44 @@ def knn_join(
     A query is settled once ``k`` points (or all of its frame) lie within the
     radius; the others try again with twice the radius. Doubling reaches any
     distance in few rounds, and each round keeps at most ``k`` pairs per query in
-    every map task. The first radius follows the density of the points unless
-    given. Columns: keys, query id, point id, ``d2``, ``nn`` (0-based), payload.
+    every map task. Every frame starts at a radius that follows the density of
+    its own middle, unless one is given for all. Columns: keys, query id, point id, ``d2``, ``nn`` (0-based), payload.
     Queries in frames without points have no rows.
     """
     keys = list(keys)
     who = [*keys, query_id]
     cloud = points.select(*keys, point_id, *point_xyz, *payload)
-    if radius is None:
-        radius = _first_radius(cloud, k, keys, point_xyz)
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    frames = start_radii(cloud, k, keys, point_xyz)
+    if radius is not None:
+        frames = frames.withColumn("_r", F.lit(float(radius)))
+    frames = materialise(frames)
+    # Coordinates in units of the frame's radius give one grid for all frames.
+    unit_q, unit_p = [f"_uq{i}" for i in range(3)], [f"_up{i}" for i in range(3)]
+    cloud = cloud.join(frames.drop("_n"), keys).withColumns({u: F.col(c) / F.col("_r") for u, c in zip(unit_p, point_xyz)}).drop("_r")
     todo = materialise(
         queries.select(*who, *query_xyz)
-        .join(sizes, keys)
+        .join(frames, keys)
         .withColumn("_need", F.least(F.col("_n"), F.lit(k)))
-        .drop("_n")
+        .withColumns({u: F.col(c) / F.col("_r") for u, c in zip(unit_q, query_xyz)})
+        .drop("_n", "_r")
     )
-    left = todo.count()
-    found = None
+    found, reach = None, 1.0
     while True:
         nearest = Window.partitionBy(*who).orderBy("d2", point_id)
-        pairs = radius_join(todo, cloud, radius, keys, query_xyz, point_xyz, spread=who)
+        pairs = radius_join(todo, cloud, reach * (1 + 1e-9), keys, unit_q, unit_p, spread=who)
+        # Distances and ties are those of the given coordinates; a pair on the edge of
+        # the scaled ball does not settle its query.
+        pairs = pairs.withColumn("_in", F.col("d2") <= (reach * (1 - 1e-9)) ** 2)
+        pairs = pairs.withColumn("d2", squared_distance(query_xyz, point_xyz))
         top = pairs.withColumn("nn", F.row_number().over(nearest)).where(F.col("nn") <= k)
-        complete = top.withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*who)))
+        complete = top.withColumn("_found", F.count_if("_in").over(Window.partitionBy(*who)))
         settled = materialise(
             complete.where(F.col("_found") >= F.col("_need")).select(
                 *who, point_id, "d2", (F.col("nn") - 1).alias("nn"), *payload
             )
         )
         found = settled if found is None else found.unionByName(settled)
-        first = settled.where("nn = 0").select(*who)
-        left -= first.count()
-        if left <= 0:
+        todo = todo.join(settled.where("nn = 0").select(*who), who, "left_anti")
+        if todo.isEmpty():
             return found
-        todo = todo.join(first, who, "left_anti")
-        radius *= 2
+        reach *= 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rankforge.operators import clusters as K
 from rankforge.operators import geometry as C
 from rankforge.operators import sampling as N
-from rankforge.plans.grid import knn_join, radius_join
+from rankforge.plans.grid import knn_join, radius_join, start_radii
 from tests.conftest import as_set
 
 
@@ -43,6 +43,17 @@ def test_radius_join(cloud):
             assert got == want
 
 
+def test_a_far_point_leaves_the_start_radii(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f, *map(float, v)) for f in range(2) for v in rng.normal(0, 0.03, (200, 3))]
+    schema = "frame_id int, x double, y double, z double"
+    radii = [
+        {r["frame_id"]: r["_r"] for r in start_radii(spark.createDataFrame(data, schema), 8, ["frame_id"], ["x", "y", "z"]).collect()}
+        for data in (rows, rows + [(0, 500.0, 500.0, 500.0)])
+    ]
+    assert radii[0][1] == radii[1][1] and abs(radii[1][0] / radii[0][0] - 1) < 0.05
+
+
 def test_knn_join(cloud):
     p, q, points, queries = cloud
     want = []
