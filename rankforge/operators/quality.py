@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankforge import schemas as S
 from rankforge.functions.expressions import is_finite, success_label
-from rankforge.functions.stats import QUANTILES, boolean_stats, moment_aggs, numeric_stats
+from rankforge.functions.stats import QUANTILES, boolean_stats, merge_stats, mergeable_stats, moment_aggs, numeric_stats
 from rankforge.operators.scoring import first_argmax
 from rankforge.plans.groups import GROUP_LIMIT, exact_quantiles, groups_bounded, rank_within, require_none
 
@@ -214,6 +214,59 @@ def rerank_summary(records: DataFrame, scene: str = "scene_id") -> DataFrame:
     )
 
 
+FRAME_SERIES = ["candidate_count", "top1_export", "top1_fused", "top1_model", "top1_base_before", "top1_base_after"]
+
+
+def rerank_statistics(
+    ranked: DataFrame,
+    scores: Sequence[str] = ("export_score", "fused", "model_score", "base_score"),
+    keys: Sequence[str] = S.FRAME_KEYS,
+    limit: int = GROUP_LIMIT,
+) -> tuple[DataFrame, DataFrame]:
+    """Statistics of a re-ranking: (per-frame series, candidate-level scores).
+
+    ``ranked`` comes from ``rerank`` with export scores. The series are the
+    number of candidates of a frame and the scores of its first candidate, with
+    quantiles. Candidate-level scores merge one partial per frame, so they have
+    no quantiles and every candidate is read once.
+    """
+    first = lambda c: F.min_by(c, "rank")
+    tops = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("candidate_count"),
+        first("export_score").alias("top1_export"),
+        first("fused").alias("top1_fused"),
+        first("model_score").alias("top1_model"),
+        F.max("base_score").alias("top1_base_before"),
+        first("base_score").alias("top1_base_after"),
+    )
+    long = ranked.select(
+        *keys,
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in scores])).alias("_e"),
+    ).select(*keys, "_e.*")
+    return numeric_stats(tops, FRAME_SERIES, limit=limit), merge_stats(mergeable_stats(long, "value", [*keys, "column"]), ["column"])
+
+
+def dataset_summary(
+    df: DataFrame | None = None,
+    cloud: str = "cloud",
+    manifest: DataFrame | None = None,
+    scene: str = "scene_name",
+    tau: float = S.SUCCESS_TAU,
+    limit: int = GROUP_LIMIT,
+) -> tuple[DataFrame, DataFrame]:
+    """The seven blocks of a data set, or with ``manifest`` its totals without a scan of the candidates.
+
+    Blocks: base scores, friction, finite friction and non-zero points per cloud
+    (numeric), success, collision and empty (flags). From a manifest: its totals
+    and one row per scene, and the number of frames and candidates.
+    """
+    if manifest is not None:
+        counts = manifest.agg(F.count(F.lit(1)).alias("num_archives"), F.coalesce(F.sum("num"), F.lit(0)).alias("num_samples"))
+        return summarize_manifest(manifest, scene), counts
+    real = F.size(F.filter(cloud, lambda p: (p["x"] != 0) | (p["y"] != 0) | (p["z"] != 0)))
+    return full_summary(df.withColumn("_points", real), tau=tau, points="_points", limit=limit)
+
+
 def full_summary(
     df: DataFrame,
     by: Sequence[str] = (),

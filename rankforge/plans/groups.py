@@ -30,12 +30,14 @@ def groups_bounded(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT)
     )
 
 
-def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = GROUP_LIMIT) -> DataFrame:
     """Range-partition on (keys, order) and write the block number with each row.
 
-    The written table keeps block numbers stable however often it is read.
+    There are enough blocks that one holds about ``limit`` rows at most. The
+    written table keeps block numbers stable however often it is read.
     """
-    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.lit(1)).count()
+    blocks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // max(limit, 10_000)))
     ranged = df.repartitionByRange(blocks, *[F.col(k) for k in keys], *order)
     return materialise(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
@@ -79,7 +81,7 @@ def scan_within(
         out: ("sum", F.lit(1).cast("long")) if kind == "rank" else (kind, value)
         for out, (kind, value) in specs.items()
     }
-    rows = in_blocks(df.withColumns({f"_v_{o}": v for o, (_, v) in fold.items()}), keys, order)
+    rows = in_blocks(df.withColumns({f"_v_{o}": v for o, (_, v) in fold.items()}), keys, order, limit)
     totals = rows.groupBy(*keys, BLOCK).agg(
         *[_COMBINE[kind][0](f"_v_{o}").alias(f"_t_{o}") for o, (kind, _) in fold.items()]
     )

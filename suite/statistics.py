@@ -236,6 +236,78 @@ def f9_cloud_points(spark, sf):
     return rounded_stats(Z.numeric_stats(clouds, "points"), "column")
 
 
+CLOUDED = f"{FULL}, c AS (SELECT *, (cand_idx % 5 - (cand_idx % 5) // 3)::DOUBLE AS points FROM pt)"
+
+
+def clouded(spark, sf):
+    """Candidates with clouds of up to four points, of which every third is a zero point."""
+    point = lambda i: F.struct(*[F.when(i % 3 == 0, F.lit(0.0)).otherwise(F.lit(0.5)).alias(a) for a in "xyz"])
+    n = (F.col("cand_idx") % 5).cast("int")
+    cloud = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), point)).otherwise(F.array().cast("array<struct<x:double,y:double,z:double>>"))
+    return M.candidates(spark, sf).withColumns({"is_collision": F.col("raw_collision"), "cloud": cloud})
+
+
+@register(
+    "f9_dataset_blocks",
+    f"""WITH {CLOUDED}
+    SELECT 'base_scores' AS "column", {numeric_sql('base_score')} FROM c
+    UNION ALL SELECT 'mu_min', {numeric_sql('mu_min')} FROM c
+    UNION ALL SELECT 'mu_min_finite', {numeric_sql('mu_min')} FROM c WHERE isfinite(mu_min)
+    UNION ALL SELECT 'cloud_points', {numeric_sql('points')} FROM c""",
+)
+def f9_dataset_blocks(spark, sf):
+    """The numeric blocks of the data-set summary, points per cloud among them."""
+    stats, _ = H.dataset_summary(clouded(spark, sf))
+    return rounded_stats(stats, "column")
+
+
+@register(
+    "f9_manifest_only",
+    f"""WITH {MANIFEST} SELECT count(*) AS num_archives, CAST(sum(num) AS BIGINT) AS num_samples FROM man""",
+)
+def f9_manifest_only(spark, sf):
+    """The summary from a manifest alone."""
+    _, counts = H.dataset_summary(manifest=manifest(spark, sf).withColumn("scene_name", F.format_string("scene_%04d", "scene_id")))
+    return counts
+
+
+TOPS = f"""{M.ZED}, f AS (SELECT *, {M.fused_sql(0.7)} FROM zed),
+    k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_id, camera ORDER BY fused DESC, cand_idx) AS fr FROM f),
+    t AS (SELECT count(*)::DOUBLE AS candidate_count, max(fused) AS top1_fused, max(CASE WHEN fr = 1 THEN model_score END) AS top1_model,
+                 max(base_score) AS top1_base_before, max(CASE WHEN fr = 1 THEN base_score END) AS top1_base_after
+          FROM k GROUP BY scene_id, frame_id, camera)"""
+
+
+@register(
+    "f5_rerank_series",
+    f"WITH {TOPS} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {numeric_sql(c)} FROM t"
+        for c in ("candidate_count", "top1_fused", "top1_model", "top1_base_before", "top1_base_after")
+    ),
+)
+def f5_rerank_series(spark, sf):
+    """Statistics with quantiles of the per-frame series (export scores are float32 and have their own query)."""
+    series, _ = H.rerank_statistics(E.rerank(M.candidates(spark, sf), 0.7, export=True))
+    return rounded_stats(series.where(F.col("column") != "top1_export"), "column")
+
+
+@register(
+    "f5_candidate_scores",
+    f"WITH {TOPS} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS count, count(*) AS finite_count, 0::BIGINT AS nonfinite_count,
+        round(min({c}) + 2.3e-8, 6) + 0.0 AS min, round(max({c}) + 2.3e-8, 6) + 0.0 AS max, round(avg({c}) + 2.3e-8, 6) + 0.0 AS mean,
+        round(stddev_pop({c}) + 2.3e-8, 5) + 0.0 AS std FROM f"""
+        for c in ("fused", "model_score", "base_score")
+    ),
+)
+def f5_candidate_scores(spark, sf):
+    """Candidate-level statistics merged from one partial per frame."""
+    _, scores = H.rerank_statistics(E.rerank(M.candidates(spark, sf), 0.7, export=True), ["fused", "model_score", "base_score"])
+    return scores.select("column", *COUNTS, *r6("min", "max", "mean"), F.round(F.col("std") + 2.3e-8, 5).alias("std"))
+
+
 @register(
     "f10_latency_summary",
     """WITH b AS (SELECT l_linenumber AS run, l_extendedprice / 1000 AS ms, l_quantity AS frames,
