@@ -164,3 +164,16 @@ def test_trained_models(spark):
     aux = K.fit_aux(df, ["f0", "f1"], maxIter=10)
     out = K.apply_model(df, aux["is_collision"])
     assert out.where("cast(is_collision as double) = is_collision_pred").count() > 110
+
+
+def test_intermediates_have_an_owner(spark):
+    import os
+
+    from rankforge.session import intermediates, materialise
+
+    with intermediates(spark):
+        table = materialise(spark.range(5))
+        (path,) = {f.removeprefix("file:").removeprefix("//").rsplit("/", 1)[0] for f in table.inputFiles()}
+        assert table.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
+    assert materialise(spark.range(3)).count() == 3
