@@ -11,7 +11,8 @@ On Spark the merge is a sort-merge join of posting lists that counts hits per
 pair, and the probe a binary search in the sorted shingles of the other
 document. Equal sets are one node. Long lists are never joined with themselves
 as they are: their members are compared with one leader first, and then only
-across the components that these links leave apart.
+across the components that these links leave apart, where the differences from
+the leader leave a link possible.
 """
 
 from __future__ import annotations
@@ -115,22 +116,27 @@ def _reachable(num: int, den: int, shared: Column, a: str, b: str) -> Column:
     return shared * (num + den) >= (F.col(a) + F.col(b)) * num
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (``a, b``) whose similarity is enough: the rest of the lists is probed by binary search."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, common``: shared shingles of each pair, every list probed by binary search."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keep = []
+            found = []
             for x, y in zip(frame["_x"].tolist(), frame["_y"].tolist()):
                 few, many = sorted((np.asarray(x), np.asarray(y)), key=len)
                 at = np.searchsorted(many, few)
-                common = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                keep.append(den * common >= num * (len(few) + len(many) - common))
-            yield frame.loc[keep, ["a", "b"]]
+                found.append(int((many[np.minimum(at, len(many) - 1)] == few).sum()))
+            yield frame[["a", "b", "na", "nb"]].assign(common=found)
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("_all").alias("_x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("_all").alias("_y")), "b")
-    return materialise(both.select("a", "b", "_x", "_y").mapInPandas(run, "a long, b long"))
+    sized = both.select("a", "b", F.size("_x").cast("long").alias("na"), F.size("_y").cast("long").alias("nb"), "_x", "_y")
+    return materialise(sized.mapInPandas(run, "a long, b long, na long, nb long, common long"))
+
+
+def _links(overlaps: DataFrame, num: int, den: int) -> DataFrame:
+    union = F.col("na") + F.col("nb") - F.col("common")
+    return overlaps.where(den * F.col("common") >= num * union).select("a", "b")
 
 
 def jaccard_groups(
@@ -212,9 +218,11 @@ def jaccard_groups(
     used = plain.groupBy("node").agg(F.count(F.lit(1)).alias("_used")).union(
         chosen.groupBy("node").agg(F.count(F.lit(1)).alias("_used"))
     )
+    listed = chosen.where(F.col("_class").isNotNull()).select("h", "node", "n", "_short")
+    in_long = listed.groupBy("node").agg(F.first("_short").alias("_short"))
     levels = materialise(
-        nodes.select("node", "n", need.alias("_need")).join(used, "node").select(
-            "node", "n", (F.col("_used") - (F.col("n") - F.col("_need"))).alias("_l")
+        nodes.select("node", "n", need.alias("_need")).join(used, "node").join(in_long, "node", "left").select(
+            "node", "n", (F.col("_used") - (F.col("n") - F.col("_need"))).alias("_l"), "_short"
         )
     )
     one = shared.select("h", F.col("node").alias("a"))
@@ -222,33 +230,33 @@ def jaccard_groups(
     hits = one.join(two, (F.col("h") == F.col("_h")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("_hits")
     )
-    hits = hits.where(F.col("_hits") >= 1)
-    of = lambda c: levels.select(F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col("_l").alias(f"_l{c}"))
-    enough = F.col("_hits") >= F.least("_la", "_lb")
-    near = hits.join(of("a"), "a").join(of("b"), "b").where(
-        enough & _reachable(num, den, F.least("_na", "_nb"), "_na", "_nb")
+    of = lambda c: levels.select(
+        F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col("_l").alias(f"_l{c}"), F.col("_short").alias(f"_s{c}")
+    )
+    paired = hits.join(of("a"), "a").join(of("b"), "b").withColumn("_enough", F.col("_hits") >= F.least("_la", "_lb"))
+    # Where both are in long lists too, all their short lists were merged, so the hits say what these can give.
+    both_long = F.col("_sa").isNotNull() & F.col("_sb").isNotNull()
+    most = F.when(both_long, F.least(F.col("_na") - F.col("_sa"), F.col("_nb") - F.col("_sb")) + F.col("_hits"))
+    most = F.least(F.coalesce(most, F.col("_na")), F.col("_na"), F.col("_nb"))
+    paired = materialise(
+        paired.where((F.col("_enough") | both_long) & (_reachable(num, den, most, "_na", "_nb") | both_long)).select(
+            "a", "b", "_hits", both_long.alias("_long"), (_reachable(num, den, most, "_na", "_nb") & (F.col("_enough") | both_long)).alias("_open")
+        )
     )
-    near = materialise(near.select("a", "b", "_hits"))
+    near = paired.where("_open")
     best = near.groupBy("b").agg(F.max_by("a", F.struct("_hits", -F.col("a"))).alias("a")).select("a", "b")
 
-    # Long lists: first every member with one leader, the one with the fewest short lists.
-    listed = chosen.where(F.col("_class").isNotNull()).select("h", "node", "n", "_short")
+    # Long lists: every member is compared with one leader, the one with the fewest short lists.
     leaders = listed.groupBy("h").agg(F.min(F.struct("_short", "node", "n")).alias("_lead"))
-    leaders = leaders.where(F.col("_lead.node").isNotNull()).select(
-        "h", F.col("_lead.node").alias("_ln"), F.col("_lead.n").alias("_lsize"), F.col("_lead._short").alias("_lshort")
-    )
-    # What two members can share: lists that are not short for one of them, and fewer short ones than a hit count.
-    open_ = F.least(F.col("n") - F.col("_short"), F.col("_lsize") - F.col("_lshort")) + (HITS - 1)
-    led = (
-        listed.join(leaders, "h")
-        .where((F.col("node") != F.col("_ln")) & _reachable(num, den, F.least(open_, F.least("n", "_lsize")), "n", "_lsize"))
-        .select(F.least("node", "_ln").alias("a"), F.greatest("node", "_ln").alias("b"))
-    )
-    trial = materialise(best.union(led).distinct())
+    leaders = leaders.select("h", F.col("_lead.node").alias("_ln"), F.col("_lead.n").alias("_lsize"))
+    led = materialise(listed.join(leaders, "h"))
+    toward = led.where(F.col("node") != F.col("_ln")).select(F.least("node", "_ln").alias("a"), F.greatest("node", "_ln").alias("b"))
+    trial = materialise(best.union(toward).distinct())
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
     lacks = ends(near.select("a", "b")).join(sets.select("node"), "node", "left_anti")
     sets = sets.union(_full_sets(source, nodes.join(lacks, "node").select(*columns), width))
-    links = _verified(trial, sets, num, den)
+    compared = _overlaps(trial, sets)
+    links = _links(compared, num, den)
     labels = materialise(components(links))
 
     # Then only pairs whose components are still apart.
@@ -257,22 +265,39 @@ def jaccard_groups(
         return df.join(known, node, "left").withColumn(out, F.coalesce(out, node))
 
     apart = labelled(labelled(near.select("a", "b"), "a", "_ca"), "b", "_cb").where(F.col("_ca") != F.col("_cb"))
-    members = materialise(labelled(listed, "node", "_c"))
+    # Two members that are linked, but not both with their leader, lack the same of its
+    # shingles or have others in common: their differences from the leader overlap.
+    # Without a common short list (those pairs are in ``near``) what they can share
+    # beside the leader's shingles are long lists.
+    pair = [F.least("node", "_ln").alias("a"), F.greatest("node", "_ln").alias("b")]
+    known = led.withColumns({"a": pair[0], "b": pair[1]}).join(compared.select("a", "b", "common"), ["a", "b"], "left")
+    known = known.join(paired.where("_long").select("a", "b", "_hits"), ["a", "b"], "left")
+    common = F.when(F.col("node") == F.col("_ln"), F.col("n")).otherwise(F.col("common"))
+    met = F.when(F.col("node") == F.col("_ln"), F.col("_short")).otherwise(F.coalesce("_hits", F.lit(0)))
+    known = known.select(
+        "h", "node", "n", "_short",
+        (F.col("_lsize") - common).alias("_lacks"),
+        (F.col("n") - common).alias("_adds"),
+        (F.col("n") - common - F.col("_short") + met).alias("_others"),
+    )
+    members = materialise(labelled(known, "node", "_c"))
     mixed = members.groupBy("h").agg(F.min("_c").alias("_low"), F.max("_c").alias("_high")).where(F.col("_low") != F.col("_high"))
     members = materialise(members.join(mixed.select("h"), "h", "left_semi"))
-    other = members.select(
-        F.col("h").alias("_h"), F.col("node").alias("_ln"), F.col("n").alias("_lsize"), F.col("_short").alias("_lshort"), F.col("_c").alias("_lc")
-    )
+    other = members.toDF(*[f"{c}_" for c in members.columns])
+    apart_by = F.col("_lacks") + F.col("_adds") + F.col("_lacks_") + F.col("_adds_")
+    shared = F.least("_lacks", "_lacks_") + F.least("_others", "_others_")
+    long_only = F.least(F.col("n") - F.col("_short"), F.col("n_") - F.col("_short_"))
     across = members.join(
         other,
-        (F.col("h") == F.col("_h"))
-        & (F.col("_c") < F.col("_lc"))
-        & _reachable(num, den, F.least(open_, F.least("n", "_lsize")), "n", "_lsize"),
-    ).select(F.least("node", "_ln").alias("a"), F.greatest("node", "_ln").alias("b"))
+        (F.col("h") == F.col("h_"))
+        & (F.col("_c") < F.col("_c_"))
+        & _reachable(num, den, long_only, "n", "n_")
+        & ((apart_by - 2 * shared) * (den + num) <= (F.col("n") + F.col("n_")) * (den - num)),
+    ).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
     left = materialise(apart.select("a", "b").union(across.select("a", "b")).distinct().join(trial, ["a", "b"], "left_anti"))
     joined = labels
     if not left.isEmpty():
-        late_links = _verified(left, sets, num, den)
+        late_links = _links(_overlaps(left, sets), num, den)
         joined = components(links.union(late_links))
 
     # Back to rows: equal sets are one node, and sets too small to have partners stand alone.
