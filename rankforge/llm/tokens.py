@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,10 +20,16 @@ from rankforge.plans.groups import scan_within
 from rankforge.session import materialise, shared_dir
 
 BLOCK_IDS = 1_000_000
-CACHE_PIECES = 1_000_000
-# White space next to white space, or other than space and newline, takes part in
-# longer pre-tokens; such texts are encoded whole.
-_RUNS = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85]|<\|")
+CACHE_PIECES = 1_200_000
+LATIN_END = "\u0250"
+SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies use for bytes: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
@@ -31,53 +38,87 @@ class Encoder:
     The tokenizer splits before every single space and around every single
     newline between other characters, so the pieces between them can be encoded
     once and looked up again; the result is that of encoding the whole text.
+    Texts with any other white space are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same merges without the splitting pattern, for pieces that are one pre-token each.
+        self.single = Tokenizer(Tokenizer.from_file(path).model)
+        self.single.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters = _byte_letters()
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.mark = {c: self._whole(c) for c in ".,"}
+        self.marks: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], prefix: str, pieces: list[str]) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in known))
+        new = set(pieces).difference(known)
         if len(known) + 2 * len(new) > CACHE_PIECES:
             known.clear()
-            new = list(dict.fromkeys(pieces))
-        if "" in new:
-            new.remove("")
-            known[""] = self._whole(prefix)
-        # A full stop or comma behind a letter is a pre-token of its own.
-        tails = [p for p in new if p[-1] in ".," and p[-2:-1].isalpha()]
-        stems = dict.fromkeys(p[:-1] for p in tails)
-        rest = dict.fromkeys(p for p in new if not (p[-1] in ".," and p[-2:-1].isalpha()))
-        new = [p for p in (rest | stems) if p not in known]
-        self._encode(known, prefix, new)
-        known.update((p, known[p[:-1]] + self.mark[p[-1]]) for p in tails)
-
-    def _encode(self, known: dict[str, bytes], prefix: str, new: list[str]) -> None:
-        if not new:
+            new = set(pieces)
+        # Signs behind letters are a pre-token of their own.
+        tails, stems, words, others = [], set(), [], []
+        for p in new:
+            stem = p.rstrip(SIGNS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
+                if stem is not p and len(stem) < len(p):
+                    tails.append((p, stem, p[len(stem) :]))
+                    stems.add(stem)
+                else:
+                    words.append(p)
+            else:
+                others.append(p)
+        stems.difference_update(known)
+        stems.difference_update(words)
+        words += stems
+        letters = self.letters
+        spelt = [(prefix + p).encode().decode("latin-1").translate(letters) for p in words]
+        between = f" {letters[10]} "
+        self._store(known, words, self.single, [between.join(spelt[i : i + 100]) for i in range(0, len(spelt), 100)])
+        self._store(known, others, self.tokenizer, ["\n".join([prefix + p for p in others[i : i + 100]]) for i in range(0, len(others), 100)])
+        marks = self.marks
+        for p, stem, tail in tails:
+            if tail not in marks:
+                marks[tail] = self._whole(tail)
+            known[p] = known[stem] + marks[tail]
+
+    def _store(self, known: dict[str, bytes], pieces: list[str], tokenizer, texts: list[str]) -> None:
+        """Cut the ids of up to 100 pieces a text at the newlines between them."""
+        if not pieces:
             return
-        # One long text with a newline between pieces, cut again at the newline's id.
-        coded = self.tokenizer.encode("\n".join([prefix + p for p in new]), add_special_tokens=False)
-        ids = np.array(coded.ids, "<u4")
-        cuts = np.flatnonzero(ids == self.newline)
-        starts, ends = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
-        data = ids.tobytes()
-        known.update((p, data[4 * x : 4 * y]) for p, x, y in zip(new, starts, ends, strict=True))
+        ids: list[int] = []
+        for coded in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids += coded.ids
+            ids.append(self.newline)
+        codes = np.array(ids, "<u4")
+        ends = np.flatnonzero(codes == self.newline)
+        starts = np.append(0, ends[:-1] + 1).tolist()
+        data = codes.tobytes()
+        known.update((p, data[4 * x : 4 * y]) for p, x, y in zip(pieces, starts, ends.tolist(), strict=True))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _RUNS.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        lines = [line for doc in split if doc for line in doc]
-        self._learn(self.first, "", [line[0] for line in lines])
-        self._learn(self.spaced, " ", [p for line in lines for p in line[1:]])
+        split: list[list[list[str]] | None] = []
+        firsts, others = [], []
+        for t in texts:
+            words, gaps = t.split(), t.count(" ") + t.count("\n")
+            # Every white-space character is a space or newline, and stands alone between two words.
+            if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(t) or "<|" in t:
+                split.append(None)
+                continue
+            lines = [line.split(" ") for line in t.split("\n")]
+            split.append(lines)
+            for line in lines:
+                firsts.append(line[0])
+                others += line[1:]
+        self._learn(self.first, "", firsts)
+        self._learn(self.spaced, " ", others)
         newline, first, spaced = self._whole("\n"), self.first, self.spaced
         return [
             self._whole(t)
@@ -87,6 +128,14 @@ class Encoder:
         ]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which outlives its tasks and keeps the pieces it has learnt."""
+    kept = sys.modules.setdefault("rankforge_worker_encoders", types.ModuleType("rankforge_worker_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def _put(path: str, data: bytes) -> None:
     """Write a file under its name only when it is whole."""
     from pyarrow import fs
@@ -122,7 +171,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         keys: list = []
         codes: list[bytes] = []
