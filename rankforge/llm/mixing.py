@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.llm.common import WORD, pick
@@ -24,14 +24,14 @@ from rankforge.session import materialise
 EXACT = "decimal(38,6)"
 
 
-def _attach(left: DataFrame, right: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
-    """Join on source, nulls alike (and on size where both have it), keeping the left's columns."""
-    keys = [c for c in ("source", "size") if c in left.columns and c in right.columns]
+def _attach(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on source, nulls alike (and on size and cell where both have them), keeping the left's columns."""
+    keys = [c for c in ("source", "size", "_cell") if c in left.columns and c in right.columns]
     named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     match = F.lit(True)
     for k in keys:
         match = match & (F.col(k).eqNullSafe(F.col(f"_r_{k}")) if k == "source" else F.col(k) == F.col(f"_r_{k}"))
-    return left.join(named, match).drop(*[f"_r_{k}" for k in keys])
+    return left.join(named, match, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], total: float, limit: float) -> DataFrame:
@@ -168,6 +168,30 @@ def whole_copies(classes: DataFrame, state: DataFrame, limit: float, prior: floa
     return rounded
 
 
+def _given(sizes: DataFrame, copies: DataFrame, cell_rows: int) -> DataFrame:
+    """``sizes`` with ``_given``, the copies of each row.
+
+    All rows of a class get its whole share, and the rest goes to the rows whose
+    key hashes come first. A class of many rows is cut into cells by hash, and
+    every cell gets its part of the rest by running totals of cell sizes, so no
+    task ranks more than about ``cell_rows`` rows.
+    """
+    order = [F.xxhash64(F.col("_key").cast("string")), F.col("_key")]
+    large = copies.where(F.col("n") > cell_rows).select("source", "size", F.ceil(F.col("n") / cell_rows).alias("_cells"))
+    rows = _attach(sizes, large, "left")
+    rows = rows.select("_key", "source", "size", F.coalesce(F.pmod(F.hash(order[0]), F.col("_cells")), F.lit(0)).cast("long").alias("_cell"))
+    counted = materialise(rows.groupBy("source", "size", "_cell").agg(F.count(F.lit(1)).alias("_m")))
+    run = scan_within(counted, ["source", "size"], [F.col("_cell")], {"_upto": ("sum", F.col("_m"))})
+    share = F.floor(F.col("_copies") / F.col("n"))
+    rest = (F.col("_copies") - share * F.col("n")).cast("decimal(19,0)")
+    part = F.floor(rest * F.col("_upto") / F.col("n")) - F.floor(rest * (F.col("_upto") - F.col("_m")) / F.col("n"))
+    cells = _attach(run, copies).select("source", "size", "_cell", share.alias("_share"), part.cast("long").alias("_part"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "_cell").orderBy(*order))
+    placed = _attach(rows.withColumn("_place", place), cells)
+    given = F.col("_share") + (F.col("_place") <= F.col("_part")).cast("long")
+    return placed.select("_key", "source", "size", given.cast("long").alias("_given"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -176,6 +200,7 @@ def mix_sources(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    cell_rows: int = 500,
 ) -> DataFrame:
     """Decide how often each document enters the mix: one row per input row.
 
@@ -196,17 +221,13 @@ def mix_sources(
     prior = min(total, limit * (1 - 1e-6))
     state = balance(classes, targets, limit, prior)
     copies = whole_copies(classes, state, limit, prior)
-    order = [F.xxhash64(F.col("_key").cast("string")), F.col("_key")]
-    ranked = rank_within(sizes, ["source", "size"], order, out="_rank")
-    share = F.floor(F.col("_copies") / F.col("n"))
-    given = (share + (F.col("_rank") <= F.col("_copies") - share * F.col("n")).cast("long")).cast("long")
-    done = _attach(_attach(ranked, copies), targets)
+    done = _attach(_given(sizes, copies, cell_rows), targets)
     return done.select(
         F.col("_key").alias(key),
         "size",
         "source",
         "source_size",
         "target",
-        given.alias("copies"),
-        (given * F.col("size")).alias("taken"),
+        F.col("_given").alias("copies"),
+        (F.col("_given") * F.col("size")).alias("taken"),
     )
