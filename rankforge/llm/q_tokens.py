@@ -20,5 +20,5 @@ END_ID = 2
 
 @register("op5_token_ids")
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read, _ = token_output(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
-    return read.drop("ids")
+    read, _ = token_output(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, with_ids=False)
+    return read

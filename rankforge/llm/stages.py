@@ -74,5 +74,5 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id files of all rows, read back: ``doc_id, start, n_tokens, ids_crc32``."""
-    read, _ = token_output(docs, tokenizer_path(), END_ID)
-    return read.drop("ids")
+    read, _ = token_output(docs, tokenizer_path(), END_ID, with_ids=False)
+    return read

@@ -104,7 +104,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[list[str]] | None] = []
+        split: list[list[tuple[str, list[str]]] | None] = []
         firsts, others = [], []
         for t in texts:
             words, gaps = t.split(), t.count(" ") + t.count("\n")
@@ -112,18 +112,25 @@ class Encoder:
             if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(t) or "<|" in t:
                 split.append(None)
                 continue
-            lines = [line.split(" ") for line in t.split("\n")]
+            if "\n" in t:
+                at, lines = 0, []
+                for line in t.split("\n"):
+                    to = at + line.count(" ") + 1
+                    lines.append((words[at], words[at + 1 : to]))
+                    at = to
+            else:
+                lines = [(words[0], words[1:])]
             split.append(lines)
-            for line in lines:
-                firsts.append(line[0])
-                others += line[1:]
+            for head, rest in lines:
+                firsts.append(head)
+                others += rest
         self._learn(self.first, "", firsts)
         self._learn(self.spaced, " ", others)
         newline, first, spaced = self._whole("\n"), self.first, self.spaced
         return [
             self._whole(t)
             if doc is None
-            else newline.join([first[line[0]] + b"".join([spaced[p] for p in line[1:]]) for line in doc])
+            else newline.join([first[head] + b"".join([spaced[p] for p in rest]) for head, rest in doc])
             for t, doc in zip(texts, split)
         ]
 
@@ -209,8 +216,8 @@ def write_tokens(
     return materialise(text_keys.mapInPandas(run, "file string, n_docs long, n_ids long"))
 
 
-def read_tokens(manifest: DataFrame, root: str, key: str = "doc_id") -> DataFrame:
-    """Documents from the files of ``write_tokens``: ``key, start, n_tokens, ids_crc32, ids``.
+def read_tokens(manifest: DataFrame, root: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """Documents from the files of ``write_tokens``: ``key, start, n_tokens, ids_crc32`` and, if wanted, ``ids``.
 
     ``start`` counts the ids of all documents before it, ``ids`` are little-endian unsigned 32-bit.
     """
@@ -230,25 +237,26 @@ def read_tokens(manifest: DataFrame, root: str, key: str = "doc_id") -> DataFram
                 block, ends, keys, known = read_block(bytes(content))
                 ids = block.decode().astype("<u4")
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                data = ids.tobytes()
-                codes = [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pd.DataFrame(
-                    {
-                        key: pd.array(np.where(known, keys, 0), dtype="Int64").copy() if known.all() else pd.array([int(k) if o else None for k, o in zip(keys, known)], dtype="Int64"),
-                        "start": start + begins,
-                        "n_tokens": ends - begins,
-                        "ids_crc32": [zlib.crc32(c) for c in codes],
-                        "ids": codes,
-                    }
-                )
+                data = memoryview(ids.tobytes())
+                codes = [bytes(data[4 * a : 4 * b]) if with_ids else data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
+                table = {
+                    key: pd.array([int(k) if o else None for k, o in zip(keys.tolist(), known.tolist())], dtype="Int64"),
+                    "start": start + begins,
+                    "n_tokens": ends - begins,
+                    "ids_crc32": [zlib.crc32(c) for c in codes],
+                }
+                yield pd.DataFrame(table | {"ids": codes} if with_ids else table)
 
     # One manifest row per file of a million ids; Spark broadcasts it when its own size check allows.
     placed = files.join(before, "file").select("_start", "content")
-    return placed.mapInPandas(run, f"{key} long, start long, n_tokens long, ids_crc32 long, ids binary")
+    schema = f"{key} long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    return placed.mapInPandas(run, schema)
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int, root: str | None = None, **columns) -> tuple[DataFrame, str]:
+def token_output(
+    docs: DataFrame, tokenizer: str, end_id: int, root: str | None = None, with_ids: bool = True, **columns
+) -> tuple[DataFrame, str]:
     """Write all documents and read them back: the documents and the folder of the files."""
     root = root or f"{shared_dir(docs.sparkSession)}/rankforge/ids-{uuid.uuid4().hex}"
     manifest = write_tokens(docs, root, tokenizer, end_id, **columns)
-    return read_tokens(manifest, root), root
+    return read_tokens(manifest, root, with_ids=with_ids), root
