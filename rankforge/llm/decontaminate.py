@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import LOWER, SPACE, UPPER, pick
+from rankforge.llm.common import SPACE, pick
 from rankforge.session import materialise
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
@@ -24,9 +24,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def word_codes(text: Column) -> Column:
-    """Hashes of the words of a whole text, A-Z lower-cased; empty without words."""
-    words = F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), f"[{SPACE}]+"), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """Hashes of the words of a whole text, letters of any script lower-cased; empty without words.
+
+    Upper case first, so that letters with several lower-case forms (ß and ss, σ and ς) meet.
+    Lower case follows word by word: Catalyst drops the inner one of two nested case functions.
+    """
+    words = F.array_remove(F.split(F.upper(F.coalesce(text, F.lit(""))), f"[{SPACE}]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
 def _seeds(masks: Sequence[Sequence[int]], codes: str = "_codes") -> Column:

@@ -12,6 +12,7 @@ import pytest
 
 from rankforge.llm import queries
 from rankforge.llm.components import components
+from rankforge.llm.decontaminate import find_leaks
 from rankforge.llm.jaccard import jaccard_groups
 from rankforge.llm.q_tokens import END_ID, tokenizer_path
 from tests.oracle import compare, connect
@@ -99,6 +100,18 @@ def test_components_of_a_long_path_and_stars(spark):
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)}
 
 
+def test_leaks_in_capitals_of_any_script(spark):
+    words = [
+        "l’été où l’élève répéta ça près de la forêt brûlée à évreux déjà", "übung größe straße öl ähnlich über für späte gäste müde flöße böse fuß",
+        "мама мыла раму и пела песню о далёкой реке за лесом вечером", "ο λόγος της πόλης είναι ένας μύθος που δεν τελειώνει ποτέ σήμερα εδώ",
+    ]
+    items = spark.createDataFrame(list(enumerate(words)), "item_id long, text string")
+    docs = [(i + 10 * up, f"a b {w.upper() if up else w} c") for i, w in enumerate(words) for up in (0, 1)]
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i + 10 * up, i) for up in (0, 1) for i in range(4)]
+    assert all(r["n_matched"] == r["n_window"] for r in found)
+
+
 def test_classifier_on_held_out_rows(spark):
     scored = queries.QUERIES["op4_quality_classifier"](spark, MID).join(spark.read.parquet(f"{MID}/labels.parquet"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in scored)
