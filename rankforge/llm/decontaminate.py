@@ -6,12 +6,16 @@ equi-join; every hit names an alignment of an item with a document, and the
 alignment is then compared word by word.
 
 Each of the two masks alone hits every window of 13 words in which two or fewer
-are substituted, so the default rule (11 of 13 words) loses nothing.
+are substituted, so the default rule (11 of 13 words) loses nothing. Items of a
+length of which the masks lose cases get masks of their own length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations, groupby
+from math import ceil, comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +25,8 @@ from rankforge.session import materialise
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 BROADCAST_ROWS = 1_000_000
+# Bounds of the choice of masks, not of what they find.
+MOST_CHOICES, MOST_MASKS, LEAST_WORDS = 100_000, 64, 5
 
 
 def word_codes(text: Column) -> Column:
@@ -33,21 +39,63 @@ def word_codes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def _seeds(masks: Sequence[Sequence[int]], codes: str = "_codes") -> Column:
-    """Seeds of all masks, one array after the other; each has ``size - span + 1`` of them."""
-    span = max(m[-1] for m in masks) + 1
+def _covers(masks: Sequence[Sequence[int]], length: int, misses: int) -> bool:
+    """Whether every choice of ``misses`` places among ``length`` leaves some mask whole; false if there are too many to try."""
+    placed = {frozenset(s + o for o in mask) for mask in masks for s in range(length - mask[-1])}
+    if comb(length, misses) > MOST_CHOICES:
+        return False
+    return all(any(p.isdisjoint(lost) for p in placed) for lost in combinations(range(length), misses))
+
+
+def _cut_masks(length: int, misses: int) -> list[tuple[int, ...]]:
+    """Masks that find ``length`` words with ``misses`` substitutions: the words in parts, without any ``misses`` of the parts.
+
+    One part more than substitutions is enough. More parts give masks of more
+    words, and more of them: the fewest parts that give five words, within bounds.
+    """
+    best: tuple[int, list[tuple[int, ...]]] = (0, [])
+    for n in range(misses + 1, length + 1):
+        if best[1] and comb(n, misses) > MOST_MASKS:
+            break
+        parts = [range(length * k // n, length * (k + 1) // n) for k in range(n)]
+        kept = [[o for p in chosen for o in p] for chosen in combinations(parts, n - misses)]
+        words = min(map(len, kept))
+        if words > best[0]:
+            best = words, sorted({tuple(o - k[0] for o in k) for k in kept})
+        if words >= LEAST_WORDS:
+            break
+    return best[1]
+
+
+def masks_of(length: int, masks: Sequence[Sequence[int]], share: float) -> list[tuple[int, ...]]:
+    """Masks of which one at least hits every passage of ``length`` words that ``share`` accepts: the given ones if they do."""
+    misses = min(length - ceil(length * share - 1e-9), length - 1)
+    return [tuple(m) for m in masks] if _covers(masks, length, misses) else _cut_masks(length, misses)
+
+
+def _seeds(numbered: Sequence[tuple[int, Sequence[int]]], codes: str = "_codes") -> Column:
+    """Seeds of all masks, one array after the other; each has ``size - span + 1`` of them, or none."""
     parts = []
-    for number, mask in enumerate(masks):
+    for number, mask in numbered:
         words = ", ".join(f"{codes}[i + {o}]" for o in mask)
-        parts.append(f"transform(sequence(0, size({codes}) - {span}), i -> xxhash64({number}, {words}))")
+        seeds = f"transform(sequence(0, size({codes}) - {mask[-1] + 1}), i -> xxhash64({number}, {words}))"
+        parts.append(f"if(size({codes}) > {mask[-1]}, {seeds}, array())")
     return F.expr(f"concat({', '.join(parts)})")
 
 
-def _placed(rows: DataFrame, masks: Sequence[Sequence[int]], keep: Sequence[str], at: str) -> DataFrame:
-    span = max(m[-1] for m in masks) + 1
-    long = rows.where(F.size("_codes") >= span)
-    seeds = long.select(*keep, F.size("_codes").alias("_size"), F.posexplode(_seeds(masks)).alias("_at", "_seed"))
-    return seeds.select(*keep, "_seed", (F.col("_at") % (F.col("_size") - (span - 1))).alias(at))
+def _placed(rows: DataFrame, numbered: Sequence[tuple[int, Sequence[int]]], keep: Sequence[str], at: str) -> DataFrame:
+    """One row per mask and place: ``keep, _seed, at``."""
+    numbered = sorted(numbered, key=lambda m: m[1][-1])
+    seeds = rows.select(*keep, F.size("_codes").alias("_size"), F.posexplode(_seeds(numbered)).alias("_at", "_seed"))
+    # Masks of one span have equally many seeds: the place is the rest of the position in their part.
+    place, start = None, F.lit(0)
+    for span, group in groupby(numbered, key=lambda m: m[1][-1] + 1):
+        each = F.greatest(F.col("_size") - (span - 1), F.lit(0))
+        end = start + each * len(list(group))
+        here = (F.col("_at") - start) % each
+        place = F.when(F.col("_at") < end, here) if place is None else place.when(F.col("_at") < end, here)
+        start = end
+    return seeds.select(*keep, "_seed", place.alias(at))
 
 
 def find_leaks(
@@ -66,18 +114,28 @@ def find_leaks(
     One row per pair of keys. A passage is ``window`` successive words of an
     item (the whole item if shorter) of which at least ``share``, rounded up,
     stand in the same places of the document; ``n_matched`` is the most that any
-    such window has. Items with fewer words than a mask spans are never found.
+    such window has. No such passage is missed: for a length of which ``masks`` lose
+    cases, other masks are taken (``masks_of``).
     Null texts have no words. Null keys are a key of their own; rows that repeat
     a key are judged one by one and reported once. Other columns are not read.
     """
     items = pick(benchmark, item, item_text).toDF("_item", "_itext")
     items = materialise(items.select("_item", word_codes(F.col("_itext")).alias("_codes")).distinct())
-    tests = materialise(_placed(items, masks, ["_item"], "_iat"))
+    length = F.least(F.size("_codes"), F.lit(window))
+    numbers: dict[tuple[int, ...], int] = {}
+    placed = []
+    for (n,) in items.where(length > 0).select(length).distinct().sort(length).collect():
+        numbered = [(numbers.setdefault(m, len(numbers)), m) for m in masks_of(n, masks, share)]
+        placed.append(_placed(items.where(length == n), numbered, ["_item"], "_iat"))
+    if not placed:  # no item has words
+        numbers = {tuple(m): k for k, m in enumerate(masks)}
+        placed.append(_placed(items, [(k, m) for m, k in numbers.items()], ["_item"], "_iat"))
+    tests = materialise(reduce(DataFrame.unionByName, placed))
     if tests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         tests = F.broadcast(tests)
     source = pick(docs, key, text).toDF("_key", "_text")
     coded = source.select("_key", word_codes(F.col("_text")).alias("_codes"))
-    hits = _placed(coded, masks, ["_key"], "_at").join(tests, "_seed")
+    hits = _placed(coded, [(k, m) for m, k in numbers.items()], ["_key"], "_at").join(tests, "_seed")
     hits = materialise(hits.select("_key", "_item", (F.col("_at") - F.col("_iat")).alias("_shift")).distinct())
 
     # The words around hits: only documents with a hit are read again.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 import html as references
+import itertools
+import math
 import random
 import re
 import zlib
@@ -112,6 +114,32 @@ def test_leaks_in_capitals_of_any_script(spark):
     assert all(r["n_matched"] == r["n_window"] for r in found)
 
 
+@pytest.mark.parametrize("share", [0.8, 0.6])
+def test_leaks_of_short_items(spark, share):
+    rng = random.Random(4)
+    items, docs = {}, {}
+    for n in range(1, 16):
+        items[n] = [f"i{n}w{j}" for j in range(n)]
+        width = min(n, 13)
+        for misses in range(4):
+            for lost in itertools.islice(itertools.combinations(range(width), misses), 80):
+                copy = [rng.choice("abc") if j in lost else w for j, w in enumerate(items[n])]
+                docs[len(docs)] = rng.choices("abc", k=rng.randrange(3)) + copy + rng.choices("abc", k=rng.randrange(3))
+    docs[len(docs)] = []
+
+    def matched(own, item):
+        width = min(13, len(item))
+        return max(
+            (sum(0 <= i + j < len(own) and own[i + j] == item[s + j] for j in range(width))
+             for s in range(len(item) - width + 1) for i in range(-width, len(own))), default=0
+        )
+
+    best = {(k, n): (matched(d, w), min(13, n)) for k, d in docs.items() for n, w in items.items()}
+    expected = {(*pair, m, w) for pair, (m, w) in best.items() if m >= math.ceil(w * share - 1e-9)}
+    made = [spark.createDataFrame([(k, " ".join(w)) for k, w in t.items()], f"{key} long, text string") for t, key in ((docs, "doc_id"), (items, "item_id"))]
+    assert {tuple(r) for r in find_leaks(*made, share=share).collect()} == expected
+
+
 def test_classifier_on_held_out_rows(spark):
     scored = queries.QUERIES["op4_quality_classifier"](spark, MID).join(spark.read.parquet(f"{MID}/labels.parquet"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in scored)
