@@ -6,7 +6,8 @@ aggregated and divided by the number of blocks; both ratios are smoothed along
 the page, multiplied and compared with a threshold. Paths above it mark content,
 and the elements that hold them give the text, short blocks included. Parts
 whose element says that they are no article (menus, adverts, comments and the
-like) are left out beforehand.
+like) are left out beforehand. Names and forms count only where the article stands
+outside of them: elements that wrap it are kept whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var img wbr input".split()
 )
 NEVER = frozenset(
-    "head nav footer aside form button select option dialog menu svg math canvas object audio video template datalist fieldset legend".split()
+    "head nav footer aside button select option dialog menu svg math canvas object audio video template datalist fieldset legend".split()
 ) | RAW
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption table tbody thead tfoot tr td th caption hgroup address center".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("html body div section article main ul ol dl table tbody thead tfoot nav aside header footer form blockquote td th".split())
 KEEP = frozenset("html body article main".split())
-# Words of class, id and role that name parts other than the article.
+# Words of class, id and role that name parts other than the article, and words that
+# make of such a name a property of the layout around them.
 OTHER_PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menus "
     "breadcrumb breadcrumbs header masthead topbar footer foot bottom sidebar aside side rail widget widgets comment comments commentlist "
@@ -44,6 +46,7 @@ OTHER_PARTS = frozenset(
     "subscribe subscription signup login register form search social share sharing related recommended recommendations more pagination "
     "pager toolbar disclaimer legal copyright contentinfo complementary".split()
 )
+LAYOUT = frozenset("has no non not with without".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.DOTALL,
@@ -54,10 +57,11 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class _Element:
-    __slots__ = ("tag", "label", "out", "parent", "inline", "path")
+    __slots__ = ("tag", "label", "out", "named", "number", "parent", "inline", "path")
 
-    def __init__(self, tag: str, attributes: str, parent: "_Element | None"):
-        self.tag, self.parent, self.inline = tag, parent, tag in INLINE
+    def __init__(self, tag: str, attributes: str, parent: "_Element | None", number: int = 0, kept: frozenset[int] | None = None):
+        self.tag, self.parent, self.inline, self.number = tag, parent, tag in INLINE, number
+        self.named = tag == "form"
         label, out = tag, tag in NEVER or (tag == "header" and not _within(parent, "article", "main"))
         if attributes.strip():
             for name, *values in NAMES.findall(attributes):
@@ -68,13 +72,19 @@ class _Element:
                 if name == "class":
                     label = f"{tag}.{'.'.join(value.split())}"
                 if tag not in KEEP and not tag.startswith("h"):
-                    out |= not OTHER_PARTS.isdisjoint(w.lower() for w in WORDS.findall(value))
+                    self.named |= any(_names_other_part(token) for token in value.split())
         self.label = label
+        out |= self.named and kept is not None and number not in kept
         self.out = out or (parent is not None and parent.out)
         above = parent.path if parent else ""
         self.path = above if self.inline else f"{above}/{label}"
 
 
+def _names_other_part(token: str) -> bool:
+    words = {w.lower() for w in WORDS.findall(token)}
+    return not OTHER_PARTS.isdisjoint(words) and LAYOUT.isdisjoint(words)
+
+
 def _within(element: _Element | None, *tags: str) -> bool:
     while element is not None:
         if element.tag in tags:
@@ -99,10 +109,14 @@ def _block(top: _Element) -> _Element:
     return top
 
 
-def text_blocks(page: str) -> list[tuple[str, _Element]]:
-    """Blocks of text in page order with the element that holds each; other parts of the page are left out."""
+def text_blocks(page: str, kept: frozenset[int] | None = frozenset()) -> list[tuple[str, _Element]]:
+    """Blocks of text in page order with the element that holds each; other parts of the page are left out.
+
+    Forms and elements named as other parts are left out unless their number is
+    in ``kept``; none of them is if ``kept`` is None.
+    """
     root = _Element("#root", "", None)
-    top, at, n = root, 0, len(page)
+    top, at, n, number = root, 0, len(page), 0
     blocks: list[tuple[str, _Element]] = []
     pieces: list[str] = []
 
@@ -146,7 +160,8 @@ def text_blocks(page: str) -> list[tuple[str, _Element]]:
             stop = page.find(">", at)
             at = stop + 1 if end and stop >= 0 else n
             continue
-        top = _Element(tag, m[3] or m[6] or "", top)
+        number += 1
+        top = _Element(tag, m[3] or m[6] or "", top, number, kept)
     if at < n and not top.out:
         pieces.append(references.unescape(page[at:]))
     flush()
@@ -185,14 +200,53 @@ def _container(element: _Element) -> _Element:
     return element
 
 
+def _accepted(blocks: list[tuple[str, _Element]]) -> list[tuple[str, _Element]]:
+    """Blocks whose path scores at the threshold or above."""
+    scores = path_scores(blocks)
+    limit = min(float(scores.std()), 0.5 * float(scores.max()))
+    return [b for b, s in zip(blocks, scores) if s >= limit]
+
+
+def _named(element: _Element | None) -> list[int]:
+    """Numbers of the forms and of the elements named as other parts around a block, the outermost first."""
+    found = []
+    while element is not None:
+        if element.named:
+            found.append(element.number)
+        element = element.parent
+    return found[::-1]
+
+
+def _wrappers(blocks: list[tuple[str, _Element]]) -> frozenset[int]:
+    """Forms and named elements that hold the article all the same.
+
+    Wanted are the blocks that score among those of articles and main elements
+    or, on a page without these, among all blocks with punctuation. A name or a
+    form counts as long as wanted text stands outside of such elements;
+    otherwise the outermost one with the most wanted text is kept, and so on.
+    """
+    marked = [b for b in blocks if _within(b[1], "article", "main")]
+    wanted = _accepted(marked) if marked else [b for b in _accepted(blocks) if PUNCTUATION.search(b[0])]
+    around = [(len(t), _named(e)) for t, e in wanted]
+    kept: set[int] = set()
+    while around and all(around_block for _, around_block in around):
+        amount: dict[int, int] = {}
+        for length, (outermost, *_) in around:
+            amount[outermost] = amount.get(outermost, 0) + length
+        most = max(amount, key=amount.__getitem__)
+        kept.add(most)
+        around = [(length, [x for x in named if x != most]) for length, named in around]
+    return frozenset(kept)
+
+
 def main_text(page: str | None) -> str:
     """The article of one page; empty if there is none."""
-    blocks = text_blocks(page or "")
+    blocks = text_blocks(page or "", None)
+    if any(_named(e) for _, e in blocks):
+        blocks = text_blocks(page or "", _wrappers(blocks))
     if not blocks:
         return ""
-    scores = path_scores(blocks)
-    limit = min(float(scores.std()), 0.5 * float(scores.max()))
-    holders = {id(_container(e)) for (_, e), s in zip(blocks, scores) if s >= limit}
+    holders = {id(_container(e)) for _, e in _accepted(blocks)}
 
     def inside(e: _Element | None) -> bool:
         while e is not None:

@@ -12,6 +12,7 @@ import pytest
 from rankforge.llm.automaton import compile_rules
 from rankforge.llm.classifier import isotonic
 from rankforge.llm.dac import Block, read_block, write_block
+from rankforge.llm.html import main_text
 from rankforge.llm.q_tokens import tokenizer_path
 from rankforge.llm.repetition import longest_repeats, union_length
 from rankforge.llm.secrets import BASE_RULES, find_spans, linked_rows
@@ -106,3 +107,35 @@ def test_isotonic_fit_is_the_best_monotone_one():
     bins = pd.DataFrame({"score": [0.1, 0.2, 0.3, 0.4], "positives": [1.0, 0.0, 2.0, 1.0], "n": [2, 2, 2, 2]})
     knots, levels = isotonic(bins)
     assert np.allclose(levels, [0.25, 0.75]) and np.allclose(knots, [0.15, 0.35])
+
+
+PROSE = [f"Sentence {k}, long enough for an article, tells what happened; then it ends." for k in range(4)]
+MENU = "<div class='menu'><a>Home</a> <a>About</a></div>"
+COMMENTS = "<div class='comment-list'><p>First, thanks.</p><p>I agree, really.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ("<div id='page' class='has-sidebar'>", "</div>"),
+        ("<div class='content no-sidebar'>", "</div>"),
+        ("<div class='site with-header'><article>", "</article></div>"),
+        ("<div id='page' class='has-sidebar'><article>", "</article></div>"),
+        ("<div class='more'><div class='form'><main>", "</main></div></div>"),
+        ("<form action='/'>", "</form>"),
+        ("<form action='/'><div class='social'>", "</div></form>"),
+        ("<article><div class='register'>", "</div></article>"),
+        ("<div>", "</div>"),
+    ],
+)
+def test_main_text_inside_named_wrappers(before, after):
+    inside = "".join(f"<p>{p}</p>" for p in PROSE)
+    page = f"<html><body>{MENU}{before}{inside}{COMMENTS}{after}<footer>Legal, of course.</footer></body></html>"
+    assert main_text(page) == " ".join(PROSE)
+
+
+def test_names_leave_out_other_parts():
+    article = f"<article><p>{PROSE[0]}</p></article>"
+    replies = "".join(f"<article class='reply'><p>{p}</p></article>" for p in PROSE[1:])
+    assert main_text(f"{MENU}{article}<div class='comments'>{replies}</div>") == PROSE[0]
+    assert main_text(MENU) == ""
