@@ -208,10 +208,13 @@ def score_quality(stats: DataFrame, model: Model) -> DataFrame:
     return map_texts(stats.select("_key", "_stats"), "_key", run, "score double")
 
 
+THRESHOLD = 0.7
+
+
 def classify_quality(
     docs: DataFrame,
     labels: DataFrame,
-    threshold: float = 0.7,
+    threshold: float = THRESHOLD,
     key: str = "doc_id",
     text: str = "text",
     label: str = "quality",

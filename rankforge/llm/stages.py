@@ -1,11 +1,14 @@
-"""Stages of the pipeline: each keeps or repeats whole rows of ``documents``."""
+"""Stages of the pipeline: each keeps or repeats whole rows of ``documents``.
+
+Rows are judged one by one: a doc_id may be null or repeated.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.classifier import classify_quality
+from rankforge.llm.classifier import THRESHOLD, fit_quality, fold_of, score_quality, with_statistics
 from rankforge.llm.common import WORD, table
 from rankforge.llm.decontaminate import find_leaks
 from rankforge.llm.jaccard import jaccard_groups
@@ -15,38 +18,55 @@ from rankforge.llm.tokens import token_output
 from rankforge.session import materialise
 
 BROADCAST_ROWS = 1_000_000
+ROW = "_row_number"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row, written so that it stays the same."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``keys``; rows without one stay.
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered rows whose number is not in ``gone``, without the numbers.
 
-    Few keys are broadcast after a count; many are joined by shuffle.
+    Few numbers are broadcast after a count; many are joined by shuffle.
     """
-    keys = materialise(keys.select(F.col("doc_id").alias("_gone")).where(F.col("_gone").isNotNull()).distinct())
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return docs.join(keys, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = materialise(gone.select(F.col(ROW).alias("_gone")).distinct())
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, F.col(ROW) == F.col("_gone"), "left_anti").drop(ROW)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; rows without doc_id stay."""
-    judged = classify_quality(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where(F.col("predicted") == 0))
+    """Rows whose text the quality classifier accepts; it is fitted as in ``classify_quality``."""
+    rows, labels = numbered(docs), table(spark, sf_dir, "labels")
+    stats = with_statistics(rows, ROW, "text")
+    ids = rows.select(F.col(ROW).alias("_key"), F.col("doc_id").alias("_id"))
+    ids = ids.join(labels.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi")
+    known = stats.select("_key", "_stats").join(ids, "_key")
+    known = known.select(F.col("_id").alias("_key"), fold_of(F.col("_id")).alias("_fold"), "_stats")
+    scored = score_quality(stats, fit_quality(known, labels))
+    return without(rows, scored.where(F.col("score") < THRESHOLD).select(F.col("_key").alias(ROW)))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group.
+    """The row with the smallest doc_id of each near-duplicate group, one row only.
 
-    Five-word shingles and a similarity of 0.8. Documents without words are no
-    duplicates. Rows without doc_id stay, and rows that share one stay or go together.
+    Five-word shingles and a similarity of 0.8. Rows without words are no
+    duplicates. Rows without doc_id come after those that have one.
     """
-    groups = jaccard_groups(docs, width=5, similarity=(80, 100))
-    return without(docs, groups.where(F.col("component_id") != F.col("doc_id")))
+    rows = numbered(docs)
+    groups = jaccard_groups(rows, width=5, similarity=(80, 100), key=ROW)
+    groups = materialise(groups.where(F.col("n_shingles") > 0).select(ROW, "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW))
+    kept = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("component_id").agg(first.alias("_first"))
+    return without(rows, groups.join(kept.select(F.col(f"_first.{ROW}").alias(ROW)), ROW, "left_anti"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a test item; rows without doc_id stay."""
-    return without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that hold no passage of a test item."""
+    rows = numbered(docs)
+    return without(rows, find_leaks(rows, table(spark, sf_dir, "benchmark"), key=ROW))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

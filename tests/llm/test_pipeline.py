@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from rankforge.llm import stages
 from rankforge.llm.classifier import classify_quality
 from tests.llm.test_operators import SF, brute_groups
 
@@ -43,3 +46,30 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and found.count() > 0
+
+
+def test_quality_of_rows_without_own_id(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    judged = {r["doc_id"]: r["predicted"] for r in classify_quality(docs, labels).collect()}
+    labelled = {r["doc_id"] for r in labels.collect()}
+    bad = min(k for k, p in judged.items() if p == 0)
+    good = min(k for k, p in judged.items() if p == 1 and k not in labelled)
+    copies = [docs.where(f"doc_id = {bad}").withColumn("doc_id", F.lit(k).cast("long")) for k in (None, good)]
+    nameless = docs.where(f"doc_id = {good}").withColumn("doc_id", F.lit(None).cast("long"))
+    kept = stages.keep_quality(spark, docs.union(copies[0]).union(copies[1]).union(nameless), SF).collect()
+    assert sorted((r["doc_id"] for r in kept if r["doc_id"] is not None)) == sorted(k for k, p in judged.items() if p)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert [r["text"] for r in kept if r["doc_id"] in (None, good)] == [texts[good]] * 2
+
+
+def test_copies_and_leaks_of_rows_without_own_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    schema = "doc_id long, text string"
+    rows = [(None, a), (None, a), (5, b), (5, b), (5, c), (3, c), (None, c), (None, None), (None, None)]
+    kept = stages.keep_one_of_each(spark, spark.createDataFrame(rows, schema), SF)
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, a), (5, b), (3, c), (None, None), (None, None)], key=repr)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, item), (None, a), (4, f"{b} {item}"), (4, b)]
+    kept = stages.keep_uncontaminated(spark, spark.createDataFrame(rows, schema), SF)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, a), (4, b)], key=repr)
