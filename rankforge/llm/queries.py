@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rankforge.llm import (  # noqa: F401  (modules register their queries)
+    q_bpe,
     q_classifier,
     q_decontaminate,
     q_html,
