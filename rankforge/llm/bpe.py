@@ -18,15 +18,17 @@ from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.common import pick
 
-BLOCK_CHARS = 4_000_000
-BLOCK_PIECES = 400_000
-CACHE_PIECES = 600_000
+BLOCK_CHARS = 2_000_000
+BLOCK_PIECES = 200_000
+CACHE_PIECES = 400_000
+CACHED_PAIRS = 400_000
 CACHED_LENGTH = 64
 GONE, EDGE = -2, -1
 
@@ -49,7 +51,8 @@ class Replay:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
+        self.span = max(ranks.values()) + 1
         doubles = [[ranks.get(bytes([a, b]), EDGE) for b in range(256)] for a in range(256)]
         self.doubles = np.array(doubles, np.int64)
 
@@ -70,12 +73,10 @@ class Replay:
 
     def _pair(self, left: int, right: int) -> int:
         """Rank of the merge of two tokens, or EDGE."""
-        rank = self.pairs.get((left, right))
-        if rank is None:
-            rank = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], EDGE)
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            self.pairs[left, right] = rank
+        rank = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], EDGE)
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
+        self.pairs[left * self.span + right] = rank
         return rank
 
     def __call__(self, words: Sequence[bytes]) -> list[bytes]:
@@ -92,7 +93,7 @@ class Replay:
         token, rank = array("q", tokens.tobytes()), array("q", starts.tobytes())
         before = array("q", np.arange(-1, len(tokens) - 1).tobytes())
         after = array("q", np.arange(1, len(tokens) + 1).tobytes())
-        pair, known = self._pair, self.pairs
+        pair, known, span = self._pair, self.pairs, self.span
         waiting = list(places_of)
         heapify(waiting)
 
@@ -111,7 +112,7 @@ class Replay:
                 follower, leader = token[behind], token[left]
                 new = EDGE
                 if follower >= 0:
-                    new = known.get((merge, follower))
+                    new = known.get(merge * span + follower)
                     if new is None:
                         new = pair(merge, follower)
                 rank[at] = lowest = new
@@ -122,7 +123,7 @@ class Replay:
                         places_of[new] = [at]
                         heappush(waiting, new)
                 if leader >= 0:
-                    new = known.get((leader, merge))
+                    new = known.get(leader * span + merge)
                     if new is None:
                         new = pair(leader, merge)
                     rank[left] = new
@@ -197,6 +198,14 @@ class Encoder:
             at = to
 
 
+def _parts(values: pa.Array, sizes: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about ``BLOCK_CHARS`` bytes: only one of them at a time exists as Python objects."""
+    upto = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK_CHARS
+    edges = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(values)]
+    for begin, end in zip(edges, edges[1:]):
+        yield values.slice(begin, end - begin)
+
+
 def _kept(name: object, make: Callable):
     """An object that outlives the tasks of this worker process."""
     kept = sys.modules.setdefault("rankforge_worker_objects", types.ModuleType("rankforge_worker_objects")).__dict__
@@ -215,11 +224,12 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
-    @F.pandas_udf("binary")
-    def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _kept((path, pattern), lambda: Encoder(ranks.value, pattern))
         for some in texts:
-            yield pd.Series(list(encoder.encode(some.tolist())), dtype=object)
+            for part in _parts(some, pc.binary_length(some)):
+                yield pa.array(list(encoder.encode(part.to_pylist())), pa.binary())
 
     rows = pick(docs, key, text).toDF("_key", "_text")
     return rows.select(F.col("_key").alias(key), encoded(F.coalesce("_text", F.lit(""))).alias("ids"))
@@ -233,8 +243,8 @@ def decode_bpe(coded: DataFrame, path: str, ids: str = "ids", out: str = "decode
     """
     ranks = coded.sparkSession.sparkContext.broadcast(read_ranks(path))
 
-    @F.pandas_udf("binary")
-    def decoded(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def decoded(codes: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = _kept((path, "decode"), lambda: {rank: t for t, rank in ranks.value.items()}).__getitem__
 
         def text(data: bytes | None) -> bytes | None:
@@ -246,6 +256,7 @@ def decode_bpe(coded: DataFrame, path: str, ids: str = "ids", out: str = "decode
                 return None
 
         for some in codes:
-            yield pd.Series([text(d) for d in some.tolist()], dtype=object)
+            for part in _parts(some, pc.binary_length(some)):
+                yield pa.array([text(d) for d in part.to_pylist()], pa.binary())
 
     return coded.select("*", decoded(F.col(f"`{ids}`")).alias(out))

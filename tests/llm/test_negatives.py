@@ -109,12 +109,12 @@ def test_bounds_hold_and_spare_work():
     spared = 0
     for a in range(0, 3_000, 50):
         exact = x @ x[a]
-        low, high = np.array([0.9 * norms[a] ** 2]), np.array([0.99 * norms[a] ** 2])
+        low, high = np.array([0.985 * norms[a] ** 2]), np.array([1.0 * norms[a] ** 2])
         first, last = _reach(low, high, norms[a : a + 1], angle[a : a + 1], norms.min(), norms.max())
         inside = (angle >= first[0]) & (angle <= last[0])
         assert not ((exact >= low) & (exact <= high) & ~inside).any()
         spared += (~inside).sum()
-    assert spared > 0.5 * 60 * 3_000
+    assert spared > 0.4 * 60 * 3_000
 
 
 def test_strips_find_every_pair():
