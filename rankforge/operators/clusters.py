@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from rankforge import schemas as S
 from rankforge.operators.geometry import ROTATION, mask_points, pick_mask, project_to_pixel, stride_subset
 from rankforge.operators.sampling import SAMPLE_LIMIT, farthest_point_sample
 from rankforge.plans.greedy import assign_leaders, greedy_leaders
-from rankforge.plans.groups import groups_bounded, rank_within
+from rankforge.plans.groups import rank_within, split_by_size
 from rankforge.session import materialise
 
 # Candidates of one frame that one vectorised pass may hold.
@@ -65,20 +65,26 @@ def leader_cluster(
     """
     keys = list(keys)
     rows = df.select(*keys, idx, *[F.col(c).cast("double").alias(c) for c in xyz])
-    if groups_bounded(rows, keys, limit):
-        lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(idx, *xyz))).alias("_p"))
-        fields = [F.col(f"_p.{c}") for c in (idx, *xyz)]
-        members = F.arrays_zip(
-            fields[0].alias(idx), F.col("_o.leader_idx").alias("leader_idx"), F.col("_o.cluster_id").alias("cluster_id")
-        )
-        owned = lists.withColumn("_o", _leader_owner(radius)(*fields))
-        return owned.select(*keys, F.explode(members).alias("_m")).select(*keys, "_m.*")
-    leaders = greedy_leaders(rows, keys, idx, xyz, radius)
+    small, large = split_by_size(rows, keys, limit)
+    found = _cluster_lists(small, radius, keys, idx, xyz)
+    if large is None:
+        return found
+    leaders = greedy_leaders(large, keys, idx, xyz, radius, capacity=limit)
     numbered = rank_within(leaders, keys, [F.asc(idx)], "_n", limit).select(
         *keys, F.col(idx).alias("leader_idx"), (F.col("_n") - 1).alias("cluster_id")
     )
-    owned = assign_leaders(rows, leaders, keys, idx, xyz, radius).withColumnRenamed("owner", "leader_idx")
-    return owned.join(numbered, [*keys, "leader_idx"]).select(*keys, idx, "leader_idx", "cluster_id")
+    owned = assign_leaders(large, leaders, keys, idx, xyz, radius).withColumnRenamed("owner", "leader_idx")
+    return found.unionByName(owned.join(numbered, [*keys, "leader_idx"]).select(*keys, idx, "leader_idx", "cluster_id"))
+
+
+def _cluster_lists(rows: DataFrame, radius: float, keys: list[str], idx: str, xyz: Sequence[str]) -> DataFrame:
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(idx, *xyz))).alias("_p"))
+    fields = [F.col(f"_p.{c}") for c in (idx, *xyz)]
+    members = F.arrays_zip(
+        fields[0].alias(idx), F.col("_o.leader_idx").alias("leader_idx"), F.col("_o.cluster_id").alias("cluster_id")
+    )
+    owned = lists.withColumn("_o", _leader_owner(radius)(*fields))
+    return owned.select(*keys, F.explode(members).alias("_m")).select(*keys, "_m.*")
 
 
 def broadcast_cluster_payload(
@@ -90,16 +96,6 @@ def broadcast_cluster_payload(
     return out.withColumn(cloud, F.coalesce(F.col(cloud), empty))
 
 
-def _angle_near(cos_limit: float, rotation: Sequence[str]):
-    def near(a: str, b: str) -> Column:
-        trace = sum(
-            (F.col(f"{a}{r}") * F.col(f"{b}{r}") for r in rotation[1:]), F.col(f"{a}{rotation[0]}") * F.col(f"{b}{rotation[0]}")
-        )
-        return (trace - 1.0) / 2.0 > F.lit(cos_limit)
-
-    return near
-
-
 def _suppress(t: float, cos_limit: float):
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def keep(xs: pd.Series, ys: pd.Series, zs: pd.Series, rots: pd.Series) -> pd.Series:
@@ -145,25 +141,30 @@ def pose_nms(
     narrow = df.select(
         *keys, idx, score, *[F.col(c).cast("double").alias(c) for c in (*xyz, *rotation)]
     )
-    if groups_bounded(narrow, keys, limit):
-        fields = F.struct((-F.col(score)).alias("_neg"), F.col(idx).alias(idx), *xyz, F.array(*rotation).alias("_r"))
-        lists = narrow.groupBy(*keys).agg(F.sort_array(F.collect_list(fields)).alias("_p"))
-        axes = [F.col(f"_p.{c}") for c in xyz]
-        turns = F.flatten(F.transform("_p", lambda p: p["_r"]))
-        survivors = (
-            lists.withColumn("_k", _suppress(t, cos_limit)(*axes, turns))
-            .select(*keys, F.explode(F.arrays_zip(F.col(f"_p.{idx}").alias(idx), F.col("_k").alias("kept"))).alias("_m"))
-            .where("_m.kept")
-            .select(*keys, F.col(f"_m.{idx}").alias(idx))
-        )
-    else:
-        ranked = rank_within(narrow, keys, [F.desc(score), F.asc(idx)], "_prio", limit)
-        survivors = greedy_leaders(
-            ranked, keys, "_prio", xyz, t, [idx, *rotation], _angle_near(cos_limit, rotation)
-        ).select(*keys, idx)
+    small, large = split_by_size(narrow, keys, limit)
+    survivors = _suppress_lists(small, t, cos_limit, score, keys, idx, xyz, rotation)
+    if large is not None:
+        ranked = rank_within(large, keys, [F.desc(score), F.asc(idx)], "_prio", limit)
+        leaders = greedy_leaders(ranked, keys, "_prio", xyz, t, [idx, *rotation], (rotation, cos_limit), limit)
+        survivors = survivors.unionByName(leaders.select(*keys, idx))
     return df.join(survivors, [*keys, idx], "left_semi")
 
 
+def _suppress_lists(
+    rows: DataFrame, t: float, cos_limit: float, score: str, keys: list[str], idx: str, xyz: Sequence[str], rotation: Sequence[str]
+) -> DataFrame:
+    fields = F.struct((-F.col(score)).alias("_neg"), F.col(idx).alias(idx), *xyz, F.array(*rotation).alias("_r"))
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(fields)).alias("_p"))
+    axes = [F.col(f"_p.{c}") for c in xyz]
+    turns = F.flatten(F.transform("_p", lambda p: p["_r"]))
+    return (
+        lists.withColumn("_k", _suppress(t, cos_limit)(*axes, turns))
+        .select(*keys, F.explode(F.arrays_zip(F.col(f"_p.{idx}").alias(idx), F.col("_k").alias("kept"))).alias("_m"))
+        .where("_m.kept")
+        .select(*keys, F.col(f"_m.{idx}").alias(idx))
+    )
+
+
 def top_k_preview(df: DataFrame, k: int = S.TOP_K, score: str = "base_score", keys: Sequence[str] = S.FRAME_KEYS, idx: str = S.CANDIDATE, **nms) -> DataFrame:
     """Suppress, sort by score and keep the first ``k`` per frame, with ``rank``."""
     kept = pose_nms(df, score=score, keys=keys, idx=idx, **nms)

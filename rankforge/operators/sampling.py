@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankforge import schemas as S
-from rankforge.functions.stats import union_all
 from rankforge.operators.geometry import ROTATION, to_local_frame
 from rankforge.plans.grid import neighbours_bounded, radius_join
-from rankforge.plans.groups import groups_bounded
+from rankforge.plans.groups import rank_within, split_by_size
 from rankforge.session import materialise
 
 # Points of one group that one vectorised pass may hold.
 SAMPLE_LIMIT = 100_000
-# Rounds of the large-group plan between two written states.
-STATE_EVERY = 16
+# Cells per axis and points per block of the plan for larger groups.
+AXIS_CELLS = 16
+BLOCK_POINTS = 20_000
+# Points of a block that are compared one by one between two readings of it.
+SHOWN = 16
+# Blocks with at least this share of the largest bound are looked at again together.
+REFRESH_SHARE = 0.5
+# Boxes are compared in double precision with gaps rounded to float32.
+BOX_SLACK = 1e-5
 
 
 def _spread_order(points: np.ndarray, budget: int, nearest: bool) -> np.ndarray:
@@ -65,21 +71,19 @@ def farthest_point_sample(
 
     ``budget`` is a number or a column that is constant in a group. Groups within
     the budget are kept whole in order and never leave the JVM; larger ones are
-    sampled many groups per Arrow batch. Groups beyond ``limit`` rows advance
-    together in distributed rounds.
+    sampled many groups per Arrow batch. Groups beyond ``limit`` rows are sampled in
+    blocks with bounds.
     """
     if seed not in ("farthest", "nearest"):
         raise ValueError("seed must be 'farthest' or 'nearest'")
     group = list(group)
     size = F.lit(int(budget)) if isinstance(budget, int) else F.col(budget).cast("int")
     rows = points.select(*group, idx, *[F.col(c).cast("float").alias(c) for c in xyz], size.alias("_b"))
-    if groups_bounded(rows, group, limit) if bounded is None else bounded:
+    if bounded:
         return _sample_lists(rows, group, seed, idx, xyz)
-    rows = materialise(rows)
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    big = materialise(sizes.where((F.col("_n") > limit) & (F.col("_n") > 0)).select(*group))
-    small = _sample_lists(rows.join(big, group, "left_anti"), group, seed, idx, xyz)
-    return small.unionByName(_sample_rounds(rows.join(big, group, "left_semi"), group, seed, idx, xyz))
+    small, large = split_by_size(rows, group, limit)
+    sampled = _sample_lists(small, group, seed, idx, xyz)
+    return sampled if large is None else sampled.unionByName(_sample_blocks(large, group, seed, idx, xyz))
 
 
 def _sample_lists(rows: DataFrame, group: list[str], seed: str, idx: str, xyz: Sequence[str]) -> DataFrame:
@@ -99,50 +103,234 @@ def _sample_lists(rows: DataFrame, group: list[str], seed: str, idx: str, xyz: S
     )
 
 
-def _gap(xyz: Sequence[str], other: Column) -> Column:
-    d = [F.col(c) - other[c] for c in xyz]
-    return (d[0] * d[0] + d[1] * d[1]) + d[2] * d[2]
+def _gaps(points: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Float32 squared distance of every point to the nearest chosen one."""
+    gap = np.full(len(points), np.inf, np.float32)
+    for c in chosen:
+        d = points - c
+        np.minimum(gap, (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]) + d[:, 2] * d[:, 2], out=gap)
+    return gap
+
+
+def _below(splits: str, c: str) -> Column:
+    return F.size(F.filter(F.col(splits), lambda s: s < F.col(c)))
 
 
-def _sample_rounds(rows: DataFrame, group: list[str], seed: str, idx: str, xyz: Sequence[str]) -> DataFrame:
-    """The same choice for large groups: one distributed argmax per slot.
+def _cut(rows: DataFrame, group: list[str], idx: str, xyz: Sequence[str], cells: int) -> DataFrame:
+    """Large groups as written blocks of neighbouring points: ``group, _block, _size, _points, _ids, _low, _high``.
 
-    Only the chosen points (one per group and round) are broadcast; distances
-    are written every few rounds.
+    ``cells`` cells per axis lie between quantiles of each coordinate, so their number is
+    fixed and far points do not crowd the others; a cell above ``BLOCK_POINTS`` is dealt
+    to several blocks. Points are ordered by ``idx``.
     """
-    state = materialise(rows.withColumn("_gap", F.lit(float("inf")).cast("float")))
-    sizes = state.groupBy(*group).agg(F.max("_b").alias("_b"), F.count(F.lit(1)).alias("_n")).withColumn(
-        "_b", F.least("_b", F.col("_n").cast("int"))
-    )
-    rounds = sizes.agg(F.max("_b")).first()[0] or 0
-    me = F.struct(F.col(idx).alias(idx), *[F.col(c).alias(c) for c in xyz])
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    splits = rows.groupBy(*group).agg(*[F.percentile_approx(c, shares, F.lit(2_000)).alias(f"_s{i}") for i, c in enumerate(xyz)])
+    placed = rows.join(splits, group)
+    cell = F.lit(0)
+    for i, c in enumerate(xyz):
+        cell = cell * cells + _below(f"_s{i}", c)
+    placed = placed.select(*group, idx, *xyz, cell.alias("_cell"))
+    crowded = placed.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_POINTS)
+    crowded = crowded.select(*group, "_cell", F.ceil(F.col("_n") / BLOCK_POINTS).alias("_parts"))
+    part = F.pmod(F.xxhash64(idx), F.coalesce("_parts", F.lit(1)).cast("long"))
+    dealt = placed.join(crowded, [*group, "_cell"], "left").withColumn("_block", F.col("_cell").cast("long") * F.lit(2**32) + part)
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(idx, kind="stable")
+        points = frame[list(xyz)].to_numpy(np.float32)
+        own = {g: [frame[g].iloc[0]] for g in (*group, "_block")}
+        return pd.DataFrame(
+            own
+            | {
+                "_size": [len(frame)],
+                "_points": [points.tobytes()],
+                "_ids": [frame[idx].to_numpy(np.int64).tobytes()],
+                "_low": [points.min(axis=0).astype(np.float64)],
+                "_high": [points.max(axis=0).astype(np.float64)],
+            }
+        )
+
+    fields = [rows.schema[g] for g in group]
+    kinds = "_block long, _size int, _points binary, _ids binary, _low array<double>, _high array<double>"
+    schema = T.StructType([*fields, *T.StructType.fromDDL(kinds).fields])
+    return materialise(dealt.groupBy(*group, "_block").applyInPandas(pack, schema))
+
+
+class _Bounds:
+    """What is known of the blocks of one group while its points are chosen.
+
+    Of every block the points with the largest gaps (``gap``, ``idx``, ``at``) and
+    an upper bound for all others (``rest``). Gaps of these points follow each
+    choice exactly; ``fresh`` blocks have not been touched since they were read.
+    """
+
+    FIELDS = ("block", "low", "high", "gap", "idx", "at", "rest", "fresh")
+    KINDS = ("<i8", "<f8", "<f8", "<f4", "<i8", "<f4", "<f8", "?")
+
+    def __init__(self, data: Sequence[bytes]):
+        for name, kind, raw in zip(self.FIELDS, self.KINDS, data):
+            setattr(self, name, np.frombuffer(raw, kind).copy())
+        n = len(self.block)
+        self.low, self.high, self.at = self.low.reshape(n, 3), self.high.reshape(n, 3), self.at.reshape(n, -1, 3)
+        self.gap, self.idx = self.gap.reshape(n, -1), self.idx.reshape(n, -1)
+
+    @classmethod
+    def unknown(cls, block: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[bytes]:
+        n = len(block)
+        start = {
+            "block": block, "low": low, "high": high, "gap": np.full((n, SHOWN), -1.0), "idx": np.zeros((n, SHOWN)),
+            "at": np.zeros((n, SHOWN, 3)), "rest": np.full(n, np.inf), "fresh": np.zeros(n),
+        }
+        return [start[f].astype(k).tobytes() for f, k in zip(cls.FIELDS, cls.KINDS)]
+
+    def packed(self) -> list[bytes]:
+        return [getattr(self, name).astype(kind).tobytes() for name, kind in zip(self.FIELDS, self.KINDS)]
+
+    def learn(self, block: np.ndarray, seen: Sequence[tuple[bytes, bytes, bytes]], rest: np.ndarray) -> None:
+        places = np.searchsorted(self.block, block)
+        self.rest[places], self.fresh[places] = rest, True
+        for place, (gap, idx, at) in zip(places, seen):
+            gap = np.frombuffer(gap, "<f4")
+            n = len(gap)
+            self.gap[place], self.gap[place, :n] = -1.0, gap
+            self.idx[place, :n], self.at[place, :n] = np.frombuffer(idx, "<i8"), np.frombuffer(at, "<f4").reshape(n, 3)
+
+    def choose(self) -> tuple[int, np.ndarray] | None:
+        """The next point: largest gap, then smallest ``idx``; none while an unseen point could come first.
+
+        Unseen points of a fresh block come behind those that are seen.
+        """
+        top = self.gap.max()
+        if top < 0 or (~self.fresh & (self.rest >= top)).any():
+            return None
+        block, place = np.nonzero(self.gap == top)
+        first = self.idx[block, place].argmin()
+        return int(self.idx[block[first], place[first]]), self.at[block[first], place[first]].copy()
+
+    def update(self, point: np.ndarray) -> None:
+        """Lower the gaps in each block that a chosen point comes near to."""
+        p = point.astype(np.float64)
+        outside = np.maximum(np.maximum(self.low - p, p - self.high), 0)
+        nearest = (outside * outside).sum(axis=1) * (1 - BOX_SLACK)
+        touched = np.flatnonzero(nearest < np.maximum(self.gap.max(axis=1), self.rest))
+        far = np.maximum(np.abs(self.low[touched] - p), np.abs(self.high[touched] - p))
+        self.rest[touched] = np.minimum(self.rest[touched], (far * far).sum(axis=1) * (1 + BOX_SLACK))
+        d = self.at[touched] - point
+        self.gap[touched] = np.minimum(self.gap[touched], (d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1]) + d[..., 2] * d[..., 2])
+        self.fresh[touched] = False
+
+    def wanted(self) -> np.ndarray:
+        """Blocks to read again: those whose unseen points may be among the next."""
+        own = self.gap.max(axis=1)
+        return self.block[~self.fresh & (self.rest >= own) & (self.rest >= REFRESH_SHARE * max(own.max(), self.rest[~self.fresh].max(initial=0)))]
+
+
+def _near_enough(chosen: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Chosen points that may be the nearest one of some point."""
+    c, low, high = chosen.astype(np.float64), points.min(axis=0).astype(np.float64), points.max(axis=0).astype(np.float64)
+    outside, far = np.maximum(np.maximum(low - c, c - high), 0), np.maximum(np.abs(low - c), np.abs(high - c))
+    reach = ((far * far).sum(axis=1) * (1 + BOX_SLACK)).min()
+    return chosen[(outside * outside).sum(axis=1) * (1 - BOX_SLACK) <= reach]
+
+
+def _sample_blocks(rows: DataFrame, group: list[str], seed: str, idx: str, xyz: Sequence[str]) -> DataFrame:
+    """The same choice for large groups, many points a round.
+
+    Per group only ``SHOWN`` points and bounds of its blocks (``AXIS_CELLS`` cubed
+    and one per ``BLOCK_POINTS`` points) are in one task. A chosen point changes
+    only blocks within its gap, and points are chosen until an unseen point could
+    be the next one; then the blocks in question alone are read again, by tasks of
+    their own.
+    """
+    order = F.col(idx)
+    me = F.struct(order.cast("long").alias("_id"), F.array(*xyz).alias("_at"))
     radius = F.sqrt(
         ((F.col(xyz[0]) * F.col(xyz[0]) + F.col(xyz[1]) * F.col(xyz[1])) + F.col(xyz[2]) * F.col(xyz[2])).cast("double")
     ).cast("float")
     score = -radius if seed == "nearest" else radius
-    chosen, recent, current = [], [], state
-    for slot in range(rounds):
-        pick = materialise(current.groupBy(*group).agg(F.max_by(me, F.struct(score, -F.col(idx))).alias("_q")))
-        chosen.append(pick.select(*group, "_q.*", F.lit(slot).alias("slot")))
-        recent.append(pick)
-        current, names = state, [f"_q{i}" for i in range(len(recent))]
-        for name, p in zip(names, recent):
-            current = current.join(p.withColumnRenamed("_q", name), group)
-        gap = F.least("_gap", *[_gap(xyz, F.col(n)) for n in names])
-        current = current.withColumn("_gap", gap).drop(*names)
-        if len(recent) == STATE_EVERY:
-            chosen = [materialise(union_all(chosen))]
-            state, recent = materialise(current), []
-            current = state
-        score = F.col("_gap")
-    out = union_all(chosen)
-    # Groups smaller than their budget keep their own order.
-    taken = out.join(sizes, group)
-    exact = taken.where((F.col("_n") > F.col("_b")) & (F.col("slot") < F.col("_b"))).select(*group, idx, *xyz, "slot")
-    whole = rows.join(sizes.where(F.col("_n") <= F.col("_b")).select(*group), group, "left_semi")
-    if whole.isEmpty():
-        return exact
-    return exact.unionByName(_sample_lists(whole, group, seed, idx, xyz))
+    firsts = materialise(
+        rows.groupBy(*group).agg(
+            F.max("_b").alias("_b"), F.count(F.lit(1)).alias("_n"), F.max_by(me, F.struct(score, -order)).alias("_q")
+        )
+    )
+    whole = firsts.where(F.col("_b") >= F.col("_n"))
+    sampled = firsts.where((F.col("_b") > 0) & (F.col("_b") < F.col("_n")))
+    kept = rows.join(whole.select(*group), group, "left_semi").drop("_b")
+    in_order = rank_within(kept, group, [F.asc(idx)], "_r").withColumn("slot", (F.col("_r") - 1).cast("int")).drop("_r")
+    if sampled.isEmpty():
+        return in_order
+    # Cells for about 64 points at least.
+    cells = min(AXIS_CELLS, max(2, int((sampled.agg(F.max("_n")).first()[0] / 64) ** (1 / 3))))
+    blocks = _cut(rows.join(sampled.select(*group), group, "left_semi"), group, idx, xyz, cells)
+
+    keys = [rows.schema[g] for g in group]
+    held = [T.StructField(f"_k_{n}", T.BinaryType()) for n in _Bounds.FIELDS]
+    more = "_b int, _ids binary, _chosen binary, _wanted array<long>"
+    schema = T.StructType([*keys, *T.StructType.fromDDL(more).fields, *held])
+    fresh = T.StructType([*keys, *T.StructType.fromDDL("_block long, _gap binary, _id binary, _at binary, _rest double").fields])
+    names = [f.name for f in schema.fields]
+
+    def start(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_block")
+        first = frame.iloc[0]
+        packed = _Bounds.unknown(frame["_block"].to_numpy(), np.stack(frame["_low"].tolist()), np.stack(frame["_high"].tolist()))
+        ids = np.array([first["_q"]["_id"]], np.int64).tobytes()
+        at = np.asarray(first["_q"]["_at"], np.float32).tobytes()
+        row = [*[first[g] for g in group], first["_b"], ids, at, frame["_block"].tolist(), *packed]
+        return pd.DataFrame([row], columns=names)
+
+    def look(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                row = dict(zip(frame.columns, row))
+                points = np.frombuffer(row["_points"], np.float32).reshape(-1, 3)
+                chosen = np.frombuffer(row["_chosen"], np.float32).reshape(-1, 3)
+                gap = _gaps(points, _near_enough(chosen, points))
+                best = np.argsort(-gap, kind="stable")[: SHOWN + 1]
+                rest = float(gap[best[SHOWN]]) if len(best) > SHOWN else -1.0
+                best = best[:SHOWN]
+                ids = np.frombuffer(row["_ids"], np.int64)[best]
+                out.append([*[row[g] for g in group], row["_block"], gap[best].tobytes(), ids.tobytes(), points[best].tobytes(), rest])
+            yield pd.DataFrame(out, columns=[f.name for f in fresh.fields])
+
+    def advance(state: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        row = state.iloc[0]
+        known = _Bounds([row[f"_k_{n}"] for n in _Bounds.FIELDS])
+        if len(seen):
+            shown = zip(seen["_gap"].tolist(), seen["_id"].tolist(), seen["_at"].tolist())
+            known.learn(seen["_block"].to_numpy(), list(shown), seen["_rest"].to_numpy())
+        ids = np.frombuffer(row["_ids"], np.int64).tolist()
+        chosen = [np.frombuffer(row["_chosen"], np.float32).reshape(-1, 3)]
+        while len(ids) < row["_b"] and (best := known.choose()) is not None:
+            ids.append(best[0])
+            chosen.append(best[1][None, :])
+            known.update(best[1])
+        wanted = known.wanted().tolist() if len(ids) < row["_b"] else []
+        out = [*[row[g] for g in group], row["_b"], np.array(ids, np.int64).tobytes(), np.concatenate(chosen).tobytes(), wanted, *known.packed()]
+        return pd.DataFrame([out], columns=names)
+
+    light = blocks.select(*group, "_block", "_low", "_high").join(sampled.select(*group, "_b", "_q"), group)
+    state = materialise(light.groupBy(*group).applyInPandas(start, schema))
+    while not (open_ := state.where(F.size("_wanted") > 0)).isEmpty():
+        asked = open_.select(*group, "_chosen", F.explode("_wanted").alias("_block"))
+        seen = blocks.select(*group, "_block", "_points", "_ids").join(asked, [*group, "_block"]).mapInPandas(look, fresh)
+        state = materialise(state.groupBy(*group).cogroup(seen.groupBy(*group)).applyInPandas(advance, schema))
+
+    def unpack(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                row = dict(zip(frame.columns, row))
+                at = np.frombuffer(row["_chosen"], np.float32).reshape(-1, 3)
+                ids = np.frombuffer(row["_ids"], np.int64)
+                own = {g: [row[g]] * len(ids) for g in group}
+                yield pd.DataFrame(own | {"_id": ids, "_x": at[:, 0], "_y": at[:, 1], "_z": at[:, 2], "slot": np.arange(len(ids), dtype=np.int32)})
+
+    flat = T.StructType([*keys, *T.StructType.fromDDL("_id long, _x float, _y float, _z float, slot int").fields])
+    spread = state.select(*group, "_ids", "_chosen").mapInPandas(unpack, flat)
+    kind = rows.schema[idx].dataType
+    coordinates = [F.col(v).alias(c) for v, c in zip(("_x", "_y", "_z"), xyz)]
+    return in_order.unionByName(spread.select(*group, F.col("_id").cast(kind).alias(idx), *coordinates, "slot"))
 
 
 def stratified_fps(

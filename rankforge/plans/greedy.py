@@ -1,22 +1,42 @@
-"""Greedy selection by priority, distributed.
+"""Greedy selection by priority, distributed in blocks.
 
 "Take the first free element, drop everything near it, repeat" looks sequential,
-but an element is taken as soon as no undecided element around it has a better
-priority. Each round takes all such local winners at once. Groups of bounded size
-use one vectorised pass each; this plan serves groups beyond that bound.
+but only elements near each other depend on one another. Space is cut into blocks
+that hold a bounded number of elements (cubes that halve where it is crowded).
+Each block runs the sequential pass over its own elements and those just outside;
+what may depend on an undecided element outside stays undecided, everything else
+is final. Rounds repeat on the rest, in blocks that grow as it thins out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankforge.plans.grid import around, cell_of, squared_distance
 from rankforge.session import materialise
 
 CELL = ["_c0", "_c1", "_c2"]
+BLOCK = ["_level", "_b0", "_b1", "_b2"]
+BLOCK_LIMIT = 20_000
+LEVELS = 21
+# Cells are numbered from a place that is no border of large cubes, wherever the points are.
+ORIGIN = 0x2AAAAAAAAA
+FREE, TAINTED, OUT = 0, 1, 2
+
+#: Columns of a rotation matrix and the cosine below which two rotations count as different.
+Turned = tuple[Sequence[str], float]
+
+
+def turned_near(turned: Turned, a: str = "", b: str = "l_") -> Column:
+    rotation, cos_limit = turned
+    trace = sum((F.col(f"{a}{r}") * F.col(f"{b}{r}") for r in rotation[1:]), F.col(f"{a}{rotation[0]}") * F.col(f"{b}{rotation[0]}"))
+    return (trace - 1.0) / 2.0 > F.lit(cos_limit)
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -25,6 +45,69 @@ def _spread(df: DataFrame) -> DataFrame:
     return out.withColumns({c: F.col(f"_a.c{i}") for i, c in enumerate(CELL)}).drop("_a")
 
 
+def _blocks_of_cells(cells: DataFrame, keys: list[str], capacity: int) -> DataFrame:
+    """``keys, CELL, _n, BLOCK``: every cell in the largest cube of cells around it that holds ``capacity`` elements or fewer.
+
+    A cell above that is a block of its own. Only counts per cell move.
+    """
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    cubes = cells.withColumn("_level", levels).withColumns(
+        {f"_b{i}": F.expr(f"shiftright({c} + {ORIGIN}L, _level)") for i, c in enumerate(CELL)}
+    )
+    fits = cubes.groupBy(*keys, *BLOCK).agg(F.sum("_n").alias("_all")).where((F.col("_all") <= capacity) | (F.col("_level") == 0))
+    inside = cubes.join(fits.drop("_all"), [*keys, *BLOCK])
+    best = inside.groupBy(*keys, *CELL).agg(F.max(F.struct(*BLOCK)).alias("_b"), F.first("_n").alias("_n"))
+    return best.select(*keys, *CELL, "_n", "_b.*")
+
+
+def _thresholds(undecided: DataFrame, home: DataFrame, needed: DataFrame, keys: list[str], priority: str, capacity: int) -> DataFrame | None:
+    """Per block with a crowded cell in or beside it the worst priority to look at in this round.
+
+    About ``capacity`` elements of a crowded cell lie within it. Better elements
+    never depend on worse ones, so a block that stops there is still right.
+    """
+    crowded = home.where(F.col("_n") > capacity).select(*keys, *CELL, "_n")
+    if crowded.isEmpty():
+        return None
+    shares = [2.0**-i for i in range(1, 31)]
+    marks = F.percentile_approx(priority, F.array(*[F.lit(s) for s in shares]), F.lit(100_000))
+    ranked = undecided.join(crowded, [*keys, *CELL]).groupBy(*keys, *CELL).agg(marks.alias("_m"), F.first("_n").alias("_n"))
+    place = F.least(F.greatest(F.ceil(F.log2(F.col("_n") / F.lit(capacity))), F.lit(1)), F.lit(len(shares))).cast("int")
+    cut = ranked.select(*keys, *CELL, F.element_at("_m", place).alias("_cut"))
+    return cut.join(needed, [*keys, *CELL]).groupBy(*keys, *BLOCK).agg(F.min("_cut").alias("_cut"))
+
+
+def _pass(names: list[str], priority: str, xyz: list[str], radius: float, turned: Turned | None):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(priority, kind="stable", ignore_index=True)
+        left = frame[xyz].to_numpy(np.float64)
+        turns = None if turned is None else frame[list(turned[0])].to_numpy(np.float64)
+        own = frame["_own"].to_numpy(bool)
+        state, taken = np.full(len(frame), FREE, np.int8), np.zeros(len(frame), bool)
+        # Positions that are not dropped yet, best first; those before ``at`` are dealt with.
+        alive, at = np.arange(len(frame)), 0
+        while at < len(alive):
+            lead, later = alive[at], alive[at + 1 :]
+            certain = own[lead] and state[lead] == FREE
+            d = left[later] - left[lead]
+            near = np.einsum("ij,ij->i", d, d) < radius * radius
+            if turns is not None and near.any():
+                close = np.flatnonzero(near)
+                near[close] = (turns[later[close]] @ turns[lead] - 1.0) / 2.0 > turned[1]
+            if certain:
+                taken[lead] = True
+                state[later[near]] = OUT
+                alive = np.concatenate([alive[: at + 1], later[~near]]) if near.any() else alive
+            else:
+                state[lead] = TAINTED
+                state[later[near]] = TAINTED
+            at += 1
+        final = own & (taken | (state == OUT))
+        return frame.loc[final, names].assign(_in=taken[final])
+
+    return run
+
+
 def greedy_leaders(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,39 +115,46 @@ def greedy_leaders(
     xyz: Sequence[str],
     radius: float,
     payload: Sequence[str] = (),
-    also: Callable[[str, str], Column] | None = None,
+    turned: Turned | None = None,
+    capacity: int = BLOCK_LIMIT,
 ) -> DataFrame:
     """Elements a sequential greedy pass in ascending ``priority`` would take.
 
-    Two elements are near when closer than ``radius`` and, if given,
-    ``also(prefix_a, prefix_b)`` holds on their payload columns. Per round a cell
-    offers its best undecided element only, so joins stay small in crowded cells.
+    Two elements are near when closer than ``radius`` and, if ``turned`` is given,
+    their rotations (columns of the payload) differ by less than its angle. A task
+    holds about ``capacity`` elements of a block and those around it; rounds grow
+    with the number of blocks that one chain of dependent elements runs through.
     """
     keys = list(keys)
     names = [priority, *xyz, *payload]
-    undecided = materialise(
-        df.select(*keys, *names).withColumns(dict(zip(CELL, cell_of(xyz, radius))))
-    )
+    undecided = materialise(df.select(*keys, *names).withColumns(dict(zip(CELL, cell_of(xyz, radius)))))
+    fields = [undecided.schema[n] for n in (*keys, *names)]
+    schema = T.StructType([*fields, T.StructField("_in", T.BooleanType())])
+    run = _pass([*keys, *names], priority, list(xyz), radius, turned)
     leaders = None
     while not undecided.isEmpty():
-        best = undecided.groupBy(*keys, *CELL).agg(F.min_by(F.struct(*names), priority).alias("_b"))
-        heads = materialise(best.select(*keys, *CELL, *[F.col(f"_b.{n}").alias(f"l_{n}") for n in names]))
-        rivals = _spread(heads.select(*keys, *CELL, f"l_{priority}")).groupBy(*keys, *CELL).agg(
-            F.min(f"l_{priority}").alias("_rival")
-        )
-        won = materialise(
-            heads.join(rivals, [*keys, *CELL]).where(F.col(f"l_{priority}") == F.col("_rival")).drop("_rival")
-        )
+        cells = undecided.groupBy(*keys, *CELL).agg(F.count(F.lit(1)).alias("_n"))
+        home = materialise(_blocks_of_cells(cells, keys, capacity))
+        # Each block also needs the elements of the cells around it.
+        needed = _spread(home.select(*keys, *CELL, *BLOCK)).distinct()
+        own = home.select(*keys, *CELL, F.struct(*BLOCK).alias("_home"))
+        seen = undecided.join(own, [*keys, *CELL]).join(needed, [*keys, *CELL])
+        seen = seen.withColumn("_own", F.struct(*BLOCK) == F.col("_home")).drop("_home", *CELL)
+        cuts = _thresholds(undecided, home, needed, keys, priority, capacity)
+        if cuts is not None:
+            seen = seen.join(cuts, [*keys, *BLOCK], "left").where(F.col(priority) <= F.coalesce("_cut", F.col(priority))).drop("_cut")
+        decided = materialise(seen.groupBy(*keys, *BLOCK).applyInPandas(run, schema))
+        won = decided.where("_in").select(*keys, *names)
+        rest = undecided.join(decided.select(*keys, priority), [*keys, priority], "left_anti")
+        heads = won.select(*keys, *[F.col(n).alias(f"l_{n}") for n in names])
+        heads = _spread(heads.withColumns(dict(zip(CELL, cell_of([f"l_{c}" for c in xyz], radius)))))
         near = squared_distance(xyz, [f"l_{c}" for c in xyz]) < F.lit(radius * radius)
-        if also is not None:
-            near = near & also("", "l_")
-        same = F.col(priority) == F.col(f"l_{priority}")
-        gone = undecided.join(_spread(won), [*keys, *CELL]).where(near | same).select(*keys, priority).distinct()
-        undecided = materialise(undecided.join(gone, [*keys, priority], "left_anti"))
+        if turned is not None:
+            near = near & turned_near(turned)
+        gone = rest.join(heads, [*keys, *CELL]).where(near).select(*keys, priority).distinct()
+        undecided = materialise(rest.join(gone, [*keys, priority], "left_anti"))
         leaders = won if leaders is None else leaders.unionByName(won)
-    if leaders is None:
-        return df.select(*keys, *names).limit(0)
-    return leaders.select(*keys, *[F.col(f"l_{n}").alias(n) for n in names])
+    return df.select(*keys, *names).limit(0) if leaders is None else leaders
 
 
 def assign_leaders(

@@ -30,6 +30,21 @@ def groups_bounded(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT)
     )
 
 
+def split_by_size(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups up to ``limit``, and those of larger groups (``None`` when there are none).
+
+    Large groups are found once, by a count with map-side combine, and written by
+    their keys; small ones keep their plan and are never written.
+    """
+    keys = list(keys)
+    large = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
+    if large.isEmpty():
+        return df, None
+    named = large.toDF(*[f"_g{i}" for i in range(len(keys))])
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
+
+
 def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = GROUP_LIMIT) -> DataFrame:
     """Range-partition on (keys, order) and write the block number with each row.
 
