@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rankforge.llm import stages
-from rankforge.session import shared_dir
+from rankforge.session import remove, shared_dir
 
 STAGES = [
     ("quality classifier", stages.keep_quality),
@@ -21,10 +21,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; every hand-over is a written table."""
+    """Apply all stages to ``documents``; every hand-over is a written table, deleted once the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/rankforge/pipeline-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
