@@ -1,10 +1,11 @@
 """op8: preference pairs from ``conversations``.
 
 The table has no rejected conversations, so the query derives them: of every
-conversation the last assistant turn is exchanged for the last one of its
-neighbour (ids 2k and 2k + 1), which answers something else. Without a
-neighbour's answer the rejected conversation stops before that turn; without an
-assistant turn it equals the chosen one.
+conversation the last assistant turn is exchanged in its place for the last one
+of its neighbour (ids 2k and 2k + 1), which answers something else; all other
+turns, later ones and those without a number too, are the same on both sides.
+Without a neighbour's answer the rejected conversation lacks that turn; without a
+numbered assistant turn it equals the chosen one.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ def _spans(turns: str) -> str:
 
 SQL = f"""
 WITH final AS (
-  SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+  SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id),
 swapped AS (
-  SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c LEFT JOIN final f USING (conv_id) WHERE f.turn IS NULL OR c.turn < f.turn
+  SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c LEFT JOIN final f USING (conv_id) 
+  WHERE f.turn IS NULL OR c.role IS DISTINCT FROM 'assistant' OR c.turn IS DISTINCT FROM f.turn
   UNION ALL
   SELECT f.conv_id, f.turn, 'assistant', n.text FROM final f JOIN final n ON n.conv_id = xor(f.conv_id, 1)),
 c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn) AS c FROM conversations GROUP BY conv_id),
@@ -57,11 +59,12 @@ def _spelt(mask: Column) -> Column:
 
 
 def rejected_conversations(turns: DataFrame) -> DataFrame:
-    final = turns.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("_last"))
-    before = turns.join(final, "conv_id", "left").where(F.col("_last").isNull() | (F.col("turn") < F.col("_last.turn")))
+    final = turns.where((F.col("role") == "assistant") & F.col("turn").isNotNull()).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("_last"))
+    exchanged = F.col("role").eqNullSafe(F.lit("assistant")) & F.col("turn").eqNullSafe(F.col("_last.turn"))
+    others = turns.join(final, "conv_id", "left").where(F.col("_last").isNull() | ~exchanged)
     other = final.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("_last.text").alias("text"))
     answers = final.join(other, "conv_id").select("conv_id", F.col("_last.turn").alias("turn"), F.lit("assistant").alias("role"), "text")
-    return before.select("conv_id", "turn", "role", "text").union(answers)
+    return others.select("conv_id", "turn", "role", "text").union(answers)
 
 
 @register("op8_preference_pairs", SQL)

@@ -73,3 +73,29 @@ def test_copies_and_leaks_of_rows_without_own_id(spark):
     rows = [(None, item), (None, a), (4, f"{b} {item}"), (4, b)]
     kept = stages.keep_uncontaminated(spark, spark.createDataFrame(rows, schema), SF)
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, a), (4, b)], key=repr)
+
+
+def test_clashing_columns(spark):
+    """Names in other letters, the same name twice, names used inside, and a row number of the table's own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumns(
+        {"_row_number": F.lit(5), "_0": F.lit("a"), "_c": F.lit(1), "_same": F.lit(2), "_key": F.lit("k"), "size": F.lit(3)}
+    )
+    docs = docs.union(docs.select([F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]).limit(1))
+    more = docs.select("*", *[F.lit("x").alias(c) for c in ("TEXT", "Doc_Id", "SOURCE", "lang")])
+    at = docs.columns.index("text")
+    for stage in (stages.keep_quality, stages.keep_one_of_each, stages.keep_uncontaminated, stages.mix):
+        plain, clashing = stage(spark, docs, SF), stage(spark, more, SF)
+        assert plain.columns == docs.columns and clashing.columns == more.columns
+        rows = sorted((r[0] is None, r[0] or 0, r[at] or "") for r in clashing.collect())
+        assert rows == sorted((r[0] is None, r[0] or 0, r[at] or "") for r in plain.collect())
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    assert stages.tokenise(spark, more, SF).count() == 61
+
+
+def test_equal_rows_share_their_copies(spark):
+    rows = [(None, "some words " * 9, "a")] * 6 + [(1, "other words " * 50, "a"), (2, "one", None), (2, "one", None), (3, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in stages.mix(spark, docs, SF).collect()]
+    assert all(kept.count(r) <= 2 * rows.count(r) for r in kept) and set(kept) <= set(rows)
+    again = [tuple(r) for r in stages.mix(spark, docs.orderBy(F.desc("doc_id")), SF).collect()]
+    assert sorted(kept, key=repr) == sorted(again, key=repr)
