@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankforge import schemas as S
 from rankforge.functions import expressions as X
 from rankforge.operators import labels as B
 from rankforge.operators.scoring import minmax_color, rank_candidates
+from rankforge.session import shared_dir
 from rankforge.sources import catalog as A
+from rankforge.sources.sidecars import read_sidecars, write_sidecars
 from suite import mappings as M
 from suite.registry import NUDGE, r6, register
 
@@ -123,6 +128,25 @@ def a10_object_sidecar_join(spark, sf):
     ).select("scene_id", "frame_id", "cand_idx", *r6("p0", "p1"))
 
 
+@register(
+    "a10_sidecar_tree",
+    f"""WITH {M.CAND}, placed AS (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_id, camera ORDER BY cand_idx) - 1 AS place FROM cand)
+    SELECT scene_id, frame_id, place, cand_idx, CAST(cand_idx % 512 AS DOUBLE) / 64 AS p0, floor(model_score * 64) / 64 AS p1
+    FROM placed WHERE scene_id >= 120""",
+)
+def a10_sidecar_tree(spark, sf):
+    """Vectors that half precision holds exactly, written as a tree, read for some scenes and joined to their candidates."""
+    order = Window.partitionBy(*S.FRAME_KEYS).orderBy("cand_idx")
+    placed = M.candidates(spark, sf).withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    pooled = F.array((F.col("cand_idx") % 512) / 64, F.floor(F.col("model_score") * 64) / 64)
+    root = f"{shared_dir(spark)}/rankforge/sidecars-{uuid.uuid4().hex}"
+    write_sidecars(placed.select(*S.FRAME_KEYS, F.col("place").alias("cand_idx"), pooled.alias("pooled")), root)
+    side = read_sidecars(spark, root).where("scene_id >= 120").withColumnRenamed("cand_idx", "place")
+    out = A.object_sidecar_join(placed.where("scene_id >= 120"), side, require=True, keys=(*S.FRAME_KEYS, "place"))
+    double = [F.col("pooled")[i].cast("double").alias(f"p{i}") for i in range(2)]
+    return out.select("scene_id", "frame_id", "place", "cand_idx", *double)
+
+
 @register(
     "b1_decode_candidates",
     """SELECT vec_id,
