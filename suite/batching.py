@@ -42,10 +42,13 @@ def i3_strided_shard(spark, sf):
 
 @register(
     "i4_scene_chunks",
-    f"""WITH {M.FRM} SELECT frame_id, scene_id, (row_number() OVER (PARTITION BY scene_id ORDER BY frame_id) - 1) // 16 AS chunk FROM frm""",
+    f"""WITH {M.FRM}, wide AS (SELECT frame_id, scene_id % 19 AS scene_id FROM frm)
+    SELECT frame_id, scene_id, (row_number() OVER (PARTITION BY scene_id ORDER BY frame_id) - 1) // 256 AS chunk FROM wide""",
 )
 def i4_scene_chunks(spark, sf):
-    return I.scene_chunks(M.frames(spark, sf), 16).select("frame_id", "scene_id", "chunk")
+    """Ten scenes joined to one, so that a scene fills several chunks."""
+    frames = M.frames(spark, sf).withColumn("scene_id", F.col("scene_id") % 19)
+    return I.scene_chunks(frames, 256).select("frame_id", "scene_id", "chunk")
 
 
 OFFSETS = f"""{M.FRM}, off AS (SELECT frame_id, num, CAST(sum(num) OVER (ORDER BY frame_id) AS BIGINT) AS e,

@@ -190,13 +190,13 @@ def c9_nearest_within(spark, sf):
 
 @register(
     "c10_knn_groups",
-    f"""WITH {NEAR}, c AS (SELECT *, CAST(s AS INTEGER) AS slot FROM qp, range(0, 8) t(s))
+    f"""WITH {NEAR}, c AS (SELECT *, CAST(s AS INTEGER) AS slot FROM qp, range(0, 32) t(s))
     SELECT c.frame_id, c.cand_idx, c.slot, n.point_idx,
       round(coalesce(n.x - c.tx, 0) + 2.3e-8, 6) + 0.0 AS dx, round(coalesce(n.y - c.ty, 0) + 2.3e-8, 6) + 0.0 AS dy, round(coalesce(n.z - c.tz, 0) + 2.3e-8, 6) + 0.0 AS dz
     FROM c LEFT JOIN nn n ON n.frame_id = c.frame_id AND n.cand_idx = c.cand_idx AND n.nn = c.slot""",
 )
 def c10_knn_groups(spark, sf):
-    df = C.knn_groups(M.query_points(spark, sf), M.points(spark, sf), 8)
+    df = C.knn_groups(M.query_points(spark, sf), M.points(spark, sf), 32)
     return df.select("frame_id", "cand_idx", "slot", "point_idx", *r6("dx", "dy", "dz"))
 
 
@@ -492,3 +492,69 @@ def c22_object_cloud(spark, sf):
         max_ratio=0.9,
     )
     return out.select("frame_id", "cand_idx", "cluster_id", F.size("object_cloud").alias("points"))
+
+
+# ---- samplers at their full budgets, over the pixels of a frame -----------------
+
+CLOUD = f"""{PT3}, cloud AS (SELECT frame_id, v * 40 + u AS point_idx, x * 0.1::DOUBLE AS x, y * 0.1::DOUBLE AS y, (z - 0.7::DOUBLE) * 0.1::DOUBLE AS z FROM pt3 WHERE valid)"""
+CLOUD_PAIRS = f"""{CLOUD}, posts AS (SELECT DISTINCT frame_id, c AS cand_idx, CAST(c AS DOUBLE) / 200 - 0.005::DOUBLE AS ty FROM cloud, range(0, 3) t(c)),
+    near0 AS (SELECT frame_id, cand_idx, point_idx, x AS lx, y - ty AS ly, z AS lz, x * x + (y - ty) * (y - ty) + z * z AS d2 FROM posts JOIN cloud USING (frame_id)),
+    near AS (SELECT * FROM near0 WHERE d2 <= 0.04::DOUBLE * 0.04::DOUBLE)"""
+
+
+def cloud(spark, sf):
+    small = pixel_points(spark, sf).where("valid")
+    return small.select(
+        "frame_id", (F.col("v") * 40 + F.col("u")).alias("point_idx"), (F.col("x") * 0.1).alias("x"), (F.col("y") * 0.1).alias("y"), ((F.col("z") - 0.7) * 0.1).alias("z")
+    )
+
+
+def posts(spark, sf):
+    """Three upright candidates in the middle of every frame."""
+    turn = [F.lit(float(i in (0, 4, 8))).alias(f"r{i}") for i in range(9)]
+    numbered = cloud(spark, sf).select("frame_id").distinct().withColumn("cand_idx", F.explode(F.array(*[F.lit(c).cast("long") for c in range(3)])))
+    return numbered.select("frame_id", "cand_idx", F.lit(0.0).alias("tx"), (F.col("cand_idx").cast("double") / 200 - 0.005).alias("ty"), F.lit(0.0).alias("tz"), *turn)
+
+
+FULL_FPS = "(SELECT frame_id, point_idx, x::FLOAT AS x, y::FLOAT AS y, z::FLOAT AS z, 512 AS budget FROM cloud)"
+
+
+@register("c12_full_budget", f"WITH RECURSIVE {CLOUD}, {fps_sql(FULL_FPS, 'frame_id', 512)} SELECT frame_id, point_idx, slot FROM picked")
+def c12_full_budget(spark, sf):
+    return N.farthest_point_sample(cloud(spark, sf), ["frame_id"], 512).select("frame_id", "point_idx", "slot")
+
+
+FULL_STARTS = [sum(S.SHELL_BUDGETS[:i]) for i in range(len(S.SHELL_BUDGETS))]
+
+
+@register(
+    "c13_full_budget",
+    f"""WITH RECURSIVE {CLOUD}, {shells_sql("(SELECT frame_id, point_idx, x::FLOAT AS x, y::FLOAT AS y, z::FLOAT AS z FROM cloud)", "frame_id", S.SHELL_BUDGETS)},
+    {fps_sql("sh", "frame_id, shell", max(S.SHELL_BUDGETS))}
+    SELECT frame_id, shell, slot + {FULL_STARTS}[shell + 1] AS slot, point_idx FROM picked""",
+)
+def c13_full_budget(spark, sf):
+    return N.stratified_fps(cloud(spark, sf), ["frame_id"], xyz=("x", "y", "z")).select("frame_id", "shell", "slot", "point_idx")
+
+
+@register(
+    "c14_full_budget",
+    f"""WITH {CLOUD_PAIRS}, k AS (SELECT frame_id, cand_idx, point_idx, count(*) OVER (PARTITION BY frame_id, cand_idx) AS n,
+        row_number() OVER (PARTITION BY frame_id, cand_idx ORDER BY lx * lx + ly * ly + lz * lz, point_idx) AS rd,
+        row_number() OVER (PARTITION BY frame_id, cand_idx ORDER BY point_idx) AS ri FROM near)
+    SELECT frame_id, cand_idx, point_idx, CAST(CASE WHEN n <= 512 THEN ri ELSE rd END - 1 AS INTEGER) AS slot FROM k WHERE n <= 512 OR rd <= 512""",
+)
+def c14_full_budget(spark, sf):
+    near = radius_join(posts(spark, sf), cloud(spark, sf), 0.04, spread=["frame_id", "cand_idx"])
+    return C.nearest_p_sample(C.to_local_frame(near), 512, ["frame_id", "cand_idx"]).select("frame_id", "cand_idx", "point_idx", "slot")
+
+
+@register(
+    "c21_full_budget",
+    f"""WITH RECURSIVE {CLOUD_PAIRS},
+    {shells_sql("(SELECT frame_id, cand_idx, point_idx, lx::FLOAT AS x, ly::FLOAT AS y, lz::FLOAT AS z FROM near)", "frame_id, cand_idx", S.SHELL_BUDGETS)},
+    {fps_sql("sh", "frame_id, cand_idx, shell", max(S.SHELL_BUDGETS))}
+    SELECT frame_id, cand_idx, shell, slot + {FULL_STARTS}[shell + 1] AS slot, point_idx FROM picked""",
+)
+def c21_full_budget(spark, sf):
+    return N.local_cloud(posts(spark, sf), cloud(spark, sf)).select("frame_id", "cand_idx", "shell", "slot", "point_idx")

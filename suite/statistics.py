@@ -350,7 +350,7 @@ def f11_progress_report(spark, sf):
 @register(
     "f12_multitask_loss",
     f"""WITH {M.PRED}, g AS (
-      SELECT *, l_linenumber - 2 AS object_id, [l_tax * 10 * i - l_discount * (i - 3) * (i - 3) FOR i IN range(0, 8)] AS lg FROM pred),
+      SELECT *, l_linenumber - 2 AS object_id, [l_tax * 10 * i - l_discount * (i - 3) * (i - 3) FOR i IN range(0, 88)] AS lg FROM pred),
     p AS (SELECT *, abs(pred - target) AS d,
             CASE WHEN object_id >= 0 THEN ln(list_sum([exp(x) FOR x IN lg])) - lg[object_id + 1] END AS nll,
             CASE WHEN object_id >= 0 THEN CAST(list_position(lg, list_max(lg)) - 1 = object_id AS INTEGER) END AS hit FROM g),
@@ -363,7 +363,7 @@ def f11_progress_report(spark, sf):
 )
 def f12_multitask_loss(spark, sf):
     logits = F.array(
-        *[F.col("l_tax") * 10 * i - F.col("l_discount") * ((i - 3) * (i - 3)) for i in range(8)]
+        *[F.col("l_tax") * 10 * i - F.col("l_discount") * ((i - 3) * (i - 3)) for i in range(88)]
     )
     df = M.predictions(spark, sf).withColumns({"object_logits": logits, "object_id": F.col("l_linenumber") - 2})
     out = Z.multitask_loss(df, by=["l_returnflag"])
