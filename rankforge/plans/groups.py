@@ -1,11 +1,11 @@
 """Ordered computations inside groups that hold at any group size.
 
 A window partition is one task, so a frame holding a third of all rows would
-stop a plain window. Each function first proves that every group is small (one
-count with map-side combine over the key columns only). If so the plain window
-runs. Otherwise rows are range-partitioned on (keys, order), so that a large
-group spreads over many blocks; each block is scanned on its own and receives
-the totals of the blocks before it.
+stop a plain window. Each function first finds the large groups (one count with
+map-side combine over the key columns only). All others go through the plain
+window and are never written. The rows of large groups are range-partitioned on
+(keys, order), so that such a group spreads over many blocks; each block is scanned
+on its own and receives the totals of the blocks before it.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ def groups_bounded(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT)
 def split_by_size(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame | None]:
     """The rows of groups up to ``limit``, and those of larger groups (``None`` when there are none).
 
-    Large groups are found once, by a count with map-side combine, and written by
-    their keys; small ones keep their plan and are never written.
+    A count with map-side combine shows whether there are any; only then are their
+    keys written. Small groups keep their plan and are never written.
     """
     keys = list(keys)
-    large = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
-    if large.isEmpty():
+    if groups_bounded(df, keys, limit):
         return df, None
+    large = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
     named = large.toDF(*[f"_g{i}" for i in range(len(keys))])
     same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
     return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
@@ -79,6 +79,11 @@ def scan_within(
     order inside a group.
     """
     keys = list(keys)
+    if not bounded and keys:
+        # Only large groups go through blocks; the others keep the plain window.
+        small, large = split_by_size(df, keys, limit)
+        found = scan_within(small, keys, order, specs, limit, True)
+        return found if large is None else found.unionByName(_scan_blocks(large, keys, order, specs, limit))
     if bounded is None:
         bounded = groups_bounded(df, keys, limit)
     if bounded:
@@ -91,7 +96,13 @@ def scan_within(
             for out, (kind, value) in specs.items()
         }
         return df.withColumns(added)
+    return _scan_blocks(df, keys, order, specs, limit)
+
 
+def _scan_blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], specs: dict[str, tuple[str, Column]], limit: int
+) -> DataFrame:
+    """The same for groups of any size, through written blocks."""
     fold = {
         out: ("sum", F.lit(1).cast("long")) if kind == "rank" else (kind, value)
         for out, (kind, value) in specs.items()
@@ -172,12 +183,21 @@ def exact_quantiles(
     """
     keys = list(keys)
     rows = df.select(*keys, value.cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    if not bounded and keys:
+        small, large = split_by_size(rows, keys, limit)
+        found = exact_quantiles(small, keys, F.col("_x"), quantiles, limit, True)
+        return found if large is None else found.unionByName(_quantiles_of_counts(large, keys, quantiles, limit))
     if bounded is None:
         bounded = groups_bounded(rows, keys, limit)
     if bounded:
         return rows.groupBy(*keys).agg(
             *[F.percentile("_x", F.lit(q)).alias(name) for name, q in quantiles.items()]
         )
+    return _quantiles_of_counts(rows, keys, quantiles, limit)
+
+
+def _quantiles_of_counts(rows: DataFrame, keys: list[str], quantiles: dict[str, float], limit: int) -> DataFrame:
+    """Quantiles of ``_x`` from counts of equal values and their running totals."""
     groups = keys or ["_whole"]
     if not keys:
         rows = rows.withColumn("_whole", F.lit(0))
