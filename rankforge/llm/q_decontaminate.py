@@ -4,32 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm.common import LOWER, UPPER, WORD, table
-from rankforge.llm.decontaminate import MASKS, find_leaks
+from rankforge.llm.common import WORD, table
+from rankforge.llm.decontaminate import find_leaks
 from rankforge.llm.registry import register
 
 WINDOW = 13
 
 
 def _tokens(name: str, key: str) -> str:
-    """Words with their place and, per mask, the words of the seed that starts there."""
-    seeds = ", ".join(
-        "concat_ws(' ', word, " + ", ".join(f"lead(word, {o}) OVER o" for o in mask[1:]) + f") AS seed{k}"
-        for k, mask in enumerate(MASKS)
-    )
+    """Words in lower case with their place, and the number of words."""
     return f"""
-  SELECT *, {seeds}, lead(word, 7) OVER o IS NOT NULL AS whole FROM (
-    SELECT {key}, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (
-      SELECT {key}, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM {name}))
-  WINDOW o AS (PARTITION BY {key} ORDER BY i)"""
+  SELECT {key}, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (
+    SELECT {key}, regexp_extract_all(lower(text), '{WORD}') AS ws FROM {name})"""
 
 
-_pairs = " UNION ".join(
-    f"SELECT d.doc_id, b.item_id, d.i - b.i AS shift FROM d JOIN b ON d.seed{k} = b.seed{k} WHERE d.whole AND b.whole"
-    for k in range(len(MASKS))
-)
+# Every alignment of a document and an item with enough equal words is looked at; no seeds.
 SQL = f"""
-WITH d AS ({_tokens('documents', 'doc_id')}), b AS ({_tokens('benchmark', 'item_id')}), hits AS ({_pairs}),
+WITH d AS ({_tokens('documents', 'doc_id')}), b AS ({_tokens('benchmark', 'item_id')}),
+hits AS (
+  SELECT d.doc_id, b.item_id, d.i - b.i AS shift FROM d JOIN b ON d.word = b.word
+  GROUP BY d.doc_id, b.item_id, d.i - b.i HAVING count(*) >= ceil(least(max(b.n), {WINDOW}) * 0.8 - 1e-9)),
 flags AS (
   SELECT h.doc_id, h.item_id, h.shift, b.i, b.n, CASE WHEN d.word = b.word THEN 1 ELSE 0 END AS same
   FROM hits h JOIN b ON b.item_id = h.item_id LEFT JOIN d ON d.doc_id = h.doc_id AND d.i = b.i + h.shift),
