@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge import schemas as S
 from rankforge.operators.evaluation import ap_by_split, frame_ap
 from rankforge.operators.scoring import lambda_sweep
+from rankforge.operators.training import JointModel, fit_joint, score_joint
 
 
 def compare_orders(
@@ -40,3 +41,21 @@ def compare_orders(
 def evaluate_order(candidates: DataFrame, score: str, frames: DataFrame | None = None) -> DataFrame:
     """AP per test group of one given order."""
     return ap_by_split(frame_ap(candidates, score, frames=frames))
+
+
+def fit_and_compare(
+    candidates: DataFrame,
+    train: Column,
+    lam: float,
+    features: str = "features",
+    **fit,
+) -> tuple[JointModel, DataFrame]:
+    """Fit all heads on the ``train`` rows, score the others and measure their new order.
+
+    The predicted quality is the model score that is fused with the detector's.
+    Rows for which ``train`` is unknown belong to neither side. Returns the model
+    and the AP of both orders per test group.
+    """
+    model = fit_joint(candidates.where(train), features, **fit)
+    scored = score_joint(candidates.where(~train).drop("model_score"), model, features)
+    return model, compare_orders(scored, lam, model="predicted_quality")

@@ -8,10 +8,15 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rankforge import schemas as S
+from rankforge.functions.stats import multitask_loss
+from rankforge.operators import geometry as C
 from rankforge.operators import labels as B
 from rankforge.operators import models as K
 from rankforge.operators import quality as H
-from rankforge.session import shared_dir
+from rankforge.operators import training as T
+from rankforge.plans.grid import radius_join
+from rankforge.plans.pipelines import fit_and_compare
+from rankforge.session import materialise, shared_dir
 from rankforge.sources import dumps as D
 from rankforge.streaming import jobs as J
 from suite import mappings as M
@@ -274,6 +279,45 @@ def k5_fit_aux(spark, sf):
     )
 
 
+def described(spark, sf):
+    """Candidates with pose, pooled neighbourhood and pooled object as one vector.
+
+    The events of a block form the cloud that its candidates stand in. No feature
+    comes from friction, collision, emptiness or object class.
+    """
+    hour = M.table(spark, sf, "events").select(F.col("event_id").alias("cand_idx"), (F.hour("ts") / 1000).alias("tz"))
+    rows = full_rows(spark, sf).drop("tz").join(hour, "cand_idx").withColumns(
+        {"block": F.floor(F.col("cand_idx") / 64), "tx": F.col("base_score") / 1000, "ty": F.col("base_score") / 500}
+    )
+    rows = B.pose_features(rows.drop("model_score"))
+    clouds = B.strip_padding(B.cloud_mask(block_clouds(spark, sf), "cloud"))
+    points = clouds.select("block", F.posexplode("cloud").alias("point_idx", "p")).select("block", "point_idx", "p.*")
+    near = radius_join(rows.select("block", "cand_idx", "tx", "ty", "tz"), points, 0.04, ["block"], spread=["block", "cand_idx"])
+    local = C.shell_pool(near.withColumns({"radius": F.sqrt("d2"), "ahead": F.col("x") - F.col("tx")}), ["ahead"], ["block", "cand_idx"], rows)
+    pooled = K.embed_objects(clouds.withColumnRenamed("cloud", "object_cloud"), point_encoder, 3, keys=["block"])
+    joined = rows.join(local, ["block", "cand_idx"]).join(pooled, "block")
+    shells = [f"ahead_shell{s}" for s in range(4)] + [f"alive{s}" for s in range(4)] + ["ahead_max", "ahead_mean"]
+    return joined.withColumn("features", T.feature_vector(F.col("pose_features"), *shells, F.col("pooled")))
+
+
+TRAIN = "frame_id % 4 < 2"
+
+
+@register("k45_joint_fit_rerank")
+def k45_joint_fit_rerank(spark, sf):
+    """Fit on half of the frames, score the others, re-rank them and report AP (tested by a dense solver)."""
+    return fit_and_compare(materialise(described(spark, sf)), F.expr(TRAIN), 0.5)[1]
+
+
+@register("k45_joint_losses")
+def k45_joint_losses(spark, sf):
+    """All losses of the joint fit, on its own frames and on the others."""
+    rows = materialise(described(spark, sf))
+    scored = T.score_joint(rows, T.fit_joint(rows.where(TRAIN)))
+    scored = scored.withColumns({"target": K.quality_target("mu_min"), "part": F.when(F.expr(TRAIN), "fitted").otherwise("held out")})
+    return multitask_loss(scored, pred="predicted_quality", by=["part"])
+
+
 @register(
     "k6_feature_reliance",
     f"""WITH {M.CAND}, r AS (SELECT frame_id, cand_idx, base_score AS b, model_score AS m, row_number() OVER (PARTITION BY frame_id ORDER BY cand_idx) AS a,
