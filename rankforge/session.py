@@ -62,10 +62,34 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this session has written."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the entries of a folder, in order; none where there is no folder."""
+    place, system = _place(spark, folder)
+    return sorted(e.getPath().getName() for e in system.listStatus(place)) if system.exists(place) else []
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file appear whole under its name; False where there is one already."""
+    place, system = _place(spark, path)
+    draft, _ = _place(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    stream = system.create(draft, False)
+    stream.write(text.encode())
+    stream.close()
+    if not system.exists(place) and system.rename(draft, place):
+        return True
+    system.delete(draft, False)
+    return False
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -160,6 +160,35 @@ def j1_rerank_batches(spark, sf):
     return spark.read.parquet(f"{out}/batch=*").select("scene_id", "frame_id", "cand_idx", *r6("fused"), "rank")
 
 
+@register("j1_rerank_held_frames", RANKED)
+def j1_rerank_held_frames(spark, sf):
+    """Every frame arrives in pieces over three triggers and is ranked when its last row is there."""
+    source, out = fresh(spark, "pieces"), fresh(spark, "ranked")
+    rows = M.candidates(spark, sf)
+    sizes = rows.groupBy(*S.FRAME_KEYS).agg(F.count(F.lit(1)).alias("num_recorded"))
+    rows = materialise(rows.join(sizes, S.FRAME_KEYS))
+    check = fresh(spark, "check")
+    for piece in range(3):
+        rows.where(F.col("cand_idx") % 3 == piece).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        J.rerank_batches(stream, 0.5, out, check, expected="num_recorded").awaitTermination()
+    return spark.read.parquet(f"{out}/batch=*").select("scene_id", "frame_id", "cand_idx", *r6("fused"), "rank")
+
+
+@register("j2_compact_ingested", DUMPED)
+def j2_compact_ingested(spark, sf):
+    """Dumps ingested in three runs, flat layouts first, merged after two of them."""
+    root, out, check = fresh(spark, "dumps"), fresh(spark, "ingested"), fresh(spark, "check")
+    rows = full_rows(spark, sf)
+    flat = rows.withColumns({"camera": F.lit("."), "base_score": F.col("base_score") + 1000})
+    for part in (flat.where("frame_id % 2 = 0"), rows.where("frame_id % 3 > 0"), rows.where("frame_id % 3 = 0")):
+        D.write_dumps(part, root).agg(F.sum("num")).collect()
+        J.stream_ingest(spark, root, out, check, "realsense").awaitTermination()
+        if part is not flat:
+            J.compact_ingested(spark, out)
+    return dump_columns(J.latest_ingested(spark, out))
+
+
 @register("j2_stream_ingest", DUMPED)
 def j2_stream_ingest(spark, sf):
     """Dumps ingested by a stream in two runs; the second finds nothing new."""
