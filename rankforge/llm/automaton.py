@@ -17,7 +17,8 @@ DEAD = 0
 
 
 class _Nfa:
-    def __init__(self) -> None:
+    def __init__(self, backwards: bool = False) -> None:
+        self.backwards = backwards
         self.empty: list[list[int]] = []
         self.moves: list[list[tuple[frozenset[int], int]]] = []
 
@@ -28,7 +29,7 @@ class _Nfa:
 
     def add(self, tree, start: int) -> int:
         """Append what ``tree`` matches after ``start``; the state where it ends."""
-        for op, arg in tree:
+        for op, arg in reversed(list(tree)) if self.backwards else tree:
             start = self._item(str(op), arg, start)
         return start
 
@@ -101,13 +102,14 @@ class Automaton:
     start: int
 
 
-def compile_rules(patterns: list[str], search: bool = False) -> Automaton:
+def compile_rules(patterns: list[str], starts: bool = False) -> Automaton:
     """One minimal automaton for all patterns.
 
-    With ``search`` a match may begin anywhere and the automaton stays in the
-    accepting state it reaches first, so one pass tells whether any rule occurs.
+    With ``starts`` it reads a text from its end to its begin, and where it
+    accepts a rule after a byte, a match of that rule starts at this byte. So one
+    pass finds every position from which any rule matches.
     """
-    nfa = _Nfa()
+    nfa = _Nfa(backwards=starts)
     root = nfa.state()
     ends: dict[int, int] = {}
     for i, p in enumerate(patterns):
@@ -130,11 +132,9 @@ def compile_rules(patterns: list[str], search: bool = False) -> Automaton:
         accepts.append(bits)
         row = []
         for b in letters:
-            step = states if search and bits else nfa.closure({t for s in states for chars, t in nfa.moves[s] if b in chars})
-            if search and not bits:
+            step = nfa.closure({t for s in states for chars, t in nfa.moves[s] if b in chars})
+            if starts:
                 step |= first
-                hits = step & ends.keys()
-                step = frozenset([min(hits)]) if hits else step
             if step not in numbers:
                 numbers[step] = len(todo)
                 todo.append(step)

@@ -1,7 +1,9 @@
 """Secret scan: all rules in one byte pass of a combined automaton.
 
-The combined automaton reads each text once and tells whether any rule can
-occur in it; in the few such texts the rules' own anchored automata find the spans.
+The combined automaton reads each text once, from its end, and tells at every
+byte which rules match from there. Only where a rule is known to match does its
+own anchored automaton run forward, to the end of the longest match, and a rule
+goes on behind its match. So the work is linear also in texts full of almost-matches.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -20,15 +21,17 @@ from rankforge.llm.common import map_texts, pick
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` finds leftmost longest matches; ``trigger`` occurs in every text that has one.
+    """``pattern`` finds leftmost longest matches; ``head`` matches from the same positions.
 
-    ``check`` drops matches after they were found, so a dropped match still
-    hides what it covers.
+    The head is the pattern without what a match may have but need not, hence
+    smaller; it may leave out starts of matches that ``check`` drops, if those
+    hide no other. ``check`` drops matches after they were found, so a dropped
+    match still hides what it covers.
     """
 
     kind: str
     pattern: str
-    trigger: str
+    head: str
     check: Callable[[bytes], bool] | None = None
 
 
@@ -53,47 +56,62 @@ BASE_RULES = [
 ]
 # Shapes of further credentials, from their public documentation.
 MORE_RULES = [
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN "),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("hub", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]", lambda m: len(m) >= 40),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]", lambda m: len(m) >= 15),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]+[.]eyJ"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]"),
     Rule("maps", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]", lambda m: len(m) >= 39),
 ]
 
 
-def linked_rows(automaton: Automaton) -> tuple[list, set[int]]:
-    """The transition array as lists that hold their successors: one lookup a byte.
-
-    Returns the start row and the identities of accepting rows.
-    """
+def linked_rows(automaton: Automaton) -> list:
+    """The transition array as lists that hold their successors, and at 256 the accepted rules' bits: the start row."""
     rows: list[list] = [[] for _ in automaton.accepts]
-    for row, targets in zip(rows, automaton.table.tolist()):
+    for row, targets, bits in zip(rows, automaton.table.tolist(), automaton.accepts.tolist()):
         row.extend(rows[t] for t in targets)
-    return rows[automaton.start], {id(r) for r, bits in zip(rows, automaton.accepts) if bits}
-
-
-def find_spans(data: bytes, automaton: Automaton, table: list[list[int]], check) -> list[tuple[int, int]]:
-    """Leftmost longest, non-overlapping matches of one rule that pass its check."""
-    accepts, start = automaton.accepts.tolist(), automaton.start
-    opening = np.flatnonzero(np.array(table[start]) != DEAD)
-    candidates = np.flatnonzero(np.isin(np.frombuffer(data, np.uint8), opening)).tolist()
-    spans, free, n = [], 0, len(data)
-    for at in candidates:
-        if at < free:
-            continue
-        state, i, end = start, at, -1
-        while i < n:
-            state = table[state][data[i]]
-            if state == DEAD:
-                break
-            i += 1
-            if accepts[state]:
-                end = i
-        if end > at:
-            free = end
-            if check is None or check(data[at:end]):
-                spans.append((at, end))
-    return spans
+        row.append(bits)
+    return rows[automaton.start]
+
+
+def as_lists(automaton: Automaton) -> tuple[Automaton, list[list[int]], list[int]]:
+    """What ``longest`` needs of a rule's own automaton."""
+    return automaton, automaton.table.tolist(), automaton.accepts.tolist()
+
+
+def match_starts(data: bytes, first: list) -> list[tuple[int, int]]:
+    """Positions from which rules match, with the rules' bits, ascending: the one pass over all bytes."""
+    found, row, at = [], first, len(data)
+    for byte in reversed(data):
+        row = row[byte]
+        at -= 1
+        if row[256]:
+            found.append((at, row[256]))
+    found.reverse()
+    return found
+
+
+def longest(data: bytes, at: int, automaton: Automaton, table: list[list[int]], accepts: list[int]) -> int:
+    """Where the longest match from ``at`` ends."""
+    state, end = automaton.start, at
+    for i in range(at, len(data)):
+        state = table[state][data[i]]
+        if state == DEAD:
+            break
+        if accepts[state]:
+            end = i + 1
+    return end
+
+
+def find_spans(data: bytes, rules: Sequence[Rule], first: list, tables: Sequence[tuple]) -> list[tuple[int, int, int]]:
+    """Leftmost longest matches, non-overlapping within a rule, that pass their checks: (start, rule, end) by start and rule."""
+    found, free = [], [0] * len(rules)
+    for at, bits in match_starts(data, first):
+        for i, rule in enumerate(rules):
+            if bits >> i & 1 and at >= free[i]:
+                end = free[i] = longest(data, at, *tables[i])
+                if rule.check is None or rule.check(data[at:end]):
+                    found.append((at, i, end))
+    return found
 
 
 def scan_secrets(
@@ -106,24 +124,15 @@ def scan_secrets(
     Texts are read whole; null keys and repeated rows stay; other columns are not read.
     """
     rules = list(rules)
-    whole = compile_rules([r.trigger for r in rules], search=True)
-    single = [compile_rules([r.pattern]) for r in rules]
+    starts, single = compile_rules([r.head for r in rules], starts=True), [compile_rules([r.pattern]) for r in rules]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, accepting = linked_rows(whole)
-        tables = [a.table.tolist() for a in single]
+        first, tables = linked_rows(starts), [as_lists(a) for a in single]
         for frame in frames:
             out = []
             for text_ in frame["_text"].tolist():
                 data = text_.encode("utf-8", "surrogatepass") if text_ else b""
-                row = first
-                for byte in data:
-                    row = row[byte]
-                found = []
-                if id(row) in accepting:
-                    for i, rule in enumerate(rules):
-                        found += [(a, i, b) for a, b in find_spans(data, single[i], tables[i], rule.check)]
-                    found.sort()
+                found = find_spans(data, rules, first, tables)
                 points = []
                 done, cp = 0, 0
                 for a, i, b in found:  # starts ascend, so text is decoded once
