@@ -102,6 +102,43 @@ def a4_read_archives(spark, sf):
     )
 
 
+@register(
+    "a4_archives_with_clouds",
+    f"""WITH {ROWS}, c AS (SELECT *, [(cand_idx % 8 + j) / 8::DOUBLE for j in range(0, cand_idx % 4)] AS near,
+      [(frame_id % 16 + j) / 16::DOUBLE for j in range(0, 1 + frame_id % 3)] AS whole FROM rows)
+    SELECT CAST(scene_id AS INTEGER) AS scene_id, CAST(frame_id AS INTEGER) AS frame_id, camera, pos AS cand_idx,
+      round(base_score::FLOAT::DOUBLE + 2.3e-8, 6) + 0.0 AS base_score, cand_idx % 4 AS points, coalesce(list_sum(near), 0) AS sum_x,
+      CASE WHEN cand_idx % 4 > 0 THEN near[-1] / 2 END AS last_y, 1 + frame_id % 3 AS object_points, list_sum(whole) AS object_x,
+      'sensor ' || frame_id % 5 AS sensor FROM c""",
+)
+def a4_archives_with_clouds(spark, sf):
+    """All ten members written and read: padded clouds with their mask, whole clouds, own scores, metadata."""
+    root = fresh(spark, "archives")
+
+    def cloud(size, x):
+        point = lambda j: F.struct(x(j).alias("x"), (x(j) / 2).alias("y"), F.lit(0.0).alias("z"))
+        return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda j: point(j - 1))).otherwise(F.slice(F.array(point(F.lit(0))), 1, 0))
+
+    rows = full_rows(spark, sf).withColumns(
+        {
+            "cloud": cloud((F.col("cand_idx") % 4).cast("int"), lambda j: (F.col("cand_idx") % 8 + j) / 8),
+            "object_cloud": cloud((1 + F.col("frame_id") % 3).cast("int"), lambda j: (F.col("frame_id") % 16 + j) / 16),
+            "meta_json": F.to_json(F.struct("camera", "scene_id", "frame_id", F.concat(F.lit("sensor "), F.col("frame_id") % 5).alias("sensor"))),
+            "matrix": F.col("base_score") + 1000,
+        }
+    )
+    D.write_archives(rows, root, matrix_score="matrix").agg(F.sum("num")).collect()
+    df = D.read_archives(spark, root, "realsense")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, p: a + p["x"])
+    return df.select(
+        "scene_id", "frame_id", "camera", "cand_idx", F.col("base_score").cast("double").alias("base_score"),
+        F.size("cloud").cast("long").alias("points"), total("cloud").alias("sum_x"),
+        F.try_element_at("cloud", F.lit(-1))["y"].cast("double").alias("last_y"),
+        F.size("object_cloud").cast("long").alias("object_points"), total("object_cloud").alias("object_x"),
+        F.get_json_object("meta_json", "$.sensor").alias("sensor"),
+    ).withColumn("base_score", r6("base_score")[0])
+
+
 @register(
     "a6_a7_manifest_records",
     f"""WITH {MANIFEST} SELECT 1 AS schema_version, format('scene_{{:04d}}', scene_id) AS scene_name, CAST(frame_id AS INTEGER) AS frame_id, camera, num,

@@ -76,6 +76,28 @@ def test_archives(spark, tmp_path_factory):
         D.read_archives(spark, str(tmp_path)).collect()
 
 
+def test_archives_written_with_clouds(spark, tmp_path):
+    point = "array<struct<x:double,y:double,z:double>>"
+    schema = f"scene_id int, frame_id int, camera string, cand_idx long, base_score double, own double, object_id int, cloud {point}, object_cloud {point}, meta_json string"
+    some = [(0.0, 0.0, 0.0), (1.0, 2.0, 3.0)]
+    rows = [(1, 2, "kinect", 0, 0.5, 9.0, 3, some, some, '{"camera": "kinect"}'), (1, 2, "kinect", 1, 0.25, 8.0, -1, None, some, None)]
+    rows.append((1, 3, "kinect", 0, 0.125, 7.0, 1, [], [], None))
+    df = spark.createDataFrame(rows, schema).withColumns(
+        {**{c: F.lit(0.5) for c in ("width", "height", "depth", "tx", "ty", "tz", "mu_min")}, "rotation": F.array_repeat(F.lit(0.0), 9),
+         "is_collision": F.lit(True), "is_empty": F.lit(False)}
+    )
+    assert D.write_archives(df, str(tmp_path / "a"), matrix_score="own").count() == 2
+    back = D.read_archives(spark, str(tmp_path / "a")).orderBy("frame_id", "cand_idx").collect()
+    assert [(r.base_score, r.object_id, [tuple(p) for p in r.cloud], [tuple(p) for p in r.object_cloud], r.meta_json) for r in back] == [
+        (0.5, 3, some, some, '{"camera": "kinect"}'), (0.25, -1, [], some, '{"camera": "kinect"}'), (0.125, 1, [], [], "{}"),
+    ]
+    members = D.archive_members(spark, str(tmp_path / "a")).collect()
+    assert sorted(len(r.members) for r in members) == [9, 10]
+    uneven = df.withColumn("object_cloud", F.slice("object_cloud", 1, F.col("cand_idx").cast("int")))
+    with pytest.raises(Exception, match="one size"):
+        D.write_archives(uneven, str(tmp_path / "b")).collect()
+
+
 def test_manifest_versions(spark, tmp_path):
     good, bad = tmp_path / "good.jsonl", tmp_path / "bad.jsonl"
     good.write_text('{"schema_version": 1, "num_grasps": 3, "mu_min_nonfinite_count": 1}\n\n{"schema_version": 1, "num_grasps": 4}\n')
