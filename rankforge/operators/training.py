@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rankforge import schemas as S
 from rankforge.functions.expressions import quality_target
-from rankforge.session import materialise
+from rankforge.session import intermediates, materialise
 
 BINARY = ("collision", "empty")
 # Sums of this many partitions go straight to the driver; more are added up by tasks first.
@@ -140,45 +140,8 @@ def _direction(gradient: np.ndarray, steps: list[np.ndarray], turns: list[np.nda
     return -q
 
 
-def fit_joint(
-    df: DataFrame,
-    features: str = "features",
-    mu: str = "mu_min",
-    tau: float = S.SUCCESS_TAU,
-    collision: str = "is_collision",
-    empty: str = "is_empty",
-    object_id: str = "object_id",
-    classes: int = S.OBJECT_CLASSES,
-    ridge: float = 1e-4,
-    max_passes: int = 200,
-    tol: float = 1e-6,
-) -> JointModel:
-    """Minimise the weighted sum of all head losses over every row.
-
-    ``features`` is an array column of one length; a missing or non-finite entry
-    is an error. Targets may be missing: such a row counts for the other heads
-    only, and ``object_id`` below 0 is no object. Each head's loss is the mean
-    over the rows that have its target. The ridge holds all weights but the
-    constant ones, on standardised features. An object class of ``classes`` or
-    more is an error. The steps are quasi-Newton, in coordinates in which every
-    head is curved about alike in all directions, until no slope there exceeds
-    ``tol``; not to get there within ``max_passes`` jobs is an error.
-    Without rows there is nothing to fit, which is an error too.
-    """
-    names = ["quality", *BINARY, "object_id"]
-    targets = [quality_target(mu, tau), F.col(collision), F.col(empty)]
-    kind = F.coalesce(F.col(object_id).cast("int"), F.lit(-1))
-    beyond = F.concat(F.lit("object class out of range: "), kind.cast("string"))
-    kind = F.when(kind >= classes, F.raise_error(beyond).cast("int")).otherwise(kind)
-    # A friction that is not known is no target, unlike one that no friction can hold.
-    targets[0] = F.when(F.col(mu).isNotNull(), targets[0])
-    data = materialise(
-        df.select(
-            F.col(features).cast("array<double>").alias("x"),
-            *[t.cast("double").alias(n) for t, n in zip(targets, names)],
-            kind.alias("object_id"),
-        )
-    )
+def _minimise(data: DataFrame, classes: int, ridge: float, max_passes: int, tol: float) -> JointModel:
+    """The model that fits ``data``: feature array ``x``, three numeric targets and the object class (-1: none)."""
     first = data.select(F.size("x").alias("n")).first()
     if first is None:
         raise ValueError("no rows to fit")
@@ -261,6 +224,47 @@ def fit_joint(
     return JointModel(mean, scale, placed(v), tuple(losses), passes)
 
 
+def fit_joint(
+    df: DataFrame,
+    features: str = "features",
+    mu: str = "mu_min",
+    tau: float = S.SUCCESS_TAU,
+    collision: str = "is_collision",
+    empty: str = "is_empty",
+    object_id: str = "object_id",
+    classes: int = S.OBJECT_CLASSES,
+    ridge: float = 1e-4,
+    max_passes: int = 200,
+    tol: float = 1e-6,
+) -> JointModel:
+    """Minimise the weighted sum of all head losses over every row.
+
+    ``features`` is an array column of one length; a missing or non-finite entry
+    is an error. Targets may be missing: such a row counts for the other heads
+    only, and ``object_id`` below 0 is no object. Each head's loss is the mean
+    over the rows that have its target. The ridge holds all weights but the
+    constant ones, on standardised features. An object class of ``classes`` or
+    more is an error. The steps are quasi-Newton, in coordinates in which every
+    head is curved about alike in all directions, until no slope there exceeds
+    ``tol``; not to get there within ``max_passes`` jobs is an error.
+    Without rows there is nothing to fit, which is an error too.
+    """
+    names = ["quality", *BINARY, "object_id"]
+    targets = [quality_target(mu, tau), F.col(collision), F.col(empty)]
+    kind = F.coalesce(F.col(object_id).cast("int"), F.lit(-1))
+    beyond = F.concat(F.lit("object class out of range: "), kind.cast("string"))
+    kind = F.when(kind >= classes, F.raise_error(beyond).cast("int")).otherwise(kind)
+    # A friction that is not known is no target, unlike one that no friction can hold.
+    targets[0] = F.when(F.col(mu).isNotNull(), targets[0])
+    rows = df.select(
+        F.col(features).cast("array<double>").alias("x"),
+        *[t.cast("double").alias(n) for t, n in zip(targets, names)],
+        kind.alias("object_id"),
+    )
+    with intermediates(df.sparkSession):
+        return _minimise(materialise(rows), classes, ridge, max_passes, tol)
+
+
 def score_joint(df: DataFrame, model: JointModel, features: str = "features") -> DataFrame:
     """Add ``predicted_quality``, ``collision_logit``, ``empty_logit`` and ``object_logits`` to every row."""
     width = len(model.mean)
