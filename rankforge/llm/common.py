@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +25,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: Sequence[tuple[str, str]]) -> DataFrame:
-    """A short list as a DataFrame that is part of the plan: no job and no Python on executors."""
-    structs = [
-        F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, schema)]) for row in rows
-    ]
-    if not structs:
-        empty = F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in schema])
-        return spark.range(0).select(F.inline(F.array(empty)))
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A list as a DataFrame that is part of the plan: no job and no Python on executors.
+
+    The whole list is one literal, so planning does not grow with the number of rows.
+    """
+    names = [name for name, _ in schema]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    kinds = ", ".join(f"{name}: {kind}" for name, kind in schema)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds}>>")))
 
 
 def map_texts(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:

@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankforge.llm.common import LOWER, UPPER, table
 from rankforge.llm.registry import register
-from rankforge.llm.urls import Rule, filter_urls, host_path_rule, regex_of
+from rankforge.llm.urls import Rule, filter_urls, host_path_rule, regex_of, word_rule
 
 # Fixed values of the contract.
 BASE = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-# Hosts of junk: link farms, pharmacies, gambling and trackers.
-JUNK = [
-    "spam-farm.", "link-farm.", "cheap-pills.", "pharma-deals.", "casino-win.", "free-bets.",
-    "poker-bonus.", "adult-chat.", "ads-track.", "click-ads.", "payday-loans.", "replica-watches.",
+# Words that name a trade of junk wherever they stand as a whole word, and words that do
+# so only in the name of a site; a path such as /adult-education/ is no junk.
+ANYWHERE = ["casino", "casinos", "viagra", "cialis", "porn"]
+IN_HOST = [
+    "casino", "casinos", "poker", "roulette", "jackpot", "bets", "betting", "pills", "viagra", "cialis", "payday", "replica", "replicas",
+    "adult", "porn", "xxx", "escorts", "spam", "ads", "adserver", "linkfarm",
 ]
-RULES = [host_path_rule(name, action) for name, action in BASE] + [Rule(name, f"||{name}*", "block") for name in JUNK]
+RULES = (
+    [host_path_rule(name, action) for name, action in BASE]
+    + [word_rule(w, "block", host_only=False) for w in ANYWHERE]
+    + [word_rule(w, "block") for w in IN_HOST]
+)
 
 
 def _cases(rules: list[Rule], column: str) -> str:

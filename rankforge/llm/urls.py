@@ -2,7 +2,8 @@
 
 A rule is a glob over ``host + path``: ``*`` stands for any text, ``||`` at the
 start anchors at the host or at one of its parent domains, ``|`` at the start at
-the begin of the host. From each rule the operator takes the literal tokens that
+the begin of the host, ``^`` stands for a separator or an edge. A rule may look at
+the host alone and regardless of case. From each rule the operator takes the literal tokens that
 every matching URL must hold as a whole, and files the rule under the one that
 is rarest in the corpus. URL tokens then fetch their rules with an equi-join and
 only those rules run their regular expression.
@@ -25,12 +26,17 @@ CATCH_ALL = ""
 
 @dataclass(frozen=True)
 class Rule:
-    """``tier`` decides first, then the longer ``name``; ``action`` is allow or block."""
+    """``tier`` decides first, then the longer ``name``; ``action`` is allow or block.
+
+    ``host_only`` rules begin inside the host; ``any_case`` rules match letters A-Z in either case.
+    """
 
     name: str
     glob: str
     action: str
     tier: int = 0
+    host_only: bool = False
+    any_case: bool = False
 
 
 def host_path_rule(name: str, action: str, tier: int = 1) -> Rule:
@@ -38,6 +44,11 @@ def host_path_rule(name: str, action: str, tier: int = 1) -> Rule:
     return Rule(name, f"||{name}*", action, tier)
 
 
+def word_rule(word: str, action: str, host_only: bool = True) -> Rule:
+    """A whole word between separators, of the host alone or of host and path."""
+    return Rule(f"{'host' if host_only else 'url'}:{word}", f"^{word}^", action, 0, host_only, True)
+
+
 def _parts(glob: str) -> tuple[str, str]:
     for anchor in ("||", "|"):
         if glob.startswith(anchor):
@@ -49,8 +60,12 @@ def regex_of(rule: Rule) -> str:
     """The rule as a regular expression that Java and RE2 read alike."""
     anchor, body = _parts(rule.glob)
     start = {"||": "^(?:[^/]*\\.)?", "|": "^", "": ""}[anchor]
-    body = ".*".join(re.sub(r"([^A-Za-z0-9/_-])", r"\\\1", piece) for piece in body.split("*"))
-    return f"(?s){start}{body}"
+    if rule.host_only and not anchor:
+        # A separator at the start is the begin of the host or a character inside it.
+        start, body = ("^(?:[^/]*[^A-Za-z0-9/])?", body[1:]) if body.startswith("^") else ("^[^/]*", body)
+    signs = {"*": ".*", "^": "(?:^|[^A-Za-z0-9]|$)"}
+    body = "".join(signs.get(c) or (c if re.match("[A-Za-z0-9/_-]", c) else "\\" + c) for c in body)
+    return f"({'?is' if rule.any_case else '?s'}){start}{body}"
 
 
 def literal_tokens(rule: Rule) -> list[str]:
@@ -79,19 +94,21 @@ def _tokens(target: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(target, UPPER, LOWER), F.lit(f"({TOKEN})")))
 
 
-def index_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def index_rules(urls: DataFrame, rules: Sequence[Rule], small: bool = True) -> DataFrame:
     """Rules with the token they are filed under: of their literal tokens the one on the fewest URLs.
 
     ``urls`` has a column ``_tokens``. Only tokens that occur in rules are
     counted, and counts are combined before the shuffle. Rules without a
-    literal token are filed under the catch-all token.
+    literal token are filed under the catch-all token. ``small`` says that the
+    rules may be broadcast.
     """
     spark = urls.sparkSession
     places = [(i, t) for i, r in enumerate(rules) for t in literal_tokens(r)]
     owned = literal_table(spark, places, [("_rule", "int"), ("_token", "string")])
+    wanted = owned.select("_token").distinct()
     counts = (
         urls.select(F.explode("_tokens").alias("_token"))
-        .join(F.broadcast(owned.select("_token").distinct()), "_token", "left_semi")
+        .join(F.broadcast(wanted) if small else wanted, "_token", "left_semi")
         .groupBy("_token")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -115,7 +132,7 @@ def filter_urls(
     key: str = "page_id",
     url: str = "url",
     default: str = "allow",
-    rule_limit: int = 100_000,
+    rule_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Judge every URL: one row per input row.
 
@@ -127,8 +144,8 @@ def filter_urls(
     Null or malformed URLs have empty host and path, match only rules without a
     literal token, and null URLs match none. Null keys and repeated rows are
     kept as they are. URLs of any length are judged whole. Other columns are not read.
-    The rule list is the caller's and short: above ``rule_limit`` it is refused
-    a broadcast and joins by shuffle.
+    The rule list is the caller's and held by the driver: only up to ``rule_bytes``
+    it is broadcast, beyond it joins by shuffle.
     """
     rows = pick(pages, key, url).toDF("_key", "_url")
     rows = rows.select("_key", "_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"))
@@ -138,8 +155,9 @@ def filter_urls(
     )
     target = F.concat("_host", "_path")
     listed = seen.select("_url", target.alias("_target"), _tokens(target).alias("_tokens"))
-    index = index_rules(listed, rules)
-    if len(rules) <= rule_limit:
+    small = sum(len(r.name) + 2 * len(r.glob) + 100 for r in rules) <= rule_bytes
+    index = index_rules(listed, rules, small)
+    if small:
         index = F.broadcast(index)
     general = any(not literal_tokens(r) for r in rules)
     words = F.array_append("_tokens", F.lit(CATCH_ALL)) if general else F.col("_tokens")

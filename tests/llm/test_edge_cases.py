@@ -126,3 +126,21 @@ def test_conversations_of_awkward_rows(spark):
     assert found[4]["n_common"] == 0 and found[4]["chosen"].count("q<") == 2
     assert found[5]["prompt"] == found[5]["chosen"] == ""
     assert format_preferences(chosen.limit(0), rejected.limit(0)).collect() == []
+
+
+def test_junk_words_of_sites_outside_of_the_tables(spark):
+    from rankforge.llm.q_urls import RULES
+
+    junk = ["http://my-casino.org/a", "https://casino-win2.io", "http://www.Adult-fun.example.net/x", "http://free.bets.test/p/1", "http://news.test/2024/best-CASINO-offers"]
+    clean = ["http://school.test/adult-education/", "http://casinotown.test/", "http://alphabets.test/ads.txt", "http://spammer.test/pills", "http://x.test/?q=casino", None, "poker"]
+    pages = spark.createDataFrame(list(enumerate(junk + clean)), "page_id long, url string")
+    verdicts = {r["page_id"]: r["verdict"] for r in filter_urls(pages, RULES).collect()}
+    assert [verdicts[i] for i in range(len(junk + clean))] == ["block"] * len(junk) + ["allow"] * len(clean)
+
+
+def test_long_rule_lists_plan_quickly_and_join_by_shuffle(spark):
+    rules = [Rule(f"r{i}", f"||bad{i}.test^", "block") for i in range(3000)]
+    pages = spark.createDataFrame([(i, f"http://www.bad{i}.test/{i}") for i in range(2990, 3010)], "page_id long, url string")
+    for rule_bytes in (16 << 20, 0):
+        found = {r["page_id"]: r["method_rule"] for r in filter_urls(pages, rules, rule_bytes=rule_bytes).collect()}
+        assert found == {i: f"r{i}" if i < 3000 else None for i in range(2990, 3010)}
