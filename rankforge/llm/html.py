@@ -36,16 +36,26 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("html body div section article main ul ol dl table tbody thead tfoot nav aside header footer form blockquote td th".split())
-KEEP = frozenset("html body article main".split())
-# Words of class, id and role that name parts other than the article, and words that
-# make of such a name a property of the layout around them.
-OTHER_PARTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menus "
-    "breadcrumb breadcrumbs header masthead topbar footer foot bottom sidebar aside side rail widget widgets comment comments commentlist "
-    "discussion disqus respond reply replies notice notices alert cookie cookies consent gdpr privacy popup modal overlay newsletter "
-    "subscribe subscription signup login register form search social share sharing related recommended recommendations more pagination "
-    "pager toolbar disclaimer legal copyright contentinfo complementary".split()
+KEEP = frozenset("html body main".split())
+# Words of class, id and role that name parts other than the article, the plainest of
+# them apart; words that only say how a part is laid out or whose it is; and words that
+# make of such a name a property of the layout around.
+CERTAIN = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsored nav navbar navigation menu menus breadcrumb breadcrumbs footer "
+    "sidebar widget widgets comment comments commentlist disqus cookie cookies consent gdpr popup modal newsletter pagination pager teaser teasers".split()
 )
+OTHER_PARTS = CERTAIN | frozenset(
+    "banner sponsor promo promotion header masthead topbar foot bottom aside side rail discussion respond reply replies notice notices alert "
+    "privacy overlay subscribe subscription signup login register form search social share sharing related recommended recommendations more "
+    "toolbar disclaimer legal copyright contentinfo complementary".split()
+)
+NEUTRAL = frozenset(
+    "area bar block body box btn button buttons center col column container entries entry global group holder icons inner item items js left "
+    "link links list main outer page pages panel post posts primary reader readers right row secondary section site slot story sub the toggle "
+    "top unit user users wrap wrapper article articles".split()
+)
+HEADINGS = frozenset("header masthead".split())
+OWNERS = frozenset("article entry post story".split())
 LAYOUT = frozenset("has no non not with without".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
@@ -72,7 +82,8 @@ class _Element:
                 if name == "class":
                     label = f"{tag}.{'.'.join(value.split())}"
                 if tag not in KEEP and not tag.startswith("h"):
-                    self.named |= any(_names_other_part(token) for token in value.split())
+                    inside = _within(parent, "article", "main")
+                    self.named |= any(_names_other_part(token, name, inside) for token in value.split())
         self.label = label
         out |= self.named and kept is not None and number not in kept
         self.out = out or (parent is not None and parent.out)
@@ -80,9 +91,20 @@ class _Element:
         self.path = above if self.inline else f"{above}/{label}"
 
 
-def _names_other_part(token: str) -> bool:
-    words = {w.lower() for w in WORDS.findall(token)}
-    return not OTHER_PARTS.isdisjoint(words) and LAYOUT.isdisjoint(words)
+def _names_other_part(token: str, attribute: str, inside: bool) -> bool:
+    """Whether a name as a whole means a part other than the article.
+
+    Every word but layout and owner must say so ("footer-links"); a class may hold one
+    word of another kind beside a certain one ("comment-text"). So a heading's slug
+    ("social-and-legal-history") or "read-more-content" names no other part, and the
+    header of an article is the article's.
+    """
+    words = {w for w in (w.lower() for w in WORDS.findall(token)) if not w.isdigit()}
+    other = words & OTHER_PARTS
+    if not other or words & LAYOUT or (other <= HEADINGS and (inside or words & OWNERS)):
+        return False
+    foreign = len(words - OTHER_PARTS - NEUTRAL)
+    return not foreign or (foreign == 1 and attribute == "class" and bool(other & CERTAIN))
 
 
 def _within(element: _Element | None, *tags: str) -> bool:

@@ -171,3 +171,28 @@ def test_names_leave_out_other_parts():
     replies = "".join(f"<article class='reply'><p>{p}</p></article>" for p in PROSE[1:])
     assert main_text(f"{MENU}{article}<div class='comments'>{replies}</div>") == PROSE[0]
     assert main_text(MENU) == ""
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<section id='social-and-legal-history'><p>{PROSE[1]}</p></section>",
+        f"<div class='read-more-content'><p>{PROSE[1]}</p></div>",
+        f"<div class='article-header'><p>{PROSE[1]}</p></div>",
+        f"<div class='header'><p>{PROSE[1]}</p></div>",
+        f"<section id='comment-on-the-law'><p>{PROSE[1]}</p></section>",
+    ],
+)
+def test_parts_of_the_article_whose_names_hold_a_word_of_other_parts(part):
+    page = f"<html><body>{MENU}<article><p>{PROSE[0]}</p>{part}<p>{PROSE[2]}</p></article>{COMMENTS}</body></html>"
+    assert main_text(page) == " ".join(PROSE[:3])
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["comment-text", "reader-comments", "footer-links", "site-nav", "sidebar-left", "ad-slot-2", "cookie-notice", "social-share", "related-posts", "teaser"],
+)
+def test_parts_named_as_others_stay_out(name):
+    for tag in ("div", "article"):
+        other = "".join(f"<{tag} class='{name}'><p>{p}</p></{tag}>" for p in PROSE[2:])
+        assert main_text(f"<body>{MENU}<article><p>{PROSE[0]}</p><p>{PROSE[1]}</p></article>{other}</body>") == " ".join(PROSE[:2])
