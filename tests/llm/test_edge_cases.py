@@ -51,7 +51,7 @@ def test_empty_table(spark, name):
     assert OPERATORS[name](spark, nothing(spark)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["repetition", "secrets", "mixing"])
+@pytest.mark.parametrize("name", OPERATORS)
 def test_names_that_differ_in_case_only(spark, name):
     plain, more = (OPERATORS[name](spark, d) for d in (documents(spark), clashing(documents(spark))))
     assert by_row(plain) == by_row(more)
@@ -80,6 +80,8 @@ def test_leaks_of_awkward_rows(spark):
     found = by_row(find_leaks(documents(spark), items(spark)).select("doc_id", "item_id", "n_matched", "n_window"))
     assert found == [(1, 1, 10, 10), (2, 1, 10, 10)]
     assert find_leaks(nothing(spark), items(spark)).collect() == []
+    more = find_leaks(clashing(documents(spark)), clashing(items(spark))).select("doc_id", "item_id", "n_matched", "n_window")
+    assert by_row(more) == found
     assert find_leaks(documents(spark), items(spark).limit(0)).collect() == []
 
 
