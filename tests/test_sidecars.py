@@ -86,3 +86,31 @@ def test_empty_trees(spark, pooled, tmp_path):
     assert read_sidecars(spark, str(tmp_path / "nothing")).collect() == []
     write_sidecars(pooled.limit(0), str(tmp_path / "none"))
     assert read_sidecars(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_sessions_without_filter_pushdown(spark, pooled, tmp_path):
+    """Spark's default is not to push filters into Python sources; the rows are the same."""
+    root, key = str(tmp_path / "tree"), "spark.sql.python.filterPushdown.enabled"
+    write_sidecars(pooled, root)
+    spark.conf.set(key, "false")
+    try:
+        for condition in ("scene_id = 100", "scene_id >= 101 and frame_id < 2", "true"):
+            assert plain(read_sidecars(spark, root).where(condition)) == plain(pooled.where(condition))
+        assert read_sidecars(spark, str(tmp_path / "nothing")).collect() == []
+    finally:
+        spark.conf.set(key, "true")
+
+
+def test_query_without_filter_pushdown(spark):
+    """The registered query against its SQL on tables that have scenes from 120 on."""
+    from suite.registry import ORACLES, QUERIES
+    import suite.labelling  # noqa: F401
+    from tests.oracle import compare, connect
+
+    sf, key = "/root/testdata/sf0.01", "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(key, "false")
+    try:
+        ok, message = compare(QUERIES["a10_sidecar_tree"](spark, sf), connect(sf), ORACLES["a10_sidecar_tree"])
+    finally:
+        spark.conf.set(key, "true")
+    assert ok, message
