@@ -98,12 +98,17 @@ def embed_objects(
     cloud: str = "object_cloud",
     keys: Sequence[str] = ("scene_id", "frame_id", "cluster_id"),
     done: DataFrame | None = None,
+    precision: str = "float",
 ) -> DataFrame:
     """Pooled object vectors, one per distinct cluster: means then maxima of point features.
 
     The encoder maps point arrays to feature matrices of ``dim`` columns and must
     be deterministic; an empty cloud gives zeros. Clusters in ``done`` are skipped.
+    Points reach the encoder, and features are pooled, in ``precision``: ``float`` or ``double``.
     """
+    if precision not in ("float", "double"):
+        raise ValueError("precision must be 'float' or 'double'")
+    kind = np.float32 if precision == "float" else np.float64
     keys = list(keys)
     todo = clouds.select(*keys, cloud).dropDuplicates(keys)
     if done is not None:
@@ -112,18 +117,18 @@ def embed_objects(
     def pooled(cols: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encode = make_encoder()
         for xs, ys, zs in cols:
-            out = [np.zeros(2 * dim, dtype=np.float32)] * len(xs)
+            out = [np.zeros(2 * dim, dtype=kind)] * len(xs)
             full = [i for i in range(len(xs)) if len(xs.iloc[i])]
             for start in range(0, len(full), batch):
                 part = full[start : start + batch]
                 points = [
-                    np.stack([xs.iloc[i], ys.iloc[i], zs.iloc[i]], axis=1).astype(np.float32) for i in part
+                    np.stack([xs.iloc[i], ys.iloc[i], zs.iloc[i]], axis=1).astype(kind) for i in part
                 ]
                 for i, f in zip(part, encode(points)):
-                    out[i] = np.concatenate([f.mean(axis=0), f.max(axis=0)]).astype(np.float32)
+                    out[i] = np.concatenate([f.mean(axis=0), f.max(axis=0)]).astype(kind)
             yield pd.Series(out)
 
-    udf = F.pandas_udf(pooled, T.ArrayType(T.FloatType()))
+    udf = F.pandas_udf(pooled, f"array<{precision}>")
     axes = [F.col(f"{cloud}.{c}") for c in "xyz"]
     return todo.select(*keys, udf(*axes).alias("pooled"))
 

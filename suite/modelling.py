@@ -308,7 +308,7 @@ def point_encoder():
 def k3_embed_objects(spark, sf):
     """Real points of the event blocks, pooled per block."""
     clouds = B.strip_padding(B.cloud_mask(block_clouds(spark, sf), "cloud")).withColumnRenamed("cloud", "object_cloud")
-    out = K.embed_objects(clouds, point_encoder, 3, keys=["block"])
+    out = K.embed_objects(clouds, point_encoder, 3, keys=["block"], precision="double")
     return out.select("block", F.posexplode("pooled").alias("slot", "p")).select(
         "block", "slot", F.round(F.col("p").cast("double") * 1000 + 0.0123).cast("int").alias("milli")
     )

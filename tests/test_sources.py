@@ -175,6 +175,36 @@ def test_callbacks(spark):
     assert as_set(out) == [(2, [0.0] * 4), (3, [2.0, 1.0, 3.0, 2.0])]
 
 
+def test_pooled_in_double(spark):
+    """A mean of double points keeps digits that single precision has not."""
+    clouds = spark.createDataFrame([(1, [(0.1, 0.0, 0.0), (0.4 + 1e-9, 0.0, 0.0)])], "cluster_id int, object_cloud array<struct<x: double, y: double, z: double>>")
+    encoder = lambda: (lambda cs: [c[:, :1] for c in cs])
+    assert as_set(K.embed_objects(clouds, encoder, 1, keys=["cluster_id"], precision="double"))[0][1] == pytest.approx([0.25 + 5e-10, 0.4 + 1e-9], abs=1e-15)
+    with pytest.raises(ValueError, match="precision"):
+        K.embed_objects(clouds, encoder, 1, keys=["cluster_id"], precision="half")
+
+
+def test_k3_near_the_rounding_edge(spark, tmp_path):
+    """Blocks whose mean of 64 values lies within single precision of the edge at which the query rounds."""
+    import duckdb
+    import __spark_entry__ as entry
+    from tests.oracle import compare
+
+    # 64 values of mean 350.48765625, 0.00004375 below the edge 350.4877; many orders of them.
+    rng = np.random.default_rng(3)
+    rows = []
+    for block in range(200):
+        cents = rng.integers(10_000, 60_000, 63)
+        cents = np.append(cents, 2_243_121 - cents.sum())
+        rows += [(64 * block + i, block, "view", int(c) / 100) for i, c in enumerate(cents)]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    ok, message = compare(entry.queries()["k3_embed_objects"](spark, str(tmp_path)), con, entry.oracle_sql()["k3_embed_objects"])
+    assert ok, message
+
+
 def test_trained_models(spark):
     rng = np.random.default_rng(4)
     rows = [(i, float(a), float(b), float(abs(0.5 + a)), bool(b > 0), bool(a > 0), int(i % 3) - 1)
