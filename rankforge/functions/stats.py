@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankforge import schemas as S
 from rankforge.functions.expressions import bce_with_logits, col, is_finite, smooth_l1
-from rankforge.plans.groups import GROUP_LIMIT, exact_quantiles, groups_bounded
+from rankforge.plans.groups import GROUP_LIMIT, beyond_first, exact_quantiles, groups_bounded
 
 QUANTILES = {"p05": 0.05, "p50": 0.50, "p95": 0.95}
 
@@ -129,7 +129,7 @@ def merge_stats(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def latency_summary(
     batches: DataFrame,
     ms: str,
-    ordinal: str,
+    ordinal: str | Sequence[str],
     frames: str | None = None,
     by: Sequence[str] = (),
     warmup: int = 5,
@@ -137,9 +137,13 @@ def latency_summary(
 ) -> DataFrame:
     """Latency statistics after dropping the first ``warmup`` batches of a run.
 
-    With ``frames`` (batch size) a second row family reports time per frame.
+    ``ordinal`` names the number of a batch in its run, or the columns by which batches
+    follow each other; then only the first ones are ranked. With ``frames`` (batch size) a second row family reports time per frame.
     """
-    kept = batches.where(F.col(ordinal) >= warmup)
+    if isinstance(ordinal, str):
+        kept = batches.where(F.col(ordinal) >= warmup)
+    else:
+        kept = beyond_first(batches, by, ordinal, warmup)
     families = [F.struct(F.lit("batch").alias("unit"), F.col(ms).cast("double").alias("ms"))]
     if frames:
         families.append(

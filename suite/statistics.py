@@ -321,14 +321,13 @@ def f5_candidate_scores(spark, sf):
 def f10_latency_summary(spark, sf):
     """Line numbers as runs, line items as batches in shipping order."""
     order = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    ranked = E.rank_within(M.table(spark, sf, "lineitem").drop("l_returnflag", "l_linestatus"), ["l_linenumber"], [F.asc(c) for c in order], "_n")
-    batches = ranked.select(
+    batches = M.table(spark, sf, "lineitem").select(
+        *order,
         F.col("l_linenumber").alias("run"),
         (F.col("l_extendedprice") / 1000).alias("ms"),
         F.col("l_quantity").alias("frames"),
-        (F.col("_n") - 1).alias("ord"),
     )
-    return Z.latency_summary(batches, "ms", "ord", "frames", ["run"])
+    return Z.latency_summary(batches, "ms", order, "frames", ["run"])
 
 
 @register(
