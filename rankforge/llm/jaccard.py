@@ -30,7 +30,8 @@ from rankforge.llm.components import components
 from rankforge.session import materialise
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_CACHE_WORDS = 500_000
+# Words whose hashes a worker keeps, about 20 MB; hashing a word again costs little.
+_CACHE_WORDS = 100_000
 HITS = 3
 BROADCAST_ROWS = 1_000_000
 

@@ -196,3 +196,15 @@ def test_parts_named_as_others_stay_out(name):
     for tag in ("div", "article"):
         other = "".join(f"<{tag} class='{name}'><p>{p}</p></{tag}>" for p in PROSE[2:])
         assert main_text(f"<body>{MENU}<article><p>{PROSE[0]}</p><p>{PROSE[1]}</p></article>{other}</body>") == " ".join(PROSE[:2])
+
+
+def test_shingles_keep_few_words():
+    """Many different words do not stay in a worker's memory, and what is forgotten is hashed the same."""
+    from rankforge.llm.jaccard import Shingles
+
+    shingles, text = Shingles(3), "one two three four one two three"
+    before = shingles.of(text)
+    for i in range(300):
+        shingles.of(" ".join(f"w{i}x{j}" for j in range(1000)))
+    assert len(shingles.known) <= 102_000
+    assert (shingles.of(text) == before).all() and len(before) == 4
