@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankforge import schemas as S
 from rankforge.sources import dumps as D
+from rankforge.streaming import jobs as J
 from tests.conftest import as_set
 
 
@@ -59,3 +60,9 @@ def test_files_come_in_batches():
     table = found[0].to_pydict()
     assert table["path"][:4] == ["p1", "p2", "p2", "p3"] and table["cand_idx"][:4] == [0, 0, 1, 0]
     assert table["base_score"] == table["scene_id"] and table["rotation"][3] == [3.0] * 9
+
+
+def test_a_stream_lists_by_few_tasks(spark):
+    own, name = J._listing_session(spark), "spark.sql.shuffle.partitions"
+    assert int(own.conf.get(J.LISTING)) < 100 and own.conf.get(name) == spark.conf.get(name)
+    assert spark.conf.get(J.LISTING, None) is None
