@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+import sys
+import types
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +38,32 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: Sequence[t
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds}>>")))
 
 
+# What tasks leave in their worker process for the next tasks of their kind.
+_KEPT = "rankforge_worker_kept"
+
+
+def worker_kept() -> dict:
+    """Large objects that outlive a task; they stay until the worker runs ``map_texts`` for other work."""
+    return sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)).__dict__
+
+
+def _alone(run: Callable) -> Callable:
+    """``run`` in a worker that first lets go of what tasks of another kind have kept."""
+
+    def only(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.modules.pop(_KEPT, None)
+        yield from run(frames)
+
+    return only
+
+
 def map_texts(rows: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
     """``rows`` (columns ``_key`` and others) through an Arrow function that returns ``_key`` and ``schema``.
 
     Keys travel as text, so that null and very large integers come back as they were.
     """
     kind = rows.schema["_key"].dataType
-    done = rows.withColumn("_key", F.col("_key").cast("string")).mapInPandas(run, f"_key string, {schema}")
+    done = rows.withColumn("_key", F.col("_key").cast("string")).mapInPandas(_alone(run), f"_key string, {schema}")
     return done.select(F.col("_key").cast(kind).alias(key), *[F.col(f"`{c}`") for c in done.columns[1:]])
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -14,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import pick
+from rankforge.llm.common import pick, worker_kept
 from rankforge.llm.dac import read_block, write_block
 from rankforge.plans.groups import scan_within
 from rankforge.session import materialise, shared_dir
@@ -137,7 +135,7 @@ class Encoder:
 
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this worker process, which outlives its tasks and keeps the pieces it has learnt."""
-    kept = sys.modules.setdefault("rankforge_worker_encoders", types.ModuleType("rankforge_worker_encoders")).__dict__
+    kept = worker_kept()
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]

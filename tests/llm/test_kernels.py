@@ -12,12 +12,13 @@ import pytest
 
 from rankforge.llm.automaton import compile_rules
 from rankforge.llm.classifier import isotonic
+from rankforge.llm.common import _alone, worker_kept
 from rankforge.llm.dac import Block, read_block, write_block
 from rankforge.llm.html import main_text
 from rankforge.llm.q_tokens import tokenizer_path
 from rankforge.llm.repetition import longest_repeats, union_length
 from rankforge.llm.secrets import BASE_RULES, MORE_RULES, as_lists, find_spans, linked_rows
-from rankforge.llm.tokens import Encoder
+from rankforge.llm.tokens import Encoder, worker_encoder
 
 
 def test_longest_repeats_and_their_union():
@@ -208,3 +209,10 @@ def test_shingles_keep_few_words():
         shingles.of(" ".join(f"w{i}x{j}" for j in range(1000)))
     assert len(shingles.known) <= 102_000
     assert (shingles.of(text) == before).all() and len(before) == 4
+
+
+def test_other_work_lets_go_of_the_encoder():
+    worker_encoder(tokenizer_path())
+    assert tokenizer_path() in worker_kept()
+    assert list(_alone(lambda frames: (f + 1 for f in frames))(iter([1, 2]))) == [2, 3]
+    assert tokenizer_path() not in worker_kept()
