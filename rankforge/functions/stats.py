@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,6 +186,48 @@ def progress_report(log: DataFrame, by: Sequence[str], done: Column, elapsed: st
     )
 
 
+def _object_terms():
+    """Cross entropy of a row's logits with its class (null: none) and whether the first largest is that class."""
+
+    def of_row(row: list | None, at: int | None) -> tuple[float | None, float | None]:
+        real = [x for x in row or () if x is not None]
+        if at is None or not real:
+            return None, None
+        if at >= len(row):
+            raise ValueError(f"object class {at} of {len(row)} logits")
+        # As in Spark's order, NaN is the largest number and equal to itself.
+        top = max(real, key=lambda x: (x != x, x))
+        first = next(i for i, x in enumerate(row) if x is not None and (x == top or (x != x and top != top)))
+        if len(real) < len(row):
+            return None, float(first == at)
+        v = np.asarray(row, dtype=np.float64)
+        with np.errstate(all="ignore"):
+            return float(top + np.log(np.exp(v - top).sum()) - v[at]), float(first == at)
+
+    @F.arrow_udf("struct<nll double, hit double>")
+    def terms(logits: pa.Array, object_id: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(logits), 0).to_numpy()
+        flat = logits.flatten()
+        numbers = flat.to_numpy(zero_copy_only=False)
+        width = int(sizes[0]) if len(sizes) else 0
+        at = pc.fill_null(object_id, -1).to_numpy()
+        known = at >= 0
+        if width and (sizes == width).all() and not flat.null_count and np.isfinite(numbers).all() and (at < width).all():
+            v = numbers.reshape(-1, width)[known]
+            rows, own = np.arange(len(v)), at[known]
+            top = v.max(axis=1)
+            nll, hit = np.zeros(len(at)), np.zeros(len(at))
+            nll[known] = top + np.log(np.exp(v - top[:, None]).sum(axis=1)) - v[rows, own]
+            hit[known] = v.argmax(axis=1) == own
+            columns = [pa.array(nll, mask=~known), pa.array(hit, mask=~known)]
+        else:
+            found = [of_row(*x) for x in zip(logits.to_pylist(), object_id.to_pylist())]
+            columns = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
+        return pa.StructArray.from_arrays(columns, ["nll", "hit"])
+
+    return terms
+
+
 def multitask_loss(
     df: DataFrame,
     *,
@@ -203,15 +248,10 @@ def multitask_loss(
     """
     labelled = F.col(object_id) >= 0 if object_logits else F.lit(False)
     if object_logits:
-        logits = F.col(object_logits)
-        top = F.array_max(logits)
-        log_sum = top + F.log(
-            F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top))
-        )
-        nll = log_sum - F.element_at(logits, F.col(object_id) + 1)
-        hit = (F.array_position(logits, top) - 1 == F.col(object_id)).cast("double")
-        loss_obj = F.avg(F.when(labelled, nll))
-        accuracy = F.avg(F.when(labelled, hit))
+        compared = _object_terms()(F.col(object_logits).cast("array<double>"), F.when(labelled, F.col(object_id).cast("int")))
+        df = df.withColumn("_object", compared)
+        loss_obj = F.avg("_object.nll")
+        accuracy = F.avg("_object.hit")
     else:
         loss_obj = F.lit(None).cast("double")
         accuracy = F.lit(None).cast("double")

@@ -386,9 +386,8 @@ def f12_multitask_loss(spark, sf):
            round(loss_score + 0.1 * loss_coll + 0.05 * loss_empty + 0.05 * loss_obj + 2.3e-8, 6) + 0.0 AS loss FROM m""",
 )
 def f12_full_logits(spark, sf):
-    logits = F.array(
-        *[F.col("l_tax") * 10 * i - F.col("l_discount") * ((i - 3) * (i - 3)) for i in range(88)]
-    )
+    # As a list of 88 expressions they make a method that the JVM never compiles.
+    logits = F.transform(F.sequence(F.lit(0), F.lit(87)), lambda i: F.col("l_tax") * 10 * i - F.col("l_discount") * ((i - 3) * (i - 3)))
     df = M.predictions(spark, sf).withColumns({"object_logits": logits, "object_id": F.col("l_linenumber") - 2})
     out = Z.multitask_loss(df, by=["l_returnflag"])
     return out.select(
