@@ -29,9 +29,9 @@ def fresh(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def full_rows(spark, sf):
+def full_rows(spark, sf, *more):
     """Candidates with every field of a dump row; indices restart in each frame."""
-    df = M.candidates(spark, sf)
+    df = M.candidates(spark, sf, *more)
     width = (F.col("cand_idx") % 100) / 1000
     return df.withColumns(
         {
@@ -351,10 +351,10 @@ def described(spark, sf):
     The events of a block form the cloud that its candidates stand in. No feature
     comes from friction, collision, emptiness or object class.
     """
-    hour = M.table(spark, sf, "events").select(F.col("event_id").alias("cand_idx"), (F.hour("ts") / 1000).alias("tz"))
-    rows = full_rows(spark, sf).drop("tz").join(hour, "cand_idx").withColumns(
-        {"block": F.floor(F.col("cand_idx") / 64), "tx": F.col("base_score") / 1000, "ty": F.col("base_score") / 500}
-    )
+    hour = (F.hour("ts") / 1000).alias("hour")
+    rows = full_rows(spark, sf, hour).withColumns(
+        {"block": F.floor(F.col("cand_idx") / 64), "tx": F.col("base_score") / 1000, "ty": F.col("base_score") / 500, "tz": F.col("hour")}
+    ).drop("hour")
     rows = B.pose_features(rows.drop("model_score"))
     clouds = B.strip_padding(B.cloud_mask(block_clouds(spark, sf), "cloud"))
     points = clouds.select("block", F.posexplode("cloud").alias("point_idx", "p")).select("block", "point_idx", "p.*")
