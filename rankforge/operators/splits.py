@@ -6,15 +6,18 @@ their batch by a join or by arithmetic, never by a pass over all candidates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankforge.functions.expressions import hash_order
-from rankforge.plans.groups import GROUP_LIMIT, groups_bounded, rank_within, require_none, scan_within
+from rankforge.plans.groups import GROUP_LIMIT, groups_bounded, rank_within, ranged, require_none, scan_within
 from rankforge.session import materialise
 
 
@@ -296,24 +299,97 @@ def contiguous_runs(
 ) -> DataFrame:
     """Maximal runs of consecutive ids: run start, length and first position.
 
-    With ``order`` the ids are read in that order, otherwise sorted and unique.
+    With ``order`` the ids are read in that order, otherwise sorted and unique. Rows are
+    sorted by ranges of (keys, order) and shuffled once; each batch of them gives its own runs.
+    Only the groups at the edges of batches, two a batch, are compared with each other.
     """
-    keys = list(keys)
-    by = order or idx
-    bounded = groups_bounded(df, keys, limit)
-    placed = rank_within(df.select(*{*keys, idx, by}), keys, [F.asc(by)], "_p", limit, bounded)
-    if order is None:
-        return placed.groupBy(*keys, (F.col(idx) - F.col("_p")).alias("_island")).agg(
-            F.min(idx).alias("start"), F.count(F.lit(1)).alias("length"), (F.min("_p") - 1).alias("position")
-        ).drop("_island")
-    prev = placed.select(*keys, (F.col("_p") + 1).alias("_p"), F.col(idx).alias("_before"))
-    flagged = placed.join(prev, [*keys, "_p"], "left").withColumn(
-        "_opens", F.when(F.col(idx) == F.col("_before") + 1, 0).otherwise(1)
+    keys, by = list(keys), order or idx
+    rows = df.select(*dict.fromkeys([*keys, by, idx]))
+    placed = ranged(rows, keys, [F.asc(by)], limit).sortWithinPartitions(*keys, F.asc(by))
+    schema = T.StructType(
+        [
+            *[rows.schema[k] for k in keys],
+            T.StructField("start", rows.schema[idx].dataType),
+            *T.StructType.fromDDL("length long, position long, _run long, _edge boolean, _block long").fields,
+        ]
     )
-    runs = scan_within(flagged, keys, [F.asc("_p")], {"_run": ("sum", F.col("_opens"))}, limit, bounded)
-    return runs.groupBy(*keys, "_run").agg(
-        F.min_by(idx, "_p").alias("start"), F.count(F.lit(1)).alias("length"), (F.min("_p") - 1).alias("position")
-    ).drop("_run")
+    pieces = materialise(placed.select(*keys, F.col(idx).alias("_idx"), F.spark_partition_id().alias("_part")).mapInArrow(_batch_runs(keys), schema))
+    out = [*keys, "start", "length", "position"]
+    edges = pieces.where("_edge")
+    blocks = edges.groupBy(*keys, "_block").agg(
+        F.sum("length").alias("_rows"),
+        F.max("_run").alias("_runs"),
+        F.min_by("start", "_run").alias("_first"),
+        F.min_by("length", "_run").alias("_head"),
+        F.max_by(F.col("start") + F.col("length") - 1, "_run").alias("_last"),
+    )
+    ordered = Window.partitionBy(*keys).orderBy("_block")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns(
+        {
+            "_base": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
+            "_goes_on": F.coalesce(F.col("_first") == F.lag("_last").over(ordered) + 1, F.lit(False)),
+        }
+    )
+    # The block in which the run opened that a block goes on with.
+    opened = F.when((F.col("_runs") > 1) | ~F.col("_goes_on"), F.col("_block"))
+    blocks = materialise(blocks.withColumn("_from", F.max(opened).over(earlier)))
+    named = {k: F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)}
+
+    def of_block(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+        return left.join(right, [*same, F.col("_block") == F.col("_b")], how).drop("_b", *[f"_g{i}" for i in range(len(keys))])
+
+    more = blocks.where("_goes_on").groupBy(*keys, "_from").agg(F.sum("_head").alias("_more"))
+    known = of_block(blocks, more.select(*named.values(), F.col("_from").alias("_b"), "_more"), "left")
+    known = materialise(known.select(*named.values(), F.col("_block").alias("_b"), "_runs", "_base", "_goes_on", F.coalesce("_more", F.lit(0)).alias("_more")))
+    joined = of_block(edges, known, "inner").where(~(F.col("_goes_on") & (F.col("_run") == 1)))
+    joined = joined.withColumns(
+        {
+            "length": F.col("length") + F.when(F.col("_run") == F.col("_runs"), F.col("_more")).otherwise(0),
+            "position": F.col("position") + F.col("_base"),
+        }
+    )
+    return pieces.where("NOT _edge").select(*out).unionByName(joined.select(*out))
+
+
+def _batch_runs(keys: list[str]):
+    """Runs inside each batch of sorted rows; ``_edge`` marks those of its first and last group."""
+
+    def differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        if pa.types.is_floating(a.type):
+            other = pc.and_(other, pc.invert(pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False)))
+        return other.to_numpy(zero_copy_only=False)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            n = batch.num_rows
+            if not n:
+                continue
+            ids = batch.column(len(keys))
+            value, there = pc.fill_null(ids, 0).cast(pa.int64()).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            fresh = np.ones(n, dtype=bool)
+            fresh[1:] = False
+            for i in range(len(keys)):
+                fresh[1:] |= differs(batch.column(i)[1:], batch.column(i)[:-1])
+            opens = fresh.copy()
+            opens[1:] |= ~(there[1:] & there[:-1] & (value[1:] == value[:-1] + 1))
+            at = np.flatnonzero(opens)
+            group = (np.cumsum(fresh) - 1)[at]
+            heads = np.searchsorted(group, np.arange(group[-1] + 1))
+            block = (batch.column(len(keys) + 1)[0].as_py() << 32) + number
+            found = [
+                np.diff(np.append(at, n)),
+                at - np.flatnonzero(fresh)[group],
+                np.arange(len(at)) - heads[group] + 1,
+                (group == 0) | (group == group[-1]),
+                np.full(len(at), block),
+            ]
+            named = [*keys, "start", "length", "position", "_run", "_edge", "_block"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(at)) for i in range(len(keys) + 1)], *map(pa.array, found)], named)
+
+    return runs
 
 
 def select_packed(index: DataFrame, requested: DataFrame, frame: str = "frame_id") -> tuple[DataFrame, DataFrame]:
