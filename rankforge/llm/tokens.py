@@ -6,6 +6,8 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ from rankforge.session import materialise, shared_dir
 BLOCK_IDS = 1_000_000
 CACHE_PIECES = 1_200_000
 LATIN_END = "\u0250"
+# Stands for the code of a first word that is not known yet.
+NEW_HEAD = b"?"
 SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
@@ -51,13 +55,13 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline_bytes = self._whole("\n")
         self.marks: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], prefix: str, pieces: list[str]) -> None:
-        new = set(pieces).difference(known)
+    def _learn(self, known: dict[str, bytes], prefix: str, new: set[str]) -> None:
+        """Encode pieces that are not in ``known``; where it is full, it starts anew with them."""
         if len(known) + 2 * len(new) > CACHE_PIECES:
             known.clear()
-            new = set(pieces)
         # Signs behind letters are a pre-token of their own.
         tails, stems, words, others = [], set(), [], []
         for p in new:
@@ -70,8 +74,8 @@ class Encoder:
                     words.append(p)
             else:
                 others.append(p)
-        stems.difference_update(known)
-        stems.difference_update(words)
+        # difference_update() would walk through all that is known, for every batch.
+        stems = {s for s in stems if s not in known}.difference(words)
         words += stems
         letters = self.letters
         spelt = [(prefix + p).encode().decode("latin-1").translate(letters) for p in words]
@@ -102,35 +106,44 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[tuple[str, list[str]]] | None] = []
-        firsts, others = [], []
+        first, spaced, newline = self.first, self.spaced, self.newline_bytes
+        # Every word is looked up once; only those that were not there are gathered and learnt.
+        docs: list[tuple[list[str], list[int], list[bytes | None]] | None] = []
+        new_heads, new_words = set(), set()
         for t in texts:
             words, gaps = t.split(), t.count(" ") + t.count("\n")
             # Every white-space character is a space or newline, and stands alone between two words.
             if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(t) or "<|" in t:
-                split.append(None)
+                docs.append(None)
                 continue
+            heads = [0]
             if "\n" in t:
-                at, lines = 0, []
-                for line in t.split("\n"):
-                    to = at + line.count(" ") + 1
-                    lines.append((words[at], words[at + 1 : to]))
-                    at = to
-            else:
-                lines = [(words[0], words[1:])]
-            split.append(lines)
-            for head, rest in lines:
-                firsts.append(head)
-                others += rest
-        self._learn(self.first, "", firsts)
-        self._learn(self.spaced, " ", others)
-        newline, first, spaced = self._whole("\n"), self.first, self.spaced
-        return [
-            self._whole(t)
-            if doc is None
-            else newline.join([first[head] + b"".join([spaced[p] for p in rest]) for head, rest in doc])
-            for t, doc in zip(texts, split)
-        ]
+                for line in t.split("\n")[:-1]:
+                    heads.append(heads[-1] + line.count(" ") + 1)
+            codes = list(map(spaced.get, words))
+            for at in heads:
+                codes[at] = first.get(words[at], NEW_HEAD)
+                if codes[at] is NEW_HEAD:
+                    new_heads.add(words[at])
+            # No piece is without ids, so only those not found are false.
+            if not all(codes):
+                new_words.update(compress(words, map(not_, codes)))
+            docs.append((words, heads, codes))
+        self._learn(first, "", new_heads)
+        self._learn(spaced, " ", new_words)
+        return [self._whole(t) if doc is None else self._joined(newline, *doc) for t, doc in zip(texts, docs)]
+
+    def _joined(self, newline: bytes, words: list[str], heads: list[int], codes: list[bytes | None]) -> bytes:
+        """The ids of one text, with what has been learnt since they were looked up."""
+        first, spaced = self.first, self.spaced
+        for at in heads:
+            if codes[at] is NEW_HEAD:
+                codes[at] = first[words[at]]
+        if not all(codes):
+            codes = [c or spaced[w] for w, c in zip(words, codes)]
+        for at in heads[1:]:
+            codes[at] = newline + codes[at]
+        return b"".join(codes)
 
 
 def worker_encoder(path: str) -> Encoder:

@@ -125,6 +125,19 @@ def test_pieces_encode_like_whole_texts():
     assert encoder.encode(texts) == [encoder._whole(t) for t in texts]
 
 
+def test_learning_does_not_walk_through_what_is_known():
+    """Every batch of texts walked through all pieces known so far."""
+
+    class Known(dict):
+        def __iter__(self):
+            raise AssertionError("walked through")
+
+    encoder = Encoder(tokenizer_path())
+    encoder.first, encoder.spaced = Known(), Known()
+    for texts in (["Some words, some signs!", "words\nagain, words."], ["words again, and new ones;\nSome more."]):
+        assert encoder.encode(texts) == [encoder._whole(t) for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
 def test_codes_round_trip_and_random_access(n):
     rng = np.random.default_rng(n)
