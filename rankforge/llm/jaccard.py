@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import LOWER, UPPER, map_texts, pick
+from rankforge.llm.common import LOWER, UPPER, list_column, map_slices, pick
 from rankforge.llm.components import components
 from rankforge.session import materialise
 
@@ -78,36 +79,37 @@ def _required(n, num: int, den: int):
 def _sets_table(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``_key, _n, _set, _reserve`` per row: size, digest and the first shingles in hash order."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for frame in frames:
+        for part in parts:
             sizes, digests, reserves = [], [], []
-            for t in frame["_text"].tolist():
+            for t in part.column("_text").to_pylist():
                 s = shingles.of(t)
                 n = len(s)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
                 reserves.append(s[: 2 * (n - _required(n, num, den) + 1) + 2 * HITS])
-            yield pd.DataFrame({"_key": frame["_key"].array, "_n": sizes, "_set": digests, "_reserve": reserves})
+            columns = [part.column("_key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), list_column(reserves)]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_n", "_set", "_reserve"])
 
-    return map_texts(docs, "_key", run, "_n long, _set binary, _reserve array<long>")
+    return map_slices(docs, "_key", run, "_n long, _set binary, _reserve array<long>")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """``node, _all``: all shingles of the given nodes (``node, _set, _rep``), from the texts again."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for frame in frames:
-            sets = [shingles.of(t) for t in frame["_text"].tolist()]
+        for part in parts:
+            sets = [shingles.of(t) for t in part.column("_text").to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pd.DataFrame({"_key": frame["_key"].array, "_set": digests, "_all": sets})
+            yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(digests, pa.binary()), list_column(sets)], ["_key", "_set", "_all"])
 
     wanted = nodes.select(F.col("_rep").alias("_w")).distinct()
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("_key").eqNullSafe(F.col("_w")), "left_semi")
-    sets = map_texts(texts, "_key", run, "_set binary, _all array<long>").select("_set", "_all")
+    sets = map_slices(texts, "_key", run, "_set binary, _all array<long>").select("_set", "_all")
     # A key that is repeated over several texts brings sets of other nodes too; the digest tells.
     return materialise(sets.join(nodes.select("node", "_set"), "_set").dropDuplicates(["node"]).select("node", "_all"))
 

@@ -8,13 +8,15 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from rankforge.llm.automaton import compile_rules
 from rankforge.llm.classifier import isotonic
-from rankforge.llm.common import _alone, worker_kept
+from rankforge.llm.common import _alone, list_column, sliced, worker_kept
 from rankforge.llm.dac import Block, read_block, write_block
 from rankforge.llm.html import main_text
+from rankforge.llm.jaccard import _sets_table
 from rankforge.llm.q_tokens import tokenizer_path
 from rankforge.llm.repetition import longest_repeats, union_length
 from rankforge.llm.secrets import BASE_RULES, MORE_RULES, as_lists, find_spans, linked_rows
@@ -125,6 +127,30 @@ def test_pieces_encode_like_whole_texts():
     assert encoder.encode(texts) == [encoder._whole(t) for t in texts]
 
 
+def test_a_worker_holds_few_texts_at_once():
+    """All texts of a batch were Python objects at once, with all their results."""
+    seen = []
+
+    def run(parts):
+        for part in parts:
+            seen.append(part.num_rows)
+            yield pa.RecordBatch.from_arrays([list_column([np.arange(len(t)) for t in part.column("t").to_pylist()])], ["n"])
+
+    texts = ["x" * (i % 3) for i in range(1001)]
+    out = list(sliced(run, 400)([pa.RecordBatch.from_pydict({"t": texts[:900]}), pa.RecordBatch.from_pydict({"t": texts[900:]})]))
+    assert seen == [400, 400, 100, 101]
+    assert [x for b in out for x in b.column("n").to_pylist()] == [list(range(len(t))) for t in texts]
+
+
+def test_sets_are_read_in_slices(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, None), (3, " "), (4, "x y"), (None, "A b C d")], "doc_id long, text string")
+    table = _sets_table(docs.toDF("_key", "_text"), 3, 90, 100)
+    assert "MapInArrow" in table._jdf.queryExecution().executedPlan().toString()
+    got = {r["_key"]: (r["_n"], r["_set"], r["_reserve"]) for r in table.collect()}
+    assert [got[k][0] for k in (1, 2, 3, 4, None)] == [2, 0, 0, 1, 2]
+    assert got[2] == got[3] == (0, None, []) and got[1] == got[None] and len(got[1][2]) == 2
+
+
 def test_learning_does_not_walk_through_what_is_known():
     """Every batch of texts walked through all pieces known so far."""
 
