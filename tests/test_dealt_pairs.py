@@ -1,4 +1,4 @@
-"""Joins whose pairs are the result: dealt out by pairs, written in few bytes."""
+"""Joins whose pairs are the result: dealt out by pairs, rounded and written in few bytes."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankforge.plans import grid
 from rankforge.plans.grid import radius_join
 from suite.geometry import c6_to_local_frame
+from suite.registry import long6, r6
 from tests.conftest import as_set
 
 
@@ -52,3 +53,12 @@ def test_the_result_is_written_in_few_bytes(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
     assert out.count() > 1_000_000 and size / out.count() < 14
+
+
+def test_rounding_of_long_results(spark):
+    values = [(v,) for v in (None, math.nan, math.inf, -math.inf, 0.0, -0.0, -1e-9, 0.0000005, -0.1234565, 12345.678901)]
+    rng = np.random.default_rng(7)
+    values += [(float(v),) for v in rng.normal(0, 1, 20_000) * 10.0 ** rng.integers(-6, 4, 20_000)]
+    df = spark.createDataFrame(values, "v double")
+    both = df.select("v", r6("v")[0].alias("a"), long6("v")[0].alias("b"))
+    assert both.where("NOT a <=> b OR cast(a AS string) IS DISTINCT FROM cast(b AS string)").count() == 0
