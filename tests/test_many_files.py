@@ -6,6 +6,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -66,3 +67,25 @@ def test_a_stream_lists_by_few_tasks(spark):
     own, name = J._listing_session(spark), "spark.sql.shuffle.partitions"
     assert int(own.conf.get(J.LISTING)) < 100 and own.conf.get(name) == spark.conf.get(name)
     assert spark.conf.get(J.LISTING, None) is None
+
+
+def test_a_matrix_is_made_once_for_the_frames_of_a_batch():
+    """Rows went through pandas frame by frame, with an object for each rotation."""
+    fixed = {c: pa.array([0.5, 1.5, None]) for c in ("base_score", "width", "height", "depth", "tx", "ty", "tz")}
+    rotation = [[float(i + 10 * j) for i in range(9)] for j in range(3)]
+    batch = pa.RecordBatch.from_pydict({**fixed, "rotation": rotation, "object_id": pa.array([1, None, 3], pa.int32())}).slice(1)
+    matrix = D._frame_matrix(batch)
+    assert matrix.dtype == np.float32 and matrix.shape == (2, S.DUMP_WIDTH)
+    assert matrix[0, :4].tolist() == [1.5] * 4 and np.isnan(matrix[1, 13]) and np.isnan(matrix[0, 16]) and matrix[1, 16] == 3
+    assert matrix[:, 4:13].tolist() == rotation[1:]
+    for wrong in ([rotation[0][:8], rotation[1] + [0.0], rotation[2]], [None, rotation[0] * 2, rotation[1]]):
+        with pytest.raises(ValueError):
+            D._frame_matrix(pa.RecordBatch.from_pydict({**fixed, "rotation": wrong, "object_id": [1, 2, 3]}))
+
+
+def test_a_task_makes_a_folder_once(tmp_path):
+    made = set()
+    for n in "ab":
+        with D.open_output(f"{tmp_path}/x/y/{n}", made) as stream:
+            stream.write(n.encode())
+    assert made == {f"{tmp_path}/x/y"} and (tmp_path / "x/y/b").read_bytes() == b"b"
