@@ -89,3 +89,17 @@ def test_a_task_makes_a_folder_once(tmp_path):
         with D.open_output(f"{tmp_path}/x/y/{n}", made) as stream:
             stream.write(n.encode())
     assert made == {f"{tmp_path}/x/y"} and (tmp_path / "x/y/b").read_bytes() == b"b"
+
+
+def test_a_stream_reads_many_small_files_in_a_task(spark, tmp_path):
+    """They were read 32 at a time, as opening each counted as four megabytes."""
+    for i in range(3000):
+        (tmp_path / f"{i}.npy").write_bytes(b"x")
+    tasks = lambda session: session.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions()
+    few = spark.sparkContext.defaultParallelism * 4
+    assert tasks(spark) > 2 * few and tasks(J._listing_session(spark)) <= few + 1
+    spark.conf.set(J.OPENING, 1 << 22)
+    try:
+        assert J._listing_session(spark).conf.get(J.OPENING) == str(1 << 22)
+    finally:
+        spark.conf.unset(J.OPENING)
