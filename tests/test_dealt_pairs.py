@@ -36,7 +36,7 @@ def test_same_pairs_in_shares_of_any_size(sides, monkeypatch, sizes, crowd):
 
 
 def test_tasks_follow_the_pairs(sides, monkeypatch):
-    """Eight joins of a frame with itself were one task each, however many pairs they had."""
+    """Tasks followed the bytes, so that one task had all pairs of a cell, however many these were."""
     for name, n in zip(("SHARE", "PARTY", "WORK"), (40, 40, 1600)):
         monkeypatch.setattr(grid, name, n)
     found = radius_join(*sides, 0.04, small=0, even=True)
